@@ -14,7 +14,11 @@ from crowdpeak.functions.numbers import comparable
 from crowdpeak.settings import Settings
 
 DEFAULT = Settings()
-VIDEO = Window.partitionBy("video_id")
+
+
+def _video():
+    return Window.partitionBy("video_id")
+
 
 
 def rank_fraction(value: Column, among_present: bool = False) -> Column:
@@ -23,9 +27,9 @@ def rank_fraction(value: Column, among_present: bool = False) -> Column:
     The largest value gets 1; a missing value gets null.
     """
     v = comparable(value)
-    ordered = VIDEO.orderBy(v.asc_nulls_last())
+    ordered = _video().orderBy(v.asc_nulls_last())
     ties = F.count(v).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
-    total = F.count(v).over(VIDEO) if among_present else F.count(F.lit(1)).over(VIDEO)
+    total = F.count(v).over(_video()) if among_present else F.count(F.lit(1)).over(_video())
     return F.when(value.isNotNull(), (F.rank().over(ordered) + (ties - 1) / F.lit(2.0)) / total)
 
 
@@ -91,4 +95,4 @@ def fusion_threshold(windows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Add the threshold of the recording: mean plus half a population deviation of the fusion, nulls left out."""
     return windows.withColumn(
         "fusion_threshold",
-        F.avg("fusion").over(VIDEO) + s.threshold_std_factor * F.stddev_pop("fusion").over(VIDEO))
+        F.avg("fusion").over(_video()) + s.threshold_std_factor * F.stddev_pop("fusion").over(_video()))

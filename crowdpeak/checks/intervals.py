@@ -8,6 +8,7 @@ from crowdpeak.checks import views as v
 from crowdpeak.checks.registry import query
 from crowdpeak.checks.views import CHATS, GRID, SPEECH, STATS, WINDOWS, with_sql
 from crowdpeak.checks.windows import FUSION_PARTS, fused
+from crowdpeak.functions.numbers import rounded
 from crowdpeak.operators import candidates as cand
 from crowdpeak.operators import grid, selection
 from crowdpeak.plans import analysis
@@ -220,7 +221,7 @@ def empty_reason(spark, path):
 
 
 @query("join_4_windows_inside", with_sql(*STAGE_1, select="""
-SELECT s.video_id, s.start_time, s.end_time, count(*) AS n_windows, max(w.chat_score) AS best
+SELECT s.video_id, s.start_time, s.end_time, count(*) AS n_windows, round(max(w.chat_score) + 1e-9, 6) AS best
 FROM stage_1 s JOIN windows w ON w.video_id = s.video_id AND w.start_sec >= s.start_time AND w.end_sec <= s.end_time
 GROUP BY ALL"""))
 def windows_inside(spark, path):
@@ -228,4 +229,4 @@ def windows_inside(spark, path):
     inside = windows.join(stage_1(spark, path).select("video_id", "start_time", "end_time"), "video_id").filter(
         (F.col("start_sec") >= F.col("start_time")) & (F.col("end_sec") <= F.col("end_time")))
     return inside.groupBy("video_id", "start_time", "end_time").agg(
-        F.count("*").alias("n_windows"), F.max("chat_score").alias("best"))
+        F.count("*").alias("n_windows"), rounded(F.max("chat_score"), 6).alias("best"))

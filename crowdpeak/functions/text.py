@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdpeak import fixed_values as fv
@@ -172,3 +172,13 @@ def recording_number(url: Column, prefix: str = "/video/") -> Column:
 def seconds_or_zero(raw: Column) -> Column:
     """Digits with at most one dot are a time; anything else (signs, exponents, blanks) is 0.0."""
     return F.when(raw.rlike(r"^([0-9]+[.]?[0-9]*|[.][0-9]+)$"), raw.try_cast("double")).otherwise(F.lit(0.0))
+
+
+def scene_lines(boxes: DataFrame, keys: list[str], text: str = "text", order: str = "box_idx") -> DataFrame:
+    """One row per scene with its lines in box order and the joined `chat_text`; a scene without lines is absent.
+
+    A scene has as many lines as fit on a screen, so the array is small.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("line"))))
+    lines = boxes.groupBy(*keys).agg(F.transform(ordered, lambda x: x["line"]).alias("lines"))
+    return lines.withColumn("chat_text", F.array_join("lines", " "))

@@ -106,7 +106,7 @@ def chats_in_highlights(spark, path):
 
 
 @query("flt_7_chat_log", with_sql(*HIGHLIGHTS, recursive=True, select="""
-SELECT h.video_id, h.rank, count(*) AS points, count_if(chat_text <> 'view') AS log_lines
+SELECT h.video_id, h.rank, count(*) AS points, count(*) FILTER (WHERE chat_text <> 'view') AS log_lines
 FROM (SELECT * FROM chats) c
   JOIN highlights h ON h.video_id = c.video_id AND c.t >= h.start_time AND c.t <= h.end_time GROUP BY ALL"""))
 def chat_log(spark, path):
@@ -118,8 +118,8 @@ def chat_log(spark, path):
 
 
 POSITIONS = """positions AS (
-  SELECT strftime(CAST(o_orderdate AS DATE) - to_days(CAST(date_diff('day', DATE '2024-01-01', CAST(o_orderdate AS DATE))
-    - o_orderkey % 30 AS INTEGER)), '%Y-%m-%d') AS video_id, o_orderkey, (o_custkey * 37 + o_orderkey) % 36000 / 10.0::DOUBLE AS cur
+  SELECT strftime(DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER), '%Y-%m-%d') AS video_id, o_orderkey,
+    (o_custkey * 37 + o_orderkey) % 36000 / 10.0::DOUBLE AS cur
   FROM orders)"""
 
 

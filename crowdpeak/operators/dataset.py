@@ -21,6 +21,19 @@ def clean_labels(raw: DataFrame, message: str = "chat_message", label: str = "la
     return kept.withColumn(label, number.cast("int")).filter(F.col(label).between(0, 6))
 
 
+def label_statistics(raw: DataFrame, message: str = "chat_message", label: str = "label") -> DataFrame:
+    """Rows per label, with the number of rows before and after cleaning, in one pass over the raw rows."""
+    number = F.col(label).cast("string").try_cast("double")
+    valid = F.col(message).isNotNull() & ~F.isnan(number) & number.cast("int").between(0, 6)
+    per = raw.groupBy(F.when(valid, number.cast("int")).alias("label")).agg(F.count("*").alias("rows"))
+    everything = Window.partitionBy(F.lit(0))
+    return (
+        per.withColumn("raw_rows", F.sum("rows").over(everything))
+        .withColumn("clean_rows", F.sum(F.when(F.col("label").isNotNull(), F.col("rows"))).over(everything))
+        .filter("label IS NOT NULL")
+    )
+
+
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
     """The earliest row of each key. A minimum, not a window: copies are reduced before they are shuffled, so a
     message that makes up a third of the table costs one row per map task."""
@@ -32,7 +45,7 @@ def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
 def split_key(row_id: Column, seed: int) -> Column:
     """A reproducible pseudo-random whole number below 2^31 for a row number: two multiplicative steps, so that any
     SQL engine can repeat it."""
-    mixed = (row_id % 1_000_003) * 7919 + F.lit(seed) * 104_729
+    mixed = (row_id.cast("long") % 1_000_003) * 7919 + F.lit(seed % 4000 * 104_729)
     return ((mixed * 1_103_515_245 + 12_345) % 2_147_483_648).cast("long")
 
 

@@ -62,8 +62,9 @@ def fixed_boxes(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         seen.groupBy("video_id", "text").agg(F.countDistinct("frame").alias("_in")).join(frames, "video_id")
         .filter((F.col("_frames") > 1) & (F.col("_in") - 1 >= enough)).select("video_id", "text")
     )
-    seen = seen.join(steady, ["video_id", "text"], "left_semi")
-    shapes = seen.select("video_id", "text", "box").distinct()
+    # Equal boxes are one shape with the few frames it was seen in.
+    shapes = seen.join(steady, ["video_id", "text"], "left_semi").groupBy("video_id", "text", "box").agg(
+        F.collect_set("frame").alias("frames"))
     # Centres of two boxes that overlap by `ratio` are at most this share of a side apart.
     share = max(1.0 - ratio, 0.5 / ratio - 0.5)
 
@@ -91,19 +92,21 @@ def fixed_boxes(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         own = size_class(axis)
         return F.struct(own.alias("c"), F.floor(centre(axis) / F.pow(F.lit(2.0), own)).cast("long").alias("cell"))
 
-    asking = shapes.withColumn("_x", F.explode(cells("x"))).withColumn("_y", F.explode(cells("y")))
-    offered = shapes.select("video_id", "text", F.col("box").alias("other"), home("x").alias("_x"),
-                            home("y").alias("_y"))
-    matches = (
-        asking.join(offered, ["video_id", "text", "_x", "_y"])
-        .filter((F.col("box") == F.col("other")) | (iou("box", "other") >= ratio))
-        .select("video_id", "text", "box", "other")
+    asking = (
+        shapes.select("video_id", "text", "box", F.explode(cells("x")).alias("_x"))
+        .withColumn("_y", F.explode(cells("y")))
+        .select("video_id", "text", "box", F.col("_x.c").alias("xc"), F.col("_x.cell").alias("x"),
+                F.col("_y.c").alias("yc"), F.col("_y.cell").alias("y"))
     )
+    offered = shapes.select("video_id", "text", F.col("box").alias("other"), "frames", home("x").alias("_x"),
+                            home("y").alias("_y")).select(
+        "video_id", "text", "other", "frames", F.col("_x.c").alias("xc"), F.col("_x.cell").alias("x"),
+        F.col("_y.c").alias("yc"), F.col("_y.cell").alias("y"))
+    matches = asking.join(offered, ["video_id", "text", "xc", "x", "yc", "y"]).filter(
+        (F.col("box") == F.col("other")) | (iou("box", "other") >= ratio))
     # A box is in its own frame, so the number of *other* frames is one less than that of all frames it is seen in.
     counted = (
-        matches.join(seen.select("video_id", "text", F.col("box").alias("other"), "frame"),
-                     ["video_id", "text", "other"])
-        .select("video_id", "text", "box", "frame").distinct()
+        matches.select("video_id", "text", "box", F.explode("frames").alias("frame")).distinct()
         .groupBy("video_id", "text", "box").agg((F.count("*") - 1).alias("same_frames"))
     )
     return (

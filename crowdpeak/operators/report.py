@@ -131,11 +131,3 @@ def recent_history(history: DataFrame, user: str = "user_id", created: str = "cr
     """Newest entries of each user. Spark keeps only the best rows of each map task before it shuffles."""
     w = Window.partitionBy(user).orderBy(F.col(created).desc(), F.col(tie).desc())
     return history.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= s.history_limit)
-
-
-def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.groupBy(label).agg(F.count("*").alias("rows"))
-
-
-def score_texts(score: Column) -> Column:
-    return F.floor(score + F.lit(0.5)).cast("long")

@@ -1 +1,108 @@
-"""Empty for now."""
+"""Streaming queries: the events file is read as a stream, run to its end, and the sink is read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crowdpeak.checks import views as v
+from crowdpeak.checks.feeds import fresh
+from crowdpeak.checks.intervals import STAGE_1
+from crowdpeak.checks.registry import query
+from crowdpeak.checks.views import with_sql
+from crowdpeak.functions.numbers import rounded
+from crowdpeak.streaming import live
+
+
+def event_stream(spark, path, files: str = "events.parque[t]"):
+    """Chat of all recordings in time order: a day of `events` is played in one hour, one after the other."""
+    schema = spark.read.parquet(f"{path}/events.parquet").schema
+    # A pattern instead of a plain path: it stands for a single file as well as for a folder of files.
+    raw = spark.readStream.schema(schema).parquet(f"{path}/{files}")
+    day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    micros = F.floor((day * 86_400_000_000 + v.micros_of_day()) / 24).cast("long")
+    return raw.select(
+        F.date_format("ts", "yyyy-MM-dd").alias("video_id"), F.timestamp_micros(micros).alias("ts"),
+        F.timestamp_micros(day * 3_600_000_000).alias("begin"), F.col("value").alias("joy_pct"), "event_type")
+
+
+def run(stream, folder: str):
+    """Run a stream over all input and read what it wrote. The sink is a file table, so no result sits in memory."""
+    done = stream.option("checkpointLocation", f"{folder}_state").trigger(availableNow=True).start()
+    done.awaitTermination()
+
+
+LIVE = """live AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS video_id, CAST(epoch_us(ts) AS BIGINT) // 24 AS us,
+    CAST(epoch_us(ts) AS BIGINT) // 86400000000 * 3600000000 AS begin_us, value AS joy_pct FROM events),
+slots AS (
+  SELECT *, unnest(range(us // 5000000 - 6, us // 5000000 + 1)) AS k FROM live),
+live_windows AS (
+  SELECT video_id, k * 5000000 AS start_us, count(*) AS chat_count, avg(joy_pct) AS avg_joy, max(joy_pct) AS max_joy
+  FROM slots WHERE us >= k * 5000000 AND us <= k * 5000000 + 30000000 AND k * 5000000 >= begin_us
+  GROUP BY ALL)"""
+
+
+@query("str_1_live_windows", with_sql(LIVE, select="""
+SELECT video_id, start_us, chat_count, round(avg_joy * 0.7::DOUBLE + max_joy * 0.3::DOUBLE + 1e-9, 6) AS chat_score
+FROM live_windows
+WHERE start_us + 30000001 <= ((SELECT max(us) FROM live) // 1000 - 30000) * 1000"""))
+def live_windows(spark, path):
+    folder = fresh(spark, "live_windows")
+    out = live.live_windows(event_stream(spark, path), start="begin")
+    run(out.writeStream.outputMode("append").format("parquet").option("path", folder), folder)
+    return spark.read.parquet(folder).select(
+        "video_id", F.unix_micros("window_start").alias("start_us"), "chat_count",
+        rounded(F.col("chat_score"), 6).alias("chat_score"))
+
+
+@query("str_2_late_rows_are_dropped", with_sql(LIVE.split(",\nslots AS")[0].replace(
+    "value AS joy_pct", "value AS joy_pct, event_type = 'error' AS late"), """closed AS (
+  SELECT (max(us) // 1000 - 30000) * 1000 AS first_mark FROM live WHERE NOT late),
+slots AS (SELECT *, unnest(range(us // 5000000 - 6, us // 5000000 + 1)) AS k FROM live)""", select="""
+SELECT video_id, k * 5000000 AS start_us, count(*) AS chat_count FROM slots, closed
+WHERE us >= k * 5000000 AND us <= k * 5000000 + 30000000 AND k * 5000000 >= begin_us
+  AND (NOT late OR k * 5000000 + 30000001 > first_mark)
+  AND k * 5000000 + 30000001 <= ((SELECT max(us) FROM live) // 1000 - 30000) * 1000
+GROUP BY ALL"""))
+def late_rows(spark, path):
+    # Events of one type arrive after all others. The stream stops in between and goes on from its checkpoint; windows
+    # that were closed by then do not count them.
+    folder = fresh(spark, "late")
+    events = v.table(spark, path, "events")
+    for arrived in (F.col("event_type") != "error", F.col("event_type") == "error"):
+        events.filter(arrived).write.mode("append").parquet(f"{folder}_in/events.parquet")
+        out = live.live_windows(event_stream(spark, f"{folder}_in"), start="begin")
+        run(out.writeStream.outputMode("append").format("parquet").option("path", folder), folder)
+    return spark.read.parquet(folder).select(
+        "video_id", F.unix_micros("window_start").alias("start_us"), "chat_count")
+
+
+@query("str_3_live_dedup", """
+SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS video_id, CAST(epoch_us(ts) AS BIGINT) % 86400000000 // 14400000000 * 600000
+  AS time_ms, event_type AS chat_message FROM events""")
+def live_dedup(spark, path):
+    folder = fresh(spark, "live_dedup")
+    # Messages carry a time in whole minutes, so that repeats occur.
+    since = F.unix_micros("ts") - F.unix_micros("begin")
+    stream = event_stream(spark, path).select(
+        "video_id", "ts", (F.floor(since / 600_000_000) * 600_000).cast("long").alias("time_ms"),
+        F.col("event_type").alias("chat_message"))
+    out = live.without_replays(stream)
+    run(out.writeStream.outputMode("append").format("parquet").option("path", folder), folder)
+    return spark.read.parquet(folder).select("video_id", "time_ms", "chat_message")
+
+
+STATS_FROM_CHATS = """stats AS (
+  SELECT video_id, round(max(t) + 30 + 1e-9, 2) AS duration_sec,
+    round(avg(joy_pct) + 0.5 * stddev_pop(joy_pct) + 1e-9, 2) AS calculated_threshold FROM chats GROUP BY video_id)"""
+
+
+@query("str_4_candidate_refresh", with_sql(v.CHATS, STATS_FROM_CHATS, *STAGE_1[2:], select="""
+SELECT video_id, start_time, end_time, window_score, chat_count FROM stage_1"""))
+def candidate_refresh(spark, path):
+    folder = fresh(spark, "refresh")
+    # The length is the last chat and a margin, so no chat lies after it.
+    refresh = live.candidate_refresh(lambda: v.chats(spark, path), folder, clip=False)
+    run(event_stream(spark, path).select("video_id", "ts").writeStream.foreachBatch(refresh), folder)
+    return live.latest_candidates(spark.read.option("recursiveFileLookup", "true").parquet(folder)).select(
+        "video_id", "start_time", "end_time", "window_score", "chat_count")

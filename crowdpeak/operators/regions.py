@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crowdpeak import fixed_values as fv
 from crowdpeak.functions.numbers import clamp, rounded
+from crowdpeak.session import cut_lineage
 from crowdpeak.settings import Settings
 
 DEFAULT = Settings()
@@ -47,9 +48,9 @@ def fixed_boxes(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Distinct `(video_id, text, box)` that are part of the screen layout: the same text at nearly the same place in
     at least half of the other frames. Text that scrolls does not stay.
 
-    Whether a box is fixed depends on its text and geometry only, so equal boxes of all frames are one row. Two boxes
-    can overlap by half or more only if their sizes differ by less than 2 and their centres by less than half the
-    smaller side, so each box meets candidates from its own and the neighbouring size-and-place cells, in an equi join.
+    Whether a box is fixed depends on its text and geometry only, so equal boxes of all frames are one row. Boxes that
+    overlap enough have similar heights and places, so each box meets only those of its own and the neighbouring
+    size-and-place cells, in an equi join.
     """
     ratio = s.region_fixed_iou
     frames = boxes.groupBy("video_id").agg(F.countDistinct("frame").alias("_frames"))
@@ -65,44 +66,28 @@ def fixed_boxes(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     # Equal boxes are one shape with the few frames it was seen in.
     shapes = seen.join(steady, ["video_id", "text"], "left_semi").groupBy("video_id", "text", "box").agg(
         F.collect_set("frame").alias("frames"))
-    # Centres of two boxes that overlap by `ratio` are at most this share of a side apart.
+    # Heights and vertical places of two boxes that overlap by `ratio`: heights differ by at most 1 / ratio, centres by
+    # at most this share of a height. Class c holds heights in (2^(c-1), 2^c] and has cells 2^c high. A shape is offered
+    # in its own cell and asks in every cell where a partner can be, so a pair meets exactly once. The slack keeps pairs
+    # whose overlap is exactly at the limit.
     share = max(1.0 - ratio, 0.5 / ratio - 0.5)
-
-    def side(axis: str) -> Column:
-        return F.greatest(F.col(f"box.{axis}max") - F.col(f"box.{axis}min"), F.lit(1e-6))
-
-    def size_class(axis: str) -> Column:
-        return F.ceil(F.log2(side(axis))).cast("int")
-
-    def centre(axis: str) -> Column:
-        return (F.col(f"box.{axis}max") + F.col(f"box.{axis}min")) / 2
-
-    def cells(axis: str) -> Column:
-        """(class, cell) pairs of every box this one can overlap enough. A cell of class c is 2^c wide and holds sides
-        in (2^(c-1), 2^c]; the slack keeps pairs whose overlap is exactly at the limit."""
-        reach = side(axis) * share + 1e-9
-        classes = F.sequence(F.ceil(F.log2(side(axis) * ratio) - 1e-9).cast("int"),
-                             F.ceil(F.log2(side(axis) / ratio) + 1e-9).cast("int"))
-        return F.flatten(F.transform(classes, lambda c: F.transform(
-            F.sequence(F.floor((centre(axis) - reach) / F.pow(F.lit(2.0), c)).cast("long"),
-                       F.floor((centre(axis) + reach) / F.pow(F.lit(2.0), c)).cast("long")),
-            lambda cell: F.struct(c.alias("c"), cell.alias("cell")))))
-
-    def home(axis: str) -> Column:
-        own = size_class(axis)
-        return F.struct(own.alias("c"), F.floor(centre(axis) / F.pow(F.lit(2.0), own)).cast("long").alias("cell"))
-
+    height = F.greatest(F.col("box.ymax") - F.col("box.ymin"), F.lit(1e-6))
+    centre = (F.col("box.ymax") + F.col("box.ymin")) / 2
+    size = F.pow(F.lit(2.0), F.col("class"))
     asking = (
-        shapes.select("video_id", "text", "box", F.explode(cells("x")).alias("_x"))
-        .withColumn("_y", F.explode(cells("y")))
-        .select("video_id", "text", "box", F.col("_x.c").alias("xc"), F.col("_x.cell").alias("x"),
-                F.col("_y.c").alias("yc"), F.col("_y.cell").alias("y"))
+        shapes.select("video_id", "text", "box", F.explode(F.sequence(
+            F.ceil(F.log2(height * ratio) - 1e-9).cast("int"),
+            F.ceil(F.log2(height / ratio) + 1e-9).cast("int"))).alias("class"))
+        .withColumn("cell", F.explode(F.sequence(
+            F.floor((centre - height * share - 1e-9) / size).cast("long"),
+            F.floor((centre + height * share + 1e-9) / size).cast("long"))))
+    )
+    offered = (
+        shapes.withColumn("class", F.ceil(F.log2(height)).cast("int"))
+        .withColumn("cell", F.floor(centre / size).cast("long"))
+        .select("video_id", "text", F.col("box").alias("other"), "frames", "class", "cell")
     )
-    offered = shapes.select("video_id", "text", F.col("box").alias("other"), "frames", home("x").alias("_x"),
-                            home("y").alias("_y")).select(
-        "video_id", "text", "other", "frames", F.col("_x.c").alias("xc"), F.col("_x.cell").alias("x"),
-        F.col("_y.c").alias("yc"), F.col("_y.cell").alias("y"))
-    matches = asking.join(offered, ["video_id", "text", "xc", "x", "yc", "y"]).filter(
+    matches = asking.join(offered, ["video_id", "text", "class", "cell"]).filter(
         (F.col("box") == F.col("other")) | (iou("box", "other") >= ratio))
     # A box is in its own frame, so the number of *other* frames is one less than that of all frames it is seen in.
     counted = (
@@ -118,7 +103,11 @@ def fixed_boxes(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 def moving_boxes(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Boxes that are not part of the screen layout."""
-    gone = fixed_boxes(boxes, s).drop("same_frames")
+    return without_fixed(boxes, fixed_boxes(boxes, s))
+
+
+def without_fixed(boxes: DataFrame, fixed: DataFrame) -> DataFrame:
+    gone = fixed.drop("same_frames")
     return boxes.join(gone, ["video_id", "text", *GEOMETRY], "left_anti")
 
 
@@ -274,7 +263,9 @@ def voted_region(boxes: DataFrame) -> DataFrame:
 
 def chat_regions(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Chat region of each recording: the best column of text lines, or the majority vote if that has too few rows."""
-    refined = refined_groups(left_groups(moving_boxes(boxes, s), s), s)
+    # Both tables are small next to the boxes and read several times below, so they are written once.
+    fixed = cut_lineage(fixed_boxes(boxes, s))
+    refined = cut_lineage(refined_groups(left_groups(without_fixed(boxes, fixed), s), s))
     best = best_groups(group_scores(refined, boxes, s)).filter(F.col("rows") >= s.region_min_rows)
     found = bounding_region(best_bands(refined, best, s), s.region_margin_x, s.region_margin_y)
     voted = voted_region(boxes)

@@ -77,21 +77,29 @@ def text_column(df: DataFrame) -> str:
     return df.columns[0]
 
 
-def read_label_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of all CSV files that have the two needed columns, with file and position.
+def file_headers(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, str]]:
+    """(file, first line) of each text file, found by one distributed scan; only these lines reach the driver."""
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    first = lines.filter("start = 0").withColumn("no", F.monotonically_increasing_id()).groupBy("file").agg(
+        F.min_by("value", "no").alias("header"))
+    return [(row["file"], row["header"]) for row in first.toLocalIterator()]
 
-    Only headers are looked at on the driver; files with the same header are read together.
+
+def read_label_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Rows of all CSV files that have the two needed columns, with their file; other files are skipped.
+
+    Files with the same header are read together, so the plan has one scan per kind of header.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        header = spark.read.text(path).limit(1).collect()
-        columns = tuple(c.strip().strip('"') for c in header[0][0].lstrip("﻿").split(",")) if header else ()
+    for path, header in file_headers(spark, paths):
+        columns = tuple(c.strip().strip('"') for c in header.lstrip("\ufeff").split(","))
         if {"chat_message", "label"} <= set(columns):
             groups.setdefault(columns, []).append(path)
     if not groups:
         raise FileNotFoundError("no file with the columns chat_message and label")
     tables = []
-    for columns, members in groups.items():
+    for columns, members in sorted(groups.items()):
         schema = ", ".join(f"`{c}` string" for c in columns)
         table = spark.read.csv(members, schema=schema, header=True, multiLine=True, escape='"', enforceSchema=True)
         tables.append(table.select("chat_message", "label", F.col("_metadata.file_path").alias("file")))

@@ -16,12 +16,15 @@ DEFAULT = Settings()
 VIDEO_FROM_PATH = r"([^/]+?)(?:_extracted_ocr_chats|_video_emotion_timeseries|_visual_change|_chat_lines)?\.[^./]+$"
 
 
-def video_of_file(pattern: str = VIDEO_FROM_PATH) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+def with_video(raw: DataFrame, pattern: str = VIDEO_FROM_PATH) -> DataFrame:
+    """Add `video_id` from the file name, unless the files lie in `video_id=...` folders."""
+    if "video_id" in raw.columns:
+        return raw.withColumn("video_id", F.col("video_id").cast("string"))
+    return raw.withColumn("video_id", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
 def _without_bom(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.lstrip("﻿").strip('"') for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff").strip('"') for c in df.columns])
 
 
 def chat_columns(columns: list[str]) -> tuple[str, str]:
@@ -39,9 +42,8 @@ def normalised_chat(raw: DataFrame, video: Column) -> DataFrame:
 
 def read_chat_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Chat rows `(video_id, t, frame, chat_text)` from CSV files with a header, with or without a byte order mark."""
-    raw = spark.read.csv(paths, header=True, multiLine=True, escape='"').withColumn("_video", video_of_file())
-    clean = _without_bom(raw)
-    return normalised_chat(clean.withColumnRenamed("_video", "video_id"), F.col("video_id"))
+    raw = with_video(spark.read.csv(paths, header=True, multiLine=True, escape='"'))
+    return normalised_chat(_without_bom(raw), F.col("video_id"))
 
 
 POINT = T.StructType([
@@ -78,9 +80,12 @@ def series_tables(raw: DataFrame, s: Settings = DEFAULT) -> tuple[DataFrame, Dat
     return stats, current_emotions(points)
 
 
-def read_series_json(spark: SparkSession, paths: str | list[str], s: Settings = DEFAULT):
-    raw = spark.read.schema(SERIES).json(paths, multiLine=True).withColumn("video_id", video_of_file())
-    return series_tables(raw, s)
+def read_series_json(spark: SparkSession, paths: str | list[str], one_per_file: bool = True, s: Settings = DEFAULT):
+    """Stats and points of series documents: one indented document per file, or one `video_id` document per line."""
+    if one_per_file:
+        return series_tables(with_video(spark.read.schema(SERIES).json(paths, multiLine=True)), s)
+    schema = T.StructType([T.StructField("video_id", T.StringType()), *SERIES.fields])
+    return series_tables(spark.read.schema(schema).json(paths), s)
 
 
 def current_emotions(points: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def current_emotions(points: DataFrame) -> DataFrame:
 
 def read_screen_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Screen change samples `(video_id, t, value)`; a recording without rows has the signal switched off."""
-    raw = _without_bom(spark.read.csv(paths, header=True).withColumn("video_id", video_of_file()))
+    raw = _without_bom(with_video(spark.read.csv(paths, header=True)))
     first, second = [c for c in raw.columns if c != "video_id"][:2]
     return raw.select("video_id", F.col(first).try_cast("double").alias("t"),
                       F.col(second).try_cast("double").alias("value")).filter("t IS NOT NULL AND value IS NOT NULL")
@@ -116,22 +121,20 @@ def signal_flags(videos: DataFrame, signals: dict[str, DataFrame]) -> DataFrame:
 
 
 def read_lines_jsonl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.schema("t double, lines array<string>").json(paths).select(
-        video_of_file().alias("video_id"), "t", "lines")
+    return with_video(spark.read.schema("t double, lines array<string>").json(paths)).select("video_id", "t", "lines")
 
 
 def write_lines_jsonl(scenes: DataFrame, path: str) -> None:
-    scenes.write.mode("overwrite").json(path)
+    """One folder per recording, one scene per line."""
+    scenes.write.mode("overwrite").partitionBy("video_id").json(path)
 
 
-def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Write a table for the next stage; a CSV has its header even in a table without rows."""
-    writer = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None) -> None:
+    """Write a table for the next stage; a CSV of a table without rows still has its header."""
+    writer = df.write.mode("overwrite").partitionBy(*(partition_by or []))
     if kind == "csv":
-        if df.isEmpty():
-            df = df.sparkSession.createDataFrame([], df.schema).coalesce(1)
-            writer = df.write.mode("overwrite")
-        writer.csv(path, header=True)
+        writer.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False,
+                   ignoreTrailingWhiteSpace=False)
     else:
         writer.format(kind).save(path)
 

@@ -12,6 +12,12 @@ from crowdpeak.checks.views import JOBS, with_sql
 from crowdpeak.functions.numbers import rounded
 from crowdpeak.operators import buckets, jobs, report, signals
 from crowdpeak.plans import analysis
+from crowdpeak.session import cut_lineage
+
+def found_highlights(spark, path):
+    """The highlights, written once: the operators below read them several times."""
+    return cut_lineage(highlights(spark, path))
+
 
 VIEW_Z = """lengths AS (
   SELECT video_id, greatest(max(t), (SELECT max(end_time) FROM highlights h WHERE h.video_id = chats.video_id)) AS len
@@ -57,7 +63,7 @@ dominant AS (
 SELECT video_id, start_time, end_time, round(mean_joy + 1e-9, 6) AS mean_joy, round(mu + 1e-9, 6) AS mu,
   round(sd + 1e-9, 6) AS sd, round(z + 1e-9, 6) AS z FROM zs"""))
 def highlight_z(spark, path):
-    z = report.highlight_z(v.chats(spark, path), highlights(spark, path))
+    z = report.highlight_z(v.chats(spark, path), found_highlights(spark, path))
     return z.select("video_id", "start_time", "end_time",
                     *[rounded(F.col(c), 6).alias(c) for c in ("mean_joy", "mu", "sd", "z")])
 
@@ -65,7 +71,7 @@ def highlight_z(spark, path):
 @query("agg_12_reaction_score", with_sql(*HIGHLIGHTS, VIEW_Z, recursive=True, select="""
 SELECT video_id, round(z + 1e-9, 6) AS mean_z, round(score + 1e-9, 5) AS score FROM scores"""))
 def reaction_score(spark, path):
-    out = report.reaction_score(v.chats(spark, path), highlights(spark, path), v.stats(spark, path))
+    out = report.reaction_score(v.chats(spark, path), found_highlights(spark, path), v.stats(spark, path))
     return out.select("video_id", rounded(F.col("mean_z"), 6).alias("mean_z"),
                       rounded(F.col("score"), 5).alias("score"))
 
@@ -82,17 +88,14 @@ def dominant_emotion(spark, path):
 
 @query("agg_15_highlight_totals", with_sql(*HIGHLIGHTS, TOTALS, recursive=True, select="SELECT * FROM totals"))
 def highlight_totals(spark, path):
-    return report.highlight_totals(v.chats(spark, path), highlights(spark, path), v.stats(spark, path))
+    return report.highlight_totals(v.chats(spark, path), found_highlights(spark, path), v.stats(spark, path))
 
 
 @query("view_recording_report", with_sql(*HIGHLIGHTS, VIEW_Z, PEAKS, TOTALS, MEANS, recursive=True, select="""
 SELECT t.*, round(score + 1e-9, 5) AS score, peak_t, peak_joy, dominant_emotion
 FROM totals t JOIN scores USING (video_id) JOIN peaks USING (video_id) JOIN dominant USING (video_id)"""))
 def recording_report(spark, path):
-    from crowdpeak.session import cut_lineage
-
-    # The report reads the highlights five times, so they are written once.
-    found = cut_lineage(highlights(spark, path))
+    found = found_highlights(spark, path)
     out = analysis.video_report(v.chats(spark, path), found, v.stats(spark, path))
     return out.drop("peak_text").withColumn("score", rounded(F.col("score"), 5))
 

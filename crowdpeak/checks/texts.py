@@ -50,7 +50,7 @@ line_quality AS (
 
 
 def _doc_lines(spark, path):
-    return v.table(spark, path, "documents").select(
+    return v.texts(spark, path, "documents").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
@@ -72,7 +72,7 @@ SELECT doc_id, count(*) AS tokens, count(*) FILTER (WHERE valid) AS valid,
   count(*) FILTER (WHERE NOT valid) AS invalid, count(*) FILTER (WHERE valid IS NULL) AS neutral
 FROM (SELECT doc_id, {VALID_SQL} AS valid FROM tokens) GROUP BY doc_id"""))
 def token_validity(spark, path):
-    tokens = v.table(spark, path, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("tok"))
+    tokens = v.texts(spark, path, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("tok"))
     valid = tokens.withColumn("valid", text.token_validity(F.col("tok"), LATIN))
     return valid.groupBy("doc_id").agg(
         F.count("*").alias("tokens"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"),
@@ -240,7 +240,7 @@ def collapsed_repeats(spark, path):
     # Each word is said up to six times in a row, depending on its length.
     said = F.array_join(F.flatten(F.transform(
         text.words(F.col("text")), lambda w: F.array_repeat(w, (F.length(w) % 6 + 1).cast("int")))), " ")
-    return v.table(spark, path, "conversations").select(
+    return v.texts(spark, path, "conversations").select(
         "conv_id", "turn", text.collapse_repeats(said).alias("collapsed")).filter("collapsed <> ''")
 
 
@@ -299,7 +299,7 @@ def text_and_time(spark, path):
 @query("fn_shortened_text", """
 SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '…' ELSE text END AS shown FROM documents""")
 def shortened_text(spark, path):
-    return v.table(spark, path, "documents").select("doc_id", text.shortened(F.col("text")).alias("shown"))
+    return v.texts(spark, path, "documents").select("doc_id", text.shortened(F.col("text")).alias("shown"))
 
 
 @query("fn_grades", """

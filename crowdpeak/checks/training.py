@@ -86,7 +86,7 @@ SELECT text, min(position) AS position FROM (SELECT {strip_sql('text')} AS text,
   UNION ALL SELECT text, 2000000000 + item_id FROM benchmark))
 WHERE length(text) > 0 GROUP BY text""")
 def corpus(spark, path):
-    docs = v.table(spark, path, "documents").select("text", F.col("doc_id").alias("position"))
+    docs = v.texts(spark, path, "documents").select("text", F.col("doc_id").alias("position"))
     conv = v.table(spark, path, "conversations").select(
         "text", (F.lit(1_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("position"))
     items = v.table(spark, path, "benchmark").select("text", (F.lit(2_000_000_000) + F.col("item_id")).alias("position"))
@@ -146,5 +146,5 @@ def external_model(spark, path):
             return [[s] + [(1 - s) / 6] * 6 for s in share]
         return predict
 
-    docs = v.table(spark, path, "documents").select("doc_id", F.col("text").alias("chat_text"))
+    docs = v.texts(spark, path, "documents").select("doc_id", F.col("text").alias("chat_text"))
     return dataset.classify_with(docs, load).select("doc_id", rounded(F.col("probs")[0], 6).alias("p0"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crowdpeak.session import spread
+
 LENGTH = 3600.0
 
 
@@ -12,6 +14,11 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def texts(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of long texts. A small file is one scan task; its rows are spread, so that all cores share the work."""
+    return spread(table(spark, path, name))
+
+
 def micros_of_day():
     # Wall-clock parts, so that the session time zone does not matter.
     return (F.hour("ts") * 3600 + F.minute("ts") * 60).cast("long") * 1_000_000 + (
@@ -105,7 +112,7 @@ SCREEN = """screen AS (
 
 def scenes(spark: SparkSession, path: str) -> DataFrame:
     """Conversations as recordings: a turn is a scene, its lines are the chat lines."""
-    return table(spark, path, "conversations").select(
+    return texts(spark, path, "conversations").select(
         F.col("conv_id").cast("string").alias("video_id"), (F.col("turn") * 5.0).alias("t"),
         F.split("text", "\n").alias("lines"))
 
@@ -208,7 +215,7 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
 
     e = table(spark, path, "embeddings").select(
         F.col("vec_id").alias("doc_id"), softmax(F.slice("embedding", 1, 7)).alias("_p"))
-    d = table(spark, path, "documents").select("doc_id", F.col("text").alias("chat_text"))
+    d = texts(spark, path, "documents").select("doc_id", F.col("text").alias("chat_text"))
     even = F.array(*[F.lit(1.0 / 7)] * 7)
     return d.join(e, "doc_id", "left").withColumn("probs", F.coalesce("_p", even)).drop("_p")
 

@@ -44,7 +44,7 @@ def duration(spark, path):
 
 @query("win_1_grid", with_sql(CHATS, STATS, GRID, select="SELECT video_id, k, start_sec, end_sec FROM grid"))
 def window_grid(spark, path):
-    return _grid(spark, path)
+    return _grid(spark, path).select("video_id", "k", "start_sec", "end_sec")
 
 
 @query("join_1_chats_in_windows", with_sql(CHATS, STATS, GRID, select="""
@@ -222,8 +222,7 @@ def windows_with_global_stats(spark, path):
     from pyspark.sql import Window
 
     w = Window.partitionBy("video_id")
-    joined = _windows(spark, path).join(v.stats(spark, path).select("video_id", "calculated_threshold"), "video_id")
-    return joined.select("video_id", "k", "calculated_threshold", rounded(F.avg("avg_joy").over(w), 6).alias("mu"),
+    return _windows(spark, path).select("video_id", "k", "calculated_threshold", rounded(F.avg("avg_joy").over(w), 6).alias("mu"),
                          rounded(F.stddev_pop("avg_joy").over(w), 6).alias("sd"), F.count("*").over(w).alias("n"))
 
 

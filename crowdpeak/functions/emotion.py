@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdpeak import fixed_values as fv
-from crowdpeak.functions.numbers import first_argmax, renormalised, rounded
+from crowdpeak.functions.numbers import first_argmax, rounded
 from crowdpeak.functions.text import contains_any, strip
 
 JOY, EMBARRASSED, ANGER, SAD, DISGUST, FEAR, NEUTRAL = range(7)
@@ -34,56 +34,47 @@ class GuardRules:
 def context_boost(df: DataFrame, text: str = "chat_text", probs: str = "probs",
                   rules: ContextRules = ContextRules()) -> DataFrame:
     """Replace `probs` by the vector after the word and pattern rules, clipped and summing to one."""
-    body = strip(F.col(text))
-    signals = df.withColumn("_s", F.struct(
-        contains_any(body, rules.negative).alias("neg"),
-        contains_any(body, rules.positive).alias("pos"),
-        F.regexp_count(body, F.lit(rules.joy)).alias("joy"),
-        F.regexp_count(body, F.lit(rules.sad)).alias("sad"),
-        F.regexp_count(body, F.lit(rules.surprise)).alias("sur"),
-    ))
-    neg, pos = F.col("_s.neg"), F.col("_s.pos")
-    joy, sad, sur = F.col("_s.joy"), F.col("_s.sad"), F.col("_s.sur")
+    # Signs are columns of their own, so that each is computed once per row although many rules look at it.
+    body = F.col("_body")
+    signs = df.withColumn("_body", strip(F.col(text))).withColumns({
+        "_neg": contains_any(body, rules.negative),
+        "_pos": contains_any(body, rules.positive),
+        "_joy": F.regexp_count(body, F.lit(rules.joy)),
+        "_sad": F.regexp_count(body, F.lit(rules.sad)),
+        "_sur": F.regexp_count(body, F.lit(rules.surprise)),
+    })
+    neg, pos = F.col("_neg"), F.col("_pos")
+    joy, sad, sur = F.col("_joy"), F.col("_sad"), F.col("_sur")
     zero = F.lit(0.0)
 
     def capped(count: Column, top: float) -> Column:
         return F.least(F.lit(top), F.lit(0.15) * count)
 
+    def p(i: int) -> Column:
+        return F.col(probs)[i]
+
     # How much each rule adds to its class. The neutral class pays for every rule that fires, one after the other,
     # and never falls below 0.01 when it does.
     mocking = neg & (joy >= 1)
     cheering = ~neg & (pos | (joy >= 2))
-    crying = ~pos & (sad >= 2)
-    startled = ~neg & (sur >= 2)
     cheer = capped(F.greatest(F.lit(1), joy), 0.5)
-    cry, startle = capped(sad, 0.45), capped(sur, 0.4)
-    amounts = signals.withColumn("_a", F.struct(
-        F.when(mocking, F.lit(0.35)).when(neg, F.lit(0.4)).when(cheering, cheer).alias("first"),
-        F.when(crying, cry).alias("cry"),
-        F.when(startled, startle).alias("startle"),
-        F.when(mocking, F.lit(0.35 * 0.3)).otherwise(zero).alias("annoyed"),
-        F.when(mocking, F.lit(0.35 * 0.7)).when(neg, F.lit(0.4)).otherwise(zero).alias("anger"),
-        F.when(cheering, cheer).otherwise(zero).alias("cheer"),
-        mocking.alias("mocking"),
-    ))
-
-    def p(i: int) -> Column:
-        return F.col(probs)[i]
-
+    cry = F.when(~pos & (sad >= 2), capped(sad, 0.45))
+    startle = F.when(~neg & (sur >= 2), capped(sur, 0.4))
     neutral = p(NEUTRAL)
-    for part in ("first", "cry", "startle"):
-        taken = F.col(f"_a.{part}")
+    for taken in (F.when(mocking, F.lit(0.35)).when(neg, F.lit(0.4)).when(cheering, cheer), cry, startle):
         neutral = F.when(taken.isNull(), neutral).otherwise(F.greatest(F.lit(0.01), neutral - taken))
-    joyful = F.when(F.col("_a.mocking"), F.greatest(F.lit(0.01), p(JOY) - 0.25)).otherwise(p(JOY) + F.col("_a.cheer"))
-    values = F.array(
-        joyful,
-        p(EMBARRASSED) + F.col("_a.annoyed") + F.coalesce(F.col("_a.startle"), zero),
-        p(ANGER) + F.col("_a.anger"),
-        p(SAD) + F.coalesce(F.col("_a.cry"), zero),
-        p(DISGUST), p(FEAR), neutral,
-    )
-    raised = amounts.withColumn("_v", F.transform(values, lambda x: F.greatest(x, F.lit(0.001))))
-    return raised.withColumn(probs, renormalised(F.col("_v"))).drop("_s", "_a", "_v")
+    raised = {
+        JOY: F.when(mocking, F.greatest(F.lit(0.01), p(JOY) - 0.25)).when(cheering, p(JOY) + cheer).otherwise(p(JOY)),
+        EMBARRASSED: p(EMBARRASSED) + F.when(mocking, F.lit(0.35 * 0.3)).otherwise(zero) + F.coalesce(startle, zero),
+        ANGER: p(ANGER) + F.when(mocking, F.lit(0.35 * 0.7)).when(neg, F.lit(0.4)).otherwise(zero),
+        SAD: p(SAD) + F.coalesce(cry, zero),
+        DISGUST: p(DISGUST), FEAR: p(FEAR), NEUTRAL: neutral,
+    }
+    floored = signs.withColumns({f"_q{i}": F.greatest(value, F.lit(0.001)) for i, value in raised.items()})
+    parts = [F.col(f"_q{i}") for i in range(7)]
+    total = sum(parts[1:], parts[0])
+    return floored.withColumn("_total", total).withColumn(probs, F.array(*[q / F.col("_total") for q in parts])).drop(
+        "_body", "_neg", "_pos", "_joy", "_sad", "_sur", "_total", *[f"_q{i}" for i in range(7)])
 
 
 def guardrails(df: DataFrame, text: str = "chat_text", probs: str = "probs",

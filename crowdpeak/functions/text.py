@@ -13,8 +13,15 @@ from crowdpeak import fixed_values as fv
 SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+SPACE_CHARS = (
+    "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def words(text: Column) -> Column:
@@ -51,9 +58,16 @@ def token_validity(token: Column, rules: TokenRules = TokenRules()) -> Column:
 
 
 def is_quality_line(line: Column, rules: TokenRules = TokenRules()) -> Column:
-    judged = F.filter(F.transform(words(line), lambda w: token_validity(w, rules)), lambda v: v.isNotNull())
-    valid = F.size(F.filter(judged, lambda v: v))
-    return (F.size(judged) > 0) & (valid >= F.size(judged) * F.lit(rules.min_share))
+    # One pass over the words: the sum holds the judged words in its upper half and the valid ones in its lower half.
+    def add(acc: Column, w: Column) -> Column:
+        valid = token_validity(w, rules)
+        return acc + F.when(valid, F.lit((1 << 32) + 1)).when(~valid, F.lit(1 << 32)).otherwise(F.lit(0).cast("long"))
+
+    def enough(both: Column) -> Column:
+        judged, valid = F.shiftright(both, 32), both.bitwiseAND(F.lit((1 << 32) - 1))
+        return (judged > 0) & (valid >= judged * F.lit(rules.min_share))
+
+    return F.aggregate(words(line), F.lit(0).cast("long"), add, enough)
 
 
 def is_legible(text: Column, confidence: Column, min_confidence: float = 0.5) -> Column:

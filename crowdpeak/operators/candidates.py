@@ -14,11 +14,10 @@ FIELDS = ["video_id", "start_time", "end_time", "duration", "window_score", "avg
           "visual_score", "low_energy_boost"]
 
 
-def chat_candidates(windows: DataFrame, stats: DataFrame) -> DataFrame:
-    """Windows with chats whose rounded chat score reaches the threshold of their recording."""
+def chat_candidates(windows: DataFrame) -> DataFrame:
+    """Windows with chats whose rounded chat score reaches the `calculated_threshold` of their recording."""
     return (
-        windows.filter("chat_count > 0").join(stats.select("video_id", "calculated_threshold"), "video_id")
-        .withColumn("window_score", rounded(F.col("chat_score")))
+        windows.filter("chat_count > 0").withColumn("window_score", rounded(F.col("chat_score")))
         .filter(F.col("window_score") >= F.col("calculated_threshold"))
         .select("video_id", "k", rounded(F.col("start_sec")).alias("start_time"),
                 rounded(F.col("end_sec")).alias("end_time"),
@@ -30,17 +29,26 @@ def chat_candidates(windows: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def fusion_candidates(windows: DataFrame) -> DataFrame:
-    """Windows whose fusion reaches the threshold of their recording, scored 0-100."""
-    screen = F.col("has_screen") if "has_screen" in windows.columns else F.lit(False)
+    """Windows whose fusion reaches the threshold of their recording, scored 0-100.
+
+    A recording without sound is judged by its chat, as in `chat_candidates`; it has none of the fusion fields.
+    """
+    heard = F.col("has_audio")
+    screen = heard & F.col("has_screen") if "has_screen" in windows.columns else F.lit(False)
     visual = F.col("visual_score") if "visual_score" in windows.columns else F.lit(None).cast("double")
+    chat = rounded(F.col("chat_score"))
+    passes = F.when(heard, comparable(F.col("fusion")) >= comparable(F.col("fusion_threshold"))).otherwise(
+        (F.col("chat_count") > 0) & (chat >= F.col("calculated_threshold")))
     return (
-        windows.filter(comparable(F.col("fusion")) >= comparable(F.col("fusion_threshold")))
+        windows.filter(passes)
         .select("video_id", "k", rounded(F.col("start_sec")).alias("start_time"),
                 rounded(F.col("end_sec")).alias("end_time"),
                 rounded(F.col("end_sec") - F.col("start_sec")).alias("duration"),
-                rounded(F.col("fusion") * 100).alias("window_score"), rounded(F.col("avg_joy")).alias("avg_joy"),
-                "chat_count", rounded(F.col("audio_rank"), 4).alias("audio_score"),
-                F.when(screen, rounded(visual, 4)).alias("visual_score"), "low_energy_boost")
+                F.when(heard, rounded(F.col("fusion") * 100)).otherwise(chat).alias("window_score"),
+                rounded(F.col("avg_joy")).alias("avg_joy"), "chat_count",
+                F.when(heard, rounded(F.col("audio_rank"), 4)).alias("audio_score"),
+                F.when(screen, rounded(visual, 4)).alias("visual_score"),
+                F.when(heard, F.col("low_energy_boost")).alias("low_energy_boost"))
     )
 
 
@@ -50,10 +58,12 @@ def with_islands(candidates: DataFrame) -> DataFrame:
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     starts = F.when(F.col("start_time") <= F.max("end_time").over(before), 0).otherwise(1)
     group = Window.partitionBy("video_id", "island")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    # Starts only grow, so the start of the group is the last one that opened a group.
+    opened = F.when(F.col("_starts") == 1, F.col("start_time"))
     return (
         candidates.withColumn("_starts", starts)
-        .withColumn("island", F.sum("_starts").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("island_start", F.min("start_time").over(group))
+        .select("*", F.sum("_starts").over(upto).alias("island"), F.max(opened).over(upto).alias("island_start"))
         .withColumn("island_end", F.max("end_time").over(group))
         .drop("_starts")
     )
@@ -103,10 +113,8 @@ def capped_intervals(candidates: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     )
     island = Window.partitionBy("video_id", "island")
     best_first = island.orderBy((F.col("span") < 0), F.col("mean_cents").desc(), "span")
-    chosen = (
-        spans.withColumn("_order", F.row_number().over(best_first))
-        .withColumn("_first", F.first("span").over(best_first))
-    )
+    chosen = spans.select("*", F.row_number().over(best_first).alias("_order"),
+                          F.first("span").over(best_first).alias("_first"))
     apart = int(-(-(cap + s.second_span_gap_sec) // step))
     far = F.abs(F.col("span") - F.col("_first")) >= apart
     second_ok = (

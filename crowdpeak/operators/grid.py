@@ -49,13 +49,17 @@ def window_count(duration: Column, s: Settings = DEFAULT) -> Column:
 
 
 def window_grid(videos: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """One row per window of each recording in `videos(video_id, duration_sec)`. The last window may be cut short."""
+    """One row per window of each recording in `videos(video_id, duration_sec)`. The last window may be cut short.
+
+    A threshold in `videos` stays with the windows, so that they need not be joined with `videos` again.
+    """
+    more = [c for c in ("calculated_threshold",) if c in videos.columns]
     return (
-        videos.select("video_id", "duration_sec", window_count(F.col("duration_sec"), s).alias("_n"))
-        .filter("_n > 0")
-        .select("video_id", "duration_sec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("k"))
+        videos.withColumn("_n", window_count(F.col("duration_sec"), s)).filter("_n > 0")
+        .select("video_id", "duration_sec", *more,
+                F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("k"))
         .select("video_id", "k", (F.col("k") * s.step_sec).alias("start_sec"),
-                F.least(F.col("k") * s.step_sec + s.window_sec, F.col("duration_sec")).alias("end_sec"))
+                F.least(F.col("k") * s.step_sec + s.window_sec, F.col("duration_sec")).alias("end_sec"), *more)
     )
 
 

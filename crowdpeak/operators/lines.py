@@ -65,22 +65,35 @@ def _line_windows(lines: DataFrame, s: Settings) -> DataFrame:
     return lines.withColumn("k", F.explode(F.sequence(first, j))).filter("k >= 0")
 
 
-def line_grams(lines: DataFrame, s: Settings = DEFAULT, text: str = "line") -> DataFrame:
-    """Distinct character n-grams of each line, with the weight that makes the line a vector of length one."""
-    body = F.regexp_replace(F.lower(F.replace(F.col(text), F.lit(" "), F.lit(""))), r"(?U)\s\s+", " ")
-
-    def grams(size: int) -> Column:
-        last = F.length("_body") - (size - 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("_body", i, F.lit(size)))
+def _grams(body: Column, sizes: tuple[int, ...]) -> Column:
+    def of_size(n: int) -> Column:
+        last = F.length(body) - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(body, i, F.lit(n)))
                       ).otherwise(F.array().cast("array<string>"))
 
-    exploded = lines.withColumn("_body", body).withColumn("_gram", F.explode(F.concat(*[
-        grams(n) for n in s.line_ngrams]))).drop("_body", text)
-    keys = [c for c in exploded.columns if c != "_gram"]
-    counted = exploded.groupBy(*keys, "_gram").agg(F.count("*").alias("_c"))
-    lengths = counted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("_c") * F.col("_c"))).alias("_len"))
-    return counted.join(lengths, keys).withColumn("weight", F.col("_c") / F.col("_len")).withColumnRenamed(
-        "_gram", "gram").drop("_c", "_len")
+    return F.concat(*[of_size(n) for n in sizes])
+
+
+def _length_of_counts(sorted_grams: Column) -> Column:
+    """Length of the count vector of a sorted array: the c-th copy of a value adds c^2 - (c-1)^2 = 2c - 1."""
+    start = F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("run"), F.lit(0.0).alias("total"))
+
+    def step(acc: Column, gram: Column) -> Column:
+        run = F.when(acc["gram"] == gram, acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(gram.alias("gram"), run.alias("run"), (acc["total"] + run * 2 - 1).alias("total"))
+
+    return F.sqrt(F.aggregate(sorted_grams, start, step)["total"])
+
+
+def line_vectors(lines: DataFrame, s: Settings = DEFAULT, text: str = "line") -> DataFrame:
+    """Add `grams`, the character n-grams of each line without spaces, and `weight`, what one occurrence adds to a
+    vector of length one. A line that is too short for an n-gram has no grams and no vector."""
+    body = F.regexp_replace(F.lower(F.replace(F.col(text), F.lit(" "), F.lit(""))), r"(?U)\s\s+", " ")
+    return (
+        lines.withColumn("_body", body).withColumn("grams", F.array_sort(_grams(F.col("_body"), s.line_ngrams)))
+        .withColumn("weight", 1 / F.when(F.size("grams") > 0, _length_of_counts(F.col("grams"))))
+        .drop("_body", text)
+    )
 
 
 def line_scores(lines: DataFrame, windows: DataFrame, scenes: DataFrame | None = None,
@@ -88,28 +101,24 @@ def line_scores(lines: DataFrame, windows: DataFrame, scenes: DataFrame | None =
     """Number of new lines (`chat_freq`) and their mean pairwise cosine (`chat_conc`) for each window.
 
     With unit vectors, the sum over all pairs is (|sum of vectors|^2 - number of vectors) / 2, so no pair of lines is
-    ever formed: the vectors are added per n-gram and squared. `has_lines` marks recordings in `scenes`.
+    ever formed: every n-gram adds its weight to its windows, and the sums are squared. `has_lines` marks recordings
+    in `scenes`.
     """
     if clip_to is not None:
         ends = clip_to.select("video_id", F.col("duration_sec").alias("_end"))
         lines = lines.join(ends, "video_id").filter(F.col("t") <= F.col("_end")).drop("_end")
-    placed = _line_windows(lines.select("video_id", "t", "line_no"), s)
-    counts = placed.groupBy("video_id", "k").agg(F.count("*").alias("chat_freq"))
-    grams = line_grams(lines.select("video_id", "t", "line_no", "line"), s)
-    # Vectors are added per scene first: a scene goes to up to seven windows, its lines do not.
-    scene_grams = grams.groupBy("video_id", "t", "gram").agg(F.sum("weight").alias("weight"))
-    scene_lines = grams.select("video_id", "t", "line_no").distinct().groupBy("video_id", "t").agg(
-        F.count("*").alias("_vectors"))
+    placed = _line_windows(line_vectors(lines.select("video_id", "t", "line"), s), s)
     squares = (
-        _line_windows(scene_grams, s).groupBy("video_id", "k", "gram").agg(F.sum("weight").alias("_w"))
+        placed.select("video_id", "k", "weight", F.explode("grams").alias("gram"))
+        .groupBy("video_id", "k", "gram").agg(F.sum("weight").alias("_w"))
         .groupBy("video_id", "k").agg(F.sum(F.col("_w") * F.col("_w")).alias("_square"))
     )
-    vectors = _line_windows(scene_lines, s).groupBy("video_id", "k").agg(F.sum("_vectors").alias("_vectors"))
+    counts = placed.groupBy("video_id", "k").agg(
+        F.count("*").alias("chat_freq"), F.count("weight").alias("_vectors"))
     m = F.col("chat_freq")
     conc = (F.coalesce("_square", F.lit(0.0)) - F.coalesce("_vectors", F.lit(0))) / (m * (m - 1))
     out = (
         windows.join(counts, ["video_id", "k"], "left").join(squares, ["video_id", "k"], "left")
-        .join(vectors, ["video_id", "k"], "left")
         .withColumn("chat_freq", F.coalesce("chat_freq", F.lit(0)))
         .withColumn("chat_conc", F.when(m >= s.line_min_count, conc))
         .drop("_square", "_vectors")

@@ -53,16 +53,8 @@ def candidate_windows(chats: DataFrame, stats: DataFrame, signals: Signals = Sig
     """
     ends = stats if clip else None
     if signals.voice is None:
-        windows = grid.chat_scores(chats, grid.window_grid(stats, s), ends, s=s)
-        return cand.chat_candidates(windows, stats)
-    heard = signals.voice.select("video_id").distinct()
-    with_voice = stats.join(heard, "video_id", "left_semi")
-    without = stats.join(heard, "video_id", "left_anti")
-    fused = cand.fusion_candidates(
-        fused_windows(chats, with_voice, signals, clip, exact_lines, s).filter("has_audio"))
-    plain = cand.chat_candidates(
-        grid.chat_scores(chats, grid.window_grid(without, s), without if clip else None, s=s), without)
-    return fused.unionByName(plain)
+        return cand.chat_candidates(grid.chat_scores(chats, grid.window_grid(stats, s), ends, s=s))
+    return cand.fusion_candidates(fused_windows(chats, stats, signals, clip, exact_lines, s))
 
 
 def first_stage(chats: DataFrame, stats: DataFrame, signals: Signals = Signals(), clip: bool = True,

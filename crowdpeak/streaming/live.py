@@ -50,7 +50,7 @@ def candidate_refresh(history: Callable[[], DataFrame], sink: str, s: Settings =
         chats = history().join(touched, "video_id", "left_semi")
         stats = grid.video_stats(chats, s=s)
         windows = grid.chat_scores(chats, grid.window_grid(stats, s), stats if clip else None, s=s)
-        found = cand.first_stage(cand.chat_candidates(windows, stats), s)
+        found = cand.first_stage(cand.chat_candidates(windows), s)
         found.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
             f"{sink}/batch_{batch_id}")
     return refresh

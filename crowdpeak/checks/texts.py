@@ -235,13 +235,14 @@ keyed AS (
   SELECT conv_id, turn, i, ws[i] AS w, row_number() OVER (PARTITION BY conv_id, turn, ks[i], i - r ORDER BY i) AS n FROM (
     SELECT *, row_number() OVER (PARTITION BY conv_id, turn, ks[i] ORDER BY i) AS r FROM (
       SELECT conv_id, turn, ws, ks, unnest(range(1, len(ws) + 1)) AS i FROM keyed)))""", select="""
-SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS collapsed FROM runs WHERE n <= 3 GROUP BY ALL"""))
+SELECT conv_id, turn, coalesce(kept, '') AS collapsed FROM conversations LEFT JOIN (
+  SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS kept FROM runs WHERE n <= 3 GROUP BY ALL) USING (conv_id, turn)"""))
 def collapsed_repeats(spark, path):
     # Each word is said up to six times in a row, depending on its length.
     said = F.array_join(F.flatten(F.transform(
         text.words(F.col("text")), lambda w: F.array_repeat(w, (F.length(w) % 6 + 1).cast("int")))), " ")
     return v.texts(spark, path, "conversations").select(
-        "conv_id", "turn", text.collapse_repeats(said).alias("collapsed")).filter("collapsed <> ''")
+        "conv_id", "turn", text.collapse_repeats(said).alias("collapsed"))
 
 
 @query("emo_7_speech_emotion", with_sql(VECTORS, select=f"""

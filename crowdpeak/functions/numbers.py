@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ NUDGE = 1e-9
 RANK_DIGITS = 9
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row. An expression that is used inside the lambda of an array
+    function would otherwise be computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rounded(value: Column, digits: int = 2) -> Column:
     return F.round(value + F.lit(NUDGE), digits)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdpeak import fixed_values as fv
+from crowdpeak.functions.numbers import bound
 
 # Every character that counts as whitespace for trimming and splitting, not only the space.
 SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -90,7 +91,6 @@ def collapse_repeats(text: Column, max_repeat: int = 3) -> Column:
         bare = F.btrim(w, punctuation)
         return F.when(bare == "", w).otherwise(bare)
 
-    # A one-element array binds the pairs of word and key once, instead of once per lambda call.
     pairs = F.transform(words(text), lambda w: F.struct(w.alias("word"), keyed(w).alias("key")))
 
     def kept(all_pairs: Column) -> Column:
@@ -102,7 +102,7 @@ def collapse_repeats(text: Column, max_repeat: int = 3) -> Column:
 
         return F.array_join(F.transform(F.filter(all_pairs, keep), lambda p: p["word"]), " ")
 
-    return F.transform(F.array(pairs), kept)[0]
+    return bound(pairs, kept)
 
 
 def clock(seconds: Column, rounding: str = "floor", hours: bool = False) -> Column:

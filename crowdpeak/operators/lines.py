@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crowdpeak.functions.numbers import bound
 from crowdpeak.operators.buckets import slot_of, with_previous
 from crowdpeak.settings import Settings
 
@@ -65,18 +66,27 @@ def _line_windows(lines: DataFrame, s: Settings) -> DataFrame:
     return lines.withColumn("k", F.explode(F.sequence(first, j))).filter("k >= 0")
 
 
-def _grams(body: Column, sizes: tuple[int, ...]) -> Column:
+def _grams(codes: Column, sizes: tuple[int, ...]) -> Column:
+    """All n-grams of an array of code points, each packed into one whole number: 21 bits per character."""
     def of_size(n: int) -> Column:
-        last = F.length(body) - (n - 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(body, i, F.lit(n)))
-                      ).otherwise(F.array().cast("array<string>"))
-
+        def pack(code: Column, i: Column) -> Column:
+            value = code
+            for ahead in range(1, n):
+                value = value * (1 << 21) + F.get(codes, i + ahead)
+            return value
+
+        count = F.size(codes) - (n - 1)
+        return F.when(count >= 1, F.transform(F.slice(codes, F.lit(1), count), pack)).otherwise(
+            F.array().cast("array<bigint>"))
+
+    if max(sizes) > 3:
+        raise ValueError("n-grams of more than three characters do not fit into a whole number")
     return F.concat(*[of_size(n) for n in sizes])
 
 
 def _length_of_counts(sorted_grams: Column) -> Column:
     """Length of the count vector of a sorted array: the c-th copy of a value adds c^2 - (c-1)^2 = 2c - 1."""
-    start = F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("run"), F.lit(0.0).alias("total"))
+    start = F.struct(F.lit(-1).cast("bigint").alias("gram"), F.lit(0).alias("run"), F.lit(0.0).alias("total"))
 
     def step(acc: Column, gram: Column) -> Column:
         run = F.when(acc["gram"] == gram, acc["run"] + 1).otherwise(F.lit(1))
@@ -89,11 +99,15 @@ def line_vectors(lines: DataFrame, s: Settings = DEFAULT, text: str = "line") ->
     """Add `grams`, the character n-grams of each line without spaces, and `weight`, what one occurrence adds to a
     vector of length one. A line that is too short for an n-gram has no grams and no vector."""
     body = F.regexp_replace(F.lower(F.replace(F.col(text), F.lit(" "), F.lit(""))), r"(?U)\s\s+", " ")
-    return (
-        lines.withColumn("_body", body).withColumn("grams", F.array_sort(_grams(F.col("_body"), s.line_ngrams)))
-        .withColumn("weight", 1 / F.when(F.size("grams") > 0, _length_of_counts(F.col("grams"))))
-        .drop("_body", text)
-    )
+    chars = F.regexp_extract_all(body, F.lit("(?s)."), F.lit(0))
+    codes = F.transform(chars, lambda c: F.ascii(c).cast("bigint"))
+
+    def vector(all_codes: Column) -> Column:
+        return bound(F.sort_array(_grams(all_codes, s.line_ngrams)), lambda grams: F.struct(
+            grams.alias("grams"), (1 / F.when(F.size(grams) > 0, _length_of_counts(grams))).alias("weight")))
+
+    return lines.withColumn("_v", bound(codes, vector)).select(
+        *[c for c in lines.columns if c != text], "_v.grams", "_v.weight")
 
 
 def line_scores(lines: DataFrame, windows: DataFrame, scenes: DataFrame | None = None,
@@ -107,18 +121,24 @@ def line_scores(lines: DataFrame, windows: DataFrame, scenes: DataFrame | None =
     if clip_to is not None:
         ends = clip_to.select("video_id", F.col("duration_sec").alias("_end"))
         lines = lines.join(ends, "video_id").filter(F.col("t") <= F.col("_end")).drop("_end")
-    placed = _line_windows(line_vectors(lines.select("video_id", "t", "line"), s), s)
-    squares = (
-        placed.select("video_id", "k", "weight", F.explode("grams").alias("gram"))
-        .groupBy("video_id", "k", "gram").agg(F.sum("weight").alias("_w"))
-        .groupBy("video_id", "k").agg(F.sum(F.col("_w") * F.col("_w")).alias("_square"))
+    # Two marks travel with the n-grams of a line, so that one pass also counts lines and vectors.
+    line_mark, vector_mark = F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint")
+    vectors = line_vectors(lines.select("video_id", "t", "line"), s)
+    marked = vectors.withColumn("grams", F.concat(
+        F.when(F.col("weight").isNull(), F.array(line_mark)).otherwise(F.array(line_mark, vector_mark)), "grams"))
+    gram = F.col("gram")
+    sums = (
+        _line_windows(marked, s).select("video_id", "k", "weight", F.explode("grams").alias("gram"))
+        .groupBy("video_id", "k", "gram").agg(F.sum(F.when(gram < 0, 1.0).otherwise(F.col("weight"))).alias("_w"))
+        .groupBy("video_id", "k").agg(
+            F.sum(F.when(gram == line_mark, F.col("_w"))).cast("bigint").alias("chat_freq"),
+            F.sum(F.when(gram == vector_mark, F.col("_w"))).alias("_vectors"),
+            F.sum(F.when(gram >= 0, F.col("_w") * F.col("_w"))).alias("_square"))
     )
-    counts = placed.groupBy("video_id", "k").agg(
-        F.count("*").alias("chat_freq"), F.count("weight").alias("_vectors"))
     m = F.col("chat_freq")
-    conc = (F.coalesce("_square", F.lit(0.0)) - F.coalesce("_vectors", F.lit(0))) / (m * (m - 1))
+    conc = (F.coalesce("_square", F.lit(0.0)) - F.coalesce("_vectors", F.lit(0.0))) / (m * (m - 1))
     out = (
-        windows.join(counts, ["video_id", "k"], "left").join(squares, ["video_id", "k"], "left")
+        windows.join(sums, ["video_id", "k"], "left")
         .withColumn("chat_freq", F.coalesce("chat_freq", F.lit(0)))
         .withColumn("chat_conc", F.when(m >= s.line_min_count, conc))
         .drop("_square", "_vectors")

@@ -13,6 +13,8 @@ def build_session(app: str = "crowdpeak", master: str | None = None, **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Few bytes can mean much work here (a line becomes hundreds of n-grams), so small shuffles keep their tasks.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
     )
     if master:

@@ -67,7 +67,7 @@ def with_previous(df: DataFrame, order: str, columns: dict[str, str], max_gap: f
 
 
 def asof_last(left: DataFrame, right: DataFrame, value: str, left_t: str = "t", right_t: str = "t",
-              key: str = "video_id", tie: str | None = None, bucket_sec: float = 300.0,
+              key: str = "video_id", tie: str | None = None, bucket_sec: float = 60.0,
               out: str = "last_value") -> DataFrame:
     """For each left row, the value of the last right row at or before it.
 

@@ -150,8 +150,11 @@ def count_rows(boxes: DataFrame, keys: list[str], height: str, s: Settings = DEF
 
 def refined_groups(grouped: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Boxes of the largest groups that look like chat: usual height, and part of the largest block of their frame."""
-    sizes = grouped.groupBy("video_id", "group_left").agg(
-        F.count("*").alias("_size"), F.median(F.col("ymax") - F.col("ymin")).alias("median_height"))
+    # Equal heights are counted first, which shrinks a group before its median is taken.
+    heights = grouped.groupBy("video_id", "group_left", (F.col("ymax") - F.col("ymin")).alias("_height")).agg(
+        F.count("*").alias("_n"))
+    sizes = heights.groupBy("video_id", "group_left").agg(
+        F.sum("_n").alias("_size"), F.percentile("_height", F.lit(0.5), F.col("_n")).alias("median_height"))
     # Groups are at least one gap apart, so a recording has at most 1 / gap of them.
     order = Window.partitionBy("video_id").orderBy(F.col("_size").desc(), "group_left")
     largest = sizes.withColumn("group_order", F.row_number().over(order)).filter(

@@ -22,22 +22,26 @@ def view_lengths(chats: DataFrame, highlights: DataFrame) -> DataFrame:
         "video_id", F.greatest("_last", "_end").alias("duration_sec"))
 
 
-def highlight_z(chats: DataFrame, highlights: DataFrame, joy: str = "joy_pct", s: Settings = DEFAULT) -> DataFrame:
-    """Standard score of each highlight: mean joy of the windows inside it against all windows with chats.
-
-    One row per highlight with at least one window inside, with the mean and deviation of its recording.
-    """
+def _highlight_moments(chats: DataFrame, highlights: DataFrame, joy: str, s: Settings) -> DataFrame:
+    """Each highlight of a recording with chats: mean joy of the windows inside it, if there are any, and mean and
+    deviation of all windows of the recording that have chats. Both sides have a bounded number of rows a recording."""
     grid = window_grid(view_lengths(chats, highlights), s)
     sums = closed_window_sums(chats, joy, s=s)
-    windows = grid.join(sums, ["video_id", "k"]).withColumn("joy", F.col("total") / F.col("n"))
     whole = Window.partitionBy("video_id")
-    windows = windows.withColumn("mu", F.avg("joy").over(whole)).withColumn("sd", F.stddev_pop("joy").over(whole))
-    inside = windows.join(highlights.select("video_id", "start_time", "end_time"), "video_id").filter(
-        (F.col("start_sec") >= F.col("start_time")) & (F.col("end_sec") <= F.col("end_time")))
-    per = inside.groupBy("video_id", "start_time", "end_time").agg(
-        F.avg("joy").alias("mean_joy"), F.first("mu").alias("mu"), F.first("sd").alias("sd"))
-    flat = F.col("sd") < 1e-9
-    return per.withColumn("z", F.when(~flat, (F.col("mean_joy") - F.col("mu")) / F.col("sd")))
+    value = F.col("total") / F.col("n")
+    windows = grid.join(sums, ["video_id", "k"]).select(
+        "video_id", "start_sec", "end_sec", value.alias("joy"), F.avg(value).over(whole).alias("mu"),
+        F.stddev_pop(value).over(whole).alias("sd"))
+    inside = (F.col("start_sec") >= F.col("start_time")) & (F.col("end_sec") <= F.col("end_time"))
+    per = windows.join(highlights.select("video_id", "start_time", "end_time"), "video_id").groupBy(
+        "video_id", "start_time", "end_time").agg(
+        F.avg(F.when(inside, F.col("joy"))).alias("mean_joy"), F.first("mu").alias("mu"), F.first("sd").alias("sd"))
+    return per.withColumn("z", F.when(F.col("sd") >= 1e-9, (F.col("mean_joy") - F.col("mu")) / F.col("sd")))
+
+
+def highlight_z(chats: DataFrame, highlights: DataFrame, joy: str = "joy_pct", s: Settings = DEFAULT) -> DataFrame:
+    """Standard score of each highlight with at least one window inside: its mean joy against that of all windows."""
+    return _highlight_moments(chats, highlights, joy, s).filter(F.col("mean_joy").isNotNull())
 
 
 def reaction_score(chats: DataFrame, highlights: DataFrame, videos: DataFrame, joy: str = "joy_pct",
@@ -46,15 +50,11 @@ def reaction_score(chats: DataFrame, highlights: DataFrame, videos: DataFrame, j
 
     Even joy scores 50. Without a usable window the mean final score stands in; without highlights the score is 0.
     """
-    lengths = view_lengths(chats, highlights)
-    sums = closed_window_sums(chats, joy, s=s)
-    spread = window_grid(lengths, s).join(sums, ["video_id", "k"]).groupBy("video_id").agg(
-        F.stddev_pop(F.col("total") / F.col("n")).alias("_sd"))
-    z = highlight_z(chats, highlights, joy, s).groupBy("video_id").agg(F.avg("z").alias("mean_z"))
+    z = _highlight_moments(chats, highlights, joy, s).groupBy("video_id").agg(
+        F.avg("z").alias("mean_z"), F.first("sd").alias("_sd"))
     finals = highlights.groupBy("video_id").agg(F.avg("final_highlight_score").alias("_final"))
     return (
-        videos.select("video_id").join(finals, "video_id", "left").join(spread, "video_id", "left")
-        .join(z, "video_id", "left")
+        videos.select("video_id").join(finals, "video_id", "left").join(z, "video_id", "left")
         .select(
             "video_id", "mean_z",
             F.when(F.col("_final").isNull(), F.lit(0.0))

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from crowdpeak.checks import views as v
-from crowdpeak.checks.intervals import HIGHLIGHTS, STAGE_1, highlights, stage_1
+from crowdpeak.checks.intervals import HIGHLIGHTS, highlights
 from crowdpeak.checks.registry import query
 from crowdpeak.checks.texts import strip_sql
-from crowdpeak.checks.views import CHATS, SCENES, SCREEN, STATS, with_sql
+from crowdpeak.checks.views import CHATS, SCENES, SCREEN, with_sql
 from crowdpeak.functions.numbers import rounded
 from crowdpeak.session import shared_folder
 from crowdpeak.sources import ingest, tables

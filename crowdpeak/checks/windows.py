@@ -88,11 +88,9 @@ SELECT g.video_id, g.k,
   (SELECT count(*) FROM screen s WHERE s.video_id = g.video_id AND s.t >= g.start_sec AND s.t < g.end_sec) AS samples
 FROM grid g"""))
 def half_open_windows(spark, path):
-    from crowdpeak.settings import Settings
-
-    seconds = grid._spread_half_open(v.voice(spark, path), "sec", Settings()).groupBy("video_id", "k").agg(
+    seconds = grid.spread_half_open(v.voice(spark, path), "sec").groupBy("video_id", "k").agg(
         F.count("*").alias("seconds"))
-    samples = grid._spread_half_open(v.screen(spark, path), "t", Settings()).groupBy("video_id", "k").agg(
+    samples = grid.spread_half_open(v.screen(spark, path), "t").groupBy("video_id", "k").agg(
         F.count("*").alias("samples"))
     out = _grid(spark, path).join(seconds, ["video_id", "k"], "left").join(samples, ["video_id", "k"], "left")
     return out.select("video_id", "k", F.coalesce("seconds", F.lit(0)).alias("seconds"),

@@ -69,6 +69,32 @@ MESSAGE_TIERS = [80, 60, 40]
 ERF_P = 0.3275911
 ERF_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
 
+# Relative times and elapsed times.
+AGE_NOW = "방금 전"
+AGE_MINUTES, AGE_HOURS, AGE_DAYS = "%d분 전", "%d시간 전", "%d일 전"
+ELAPSED_MINUTES, ELAPSED_SECONDS = "%d분 %d초", "%d초"
+
+# What the context rules add or take.
+MOCKING_SHIFT, MOCKING_JOY_LOSS = 0.35, 0.25
+MOCKING_TO_ANGER, MOCKING_TO_EMBARRASSED = 0.7, 0.3
+NEGATIVE_SHIFT = 0.4
+SHIFT_PER_SIGN = 0.15
+MOST_CHEER, MOST_SAD, MOST_SURPRISE = 0.50, 0.45, 0.40
+LEAST_LEFT, LEAST_PROBABILITY = 0.01, 0.001
+
+# Least probability a guardrail gives its label.
+GUARD_QUESTION, GUARD_CHEER, GUARD_ANGER, GUARD_DISGUST = 0.75, 0.85, 0.80, 0.80
+
+# Region by majority vote: thirds of the screen, what belongs to the chosen third, and margins.
+VOTE_LEFT, VOTE_RIGHT = 0.35, 0.65
+VOTE_RIGHT_FROM, VOTE_LEFT_TO, VOTE_MIDDLE = 0.55, 0.45, (0.30, 0.70)
+VOTE_MARGIN_X, VOTE_MARGIN_Y = 0.03, 0.05
+VOTE_LEAST_BOXES = 3
+
+# Weighted fusion of window totals: usual and quiet-but-intense weights of chat, sound and screen.
+WEIGHTS, QUIET_WEIGHTS = (0.4, 0.3, 0.3), (0.6, 0.1, 0.3)
+QUIET_BELOW, INTENSE_ABOVE, FULL_CHAT = 0.3, 0.5, 20.0
+
 # Chat region used when too few boxes are seen: (ymin, xmin, ymax, xmax).
 DEFAULT_REGION = (0.15, 0.65, 0.95, 0.98)
 

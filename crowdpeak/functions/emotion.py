@@ -48,7 +48,7 @@ def context_boost(df: DataFrame, text: str = "chat_text", probs: str = "probs",
     zero = F.lit(0.0)
 
     def capped(count: Column, top: float) -> Column:
-        return F.least(F.lit(top), F.lit(0.15) * count)
+        return F.least(F.lit(top), F.lit(fv.SHIFT_PER_SIGN) * count)
 
     def p(i: int) -> Column:
         return F.col(probs)[i]
@@ -57,20 +57,24 @@ def context_boost(df: DataFrame, text: str = "chat_text", probs: str = "probs",
     # and never falls below 0.01 when it does.
     mocking = neg & (joy >= 1)
     cheering = ~neg & (pos | (joy >= 2))
-    cheer = capped(F.greatest(F.lit(1), joy), 0.5)
-    cry = F.when(~pos & (sad >= 2), capped(sad, 0.45))
-    startle = F.when(~neg & (sur >= 2), capped(sur, 0.4))
+    cheer = capped(F.greatest(F.lit(1), joy), fv.MOST_CHEER)
+    cry = F.when(~pos & (sad >= 2), capped(sad, fv.MOST_SAD))
+    startle = F.when(~neg & (sur >= 2), capped(sur, fv.MOST_SURPRISE))
     neutral = p(NEUTRAL)
-    for taken in (F.when(mocking, F.lit(0.35)).when(neg, F.lit(0.4)).when(cheering, cheer), cry, startle):
-        neutral = F.when(taken.isNull(), neutral).otherwise(F.greatest(F.lit(0.01), neutral - taken))
+    first = F.when(mocking, F.lit(fv.MOCKING_SHIFT)).when(neg, F.lit(fv.NEGATIVE_SHIFT)).when(cheering, cheer)
+    for taken in (first, cry, startle):
+        neutral = F.when(taken.isNull(), neutral).otherwise(F.greatest(F.lit(fv.LEAST_LEFT), neutral - taken))
     raised = {
-        JOY: F.when(mocking, F.greatest(F.lit(0.01), p(JOY) - 0.25)).when(cheering, p(JOY) + cheer).otherwise(p(JOY)),
-        EMBARRASSED: p(EMBARRASSED) + F.when(mocking, F.lit(0.35 * 0.3)).otherwise(zero) + F.coalesce(startle, zero),
-        ANGER: p(ANGER) + F.when(mocking, F.lit(0.35 * 0.7)).when(neg, F.lit(0.4)).otherwise(zero),
+        JOY: F.when(mocking, F.greatest(F.lit(fv.LEAST_LEFT), p(JOY) - fv.MOCKING_JOY_LOSS))
+        .when(cheering, p(JOY) + cheer).otherwise(p(JOY)),
+        EMBARRASSED: p(EMBARRASSED) + F.when(
+            mocking, F.lit(fv.MOCKING_SHIFT * fv.MOCKING_TO_EMBARRASSED)).otherwise(zero) + F.coalesce(startle, zero),
+        ANGER: p(ANGER) + F.when(mocking, F.lit(fv.MOCKING_SHIFT * fv.MOCKING_TO_ANGER)).when(
+            neg, F.lit(fv.NEGATIVE_SHIFT)).otherwise(zero),
         SAD: p(SAD) + F.coalesce(cry, zero),
         DISGUST: p(DISGUST), FEAR: p(FEAR), NEUTRAL: neutral,
     }
-    floored = signs.withColumns({f"_q{i}": F.greatest(value, F.lit(0.001)) for i, value in raised.items()})
+    floored = signs.withColumns({f"_q{i}": F.greatest(value, F.lit(fv.LEAST_PROBABILITY)) for i, value in raised.items()})
     parts = [F.col(f"_q{i}") for i in range(7)]
     total = sum(parts[1:], parts[0])
     return floored.withColumn("_total", total).withColumn(probs, F.array(*[q / F.col("_total") for q in parts])).drop(
@@ -104,10 +108,10 @@ def guardrails(df: DataFrame, text: str = "chat_text", probs: str = "probs",
     outcomes = {
         "question_mark": (EMBARRASSED, F.array(*[F.lit(v) for v in fv.ONLY_QUESTION_VECTOR])),
         "exclamation_mark": (JOY, F.array(*[F.lit(v) for v in fv.ONLY_EXCLAMATION_VECTOR])),
-        "question": (EMBARRASSED, raised(EMBARRASSED, 0.75)),
-        "cheer": (JOY, raised(JOY, 0.85)),
-        "anger": (ANGER, raised(ANGER, 0.80)),
-        "disgust": (DISGUST, raised(DISGUST, 0.80)),
+        "question": (EMBARRASSED, raised(EMBARRASSED, fv.GUARD_QUESTION)),
+        "cheer": (JOY, raised(JOY, fv.GUARD_CHEER)),
+        "anger": (ANGER, raised(ANGER, fv.GUARD_ANGER)),
+        "disgust": (DISGUST, raised(DISGUST, fv.GUARD_DISGUST)),
     }
     index, vector = first_argmax(F.col(probs)), F.col(probs)
     for name, (label, values) in outcomes.items():

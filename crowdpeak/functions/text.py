@@ -123,17 +123,18 @@ def clock(seconds: Column, rounding: str = "floor", hours: bool = False) -> Colu
 def elapsed_text(seconds: Column) -> Column:
     minutes = F.floor(seconds / 60).cast("long")
     rest = (seconds % 60).cast("long")
-    return F.when(minutes > 0, F.format_string("%d분 %d초", minutes, rest)).otherwise(F.format_string("%d초", rest))
+    return F.when(minutes > 0, F.format_string(fv.ELAPSED_MINUTES, minutes, rest)).otherwise(
+        F.format_string(fv.ELAPSED_SECONDS, rest))
 
 
 def age_text(created: Column, now: Column) -> Column:
     minutes = F.floor((F.unix_micros(now) - F.unix_micros(created)) / F.lit(60_000_000)).cast("long")
     hours = F.floor(minutes / 60).cast("long")
     return (
-        F.when(minutes < 1, F.lit("방금 전"))
-        .when(minutes < 60, F.format_string("%d분 전", minutes))
-        .when(hours < 24, F.format_string("%d시간 전", hours))
-        .otherwise(F.format_string("%d일 전", F.floor(hours / 24).cast("long")))
+        F.when(minutes < 1, F.lit(fv.AGE_NOW))
+        .when(minutes < 60, F.format_string(fv.AGE_MINUTES, minutes))
+        .when(hours < 24, F.format_string(fv.AGE_HOURS, hours))
+        .otherwise(F.format_string(fv.AGE_DAYS, F.floor(hours / 24).cast("long")))
     )
 
 

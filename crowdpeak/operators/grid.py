@@ -117,7 +117,7 @@ def chat_scores(chats: DataFrame, grid: DataFrame, clip_to: DataFrame | None = N
     )
 
 
-def _spread_half_open(points: DataFrame, t: str, s: Settings) -> DataFrame:
+def spread_half_open(points: DataFrame, t: str, s: Settings = DEFAULT) -> DataFrame:
     """Each row once per window `[5k, 5k+30)` it lies in. Only for signals with at most one row a second."""
     steps = _steps(s)
     j = slot_of(F.col(t).cast("double"), s.step_sec)
@@ -131,15 +131,15 @@ def voice_scores(voice: DataFrame, windows: DataFrame, clip_to: DataFrame | None
     A window without seconds gets the lowest loudness of the recording and neither pitch nor tempo. Columns
     `has_audio` and `has_voice` tell which recordings have the signals at all.
     """
+    voice = voice.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("rms_db", "f0_hz", "onset")})
+    inside = voice
     if clip_to is not None:
         ends = clip_to.select("video_id", F.ceil("duration_sec").alias("_end"))
-        voice = voice.join(ends, "video_id").filter(F.col("sec") < F.col("_end")).drop("_end")
-    f0 = F.when(~F.isnan("f0_hz"), F.col("f0_hz"))
-    voice = voice.withColumn("f0_hz", f0)
+        inside = voice.join(ends, "video_id").filter(F.col("sec") < F.col("_end")).drop("_end")
     whole = voice.groupBy("video_id").agg(
         F.min("rms_db").alias("_quietest"), F.median("f0_hz").alias("_f0_all"),
         F.count("onset").alias("_onsets"))
-    per_window = _spread_half_open(voice, "sec", s).groupBy("video_id", "k").agg(
+    per_window = spread_half_open(inside, "sec", s).groupBy("video_id", "k").agg(
         F.avg("rms_db").alias("_loud"), F.median("f0_hz").alias("_f0"), F.avg("onset").alias("tempo"))
     return (
         windows.join(per_window, ["video_id", "k"], "left").join(whole, "video_id", "left")
@@ -154,11 +154,12 @@ def voice_scores(voice: DataFrame, windows: DataFrame, clip_to: DataFrame | None
 def screen_scores(screen: DataFrame, windows: DataFrame, clip_to: DataFrame | None = None,
                   s: Settings = DEFAULT) -> DataFrame:
     """0-1 screen score of each window from `screen(video_id, t, value)`: the median change between two bounds."""
+    inside = screen
     if clip_to is not None:
         ends = clip_to.select("video_id", F.col("duration_sec").alias("_end"))
-        screen = screen.join(ends, "video_id").filter(F.col("t") < F.col("_end")).drop("_end")
+        inside = screen.join(ends, "video_id").filter(F.col("t") < F.col("_end")).drop("_end")
     present = screen.select("video_id").distinct().withColumn("has_screen", F.lit(True))
-    per_window = _spread_half_open(screen, "t", s).groupBy("video_id", "k").agg(F.median("value").alias("_median"))
+    per_window = spread_half_open(inside, "t", s).groupBy("video_id", "k").agg(F.median("value").alias("_median"))
     change = (F.coalesce("_median", F.lit(0.0)) - s.screen_low) / (s.screen_high - s.screen_low)
     return (
         windows.join(per_window, ["video_id", "k"], "left").join(present, "video_id", "left")

@@ -232,16 +232,19 @@ def voted_region(boxes: DataFrame) -> DataFrame:
     """Region by majority: the third of the screen with most boxes, right before left before middle on ties."""
     centre = (F.col("xmin") + F.col("xmax")) / 2
     votes = boxes.groupBy("video_id").agg(
-        F.count("*").alias("_n"), F.count_if(centre < 0.35).alias("_left"),
-        F.count_if((centre >= 0.35) & (centre <= 0.65)).alias("_middle"), F.count_if(centre > 0.65).alias("_right"))
+        F.count("*").alias("_n"), F.count_if(centre < fv.VOTE_LEFT).alias("_left"),
+        F.count_if((centre >= fv.VOTE_LEFT) & (centre <= fv.VOTE_RIGHT)).alias("_middle"),
+        F.count_if(centre > fv.VOTE_RIGHT).alias("_right"))
     side = (
-        F.when(F.col("_n") < 3, "default")
+        F.when(F.col("_n") < fv.VOTE_LEAST_BOXES, "default")
         .when((F.col("_right") >= F.col("_left")) & (F.col("_right") >= F.col("_middle")), "right")
         .when((F.col("_left") >= F.col("_right")) & (F.col("_left") >= F.col("_middle")), "left")
         .otherwise("middle")
     )
     # All three regions are collected in one pass, so the boxes are read and grouped once.
-    sides = {"right": centre > 0.55, "left": centre < 0.45, "middle": (centre >= 0.30) & (centre <= 0.70)}
+    low, high = fv.VOTE_MIDDLE
+    sides = {"right": centre > fv.VOTE_RIGHT_FROM, "left": centre < fv.VOTE_LEFT_TO,
+             "middle": (centre >= low) & (centre <= high)}
     sums = []
     for name, inside in sides.items():
         sums += [F.min(F.when(inside, F.col("ymin"))).alias(f"{name}_ymin"),
@@ -260,8 +263,9 @@ def voted_region(boxes: DataFrame) -> DataFrame:
 
     ymin, xmin, ymax, xmax = fv.DEFAULT_REGION
     return votes.withColumn("side", side).join(bounds, "video_id").select(
-        "video_id", "side", pick("ymin", -0.05, ymin).alias("region_ymin"), pick("xmin", -0.03, xmin).alias("region_xmin"),
-        pick("ymax", 0.05, ymax).alias("region_ymax"), pick("xmax", 0.03, xmax).alias("region_xmax"))
+        "video_id", "side", pick("ymin", -fv.VOTE_MARGIN_Y, ymin).alias("region_ymin"),
+        pick("xmin", -fv.VOTE_MARGIN_X, xmin).alias("region_xmin"),
+        pick("ymax", fv.VOTE_MARGIN_Y, ymax).alias("region_ymax"), pick("xmax", fv.VOTE_MARGIN_X, xmax).alias("region_xmax"))
 
 
 def chat_regions(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdpeak import fixed_values as fv
 from crowdpeak.functions.numbers import clamp, decibels, rounded
 from crowdpeak.operators.buckets import with_previous
 
@@ -52,21 +53,19 @@ def loudness(pcm: DataFrame, samples: str = "samples", full_scale: float = 32768
     return pcm.withColumn("rms_db", decibels(F.sqrt(squares / F.size(samples)))).drop(samples)
 
 
-def weighted_scores(windows: DataFrame, chat: float = 0.4, audio: float = 0.3, visual: float = 0.3) -> DataFrame:
+def weighted_scores(windows: DataFrame, weights: tuple[float, float, float] = fv.WEIGHTS) -> DataFrame:
     """Fusion of chat density, sound and screen in `windows(chat_count, positive_density, negative_density,
     audio_energy, visual_change)`; a quiet window with intense chat shifts weight from sound to chat."""
-    fill = F.least(F.lit(1.0), F.log1p(F.col("chat_count").cast("double")) / F.log1p(F.lit(20.0)))
+    fill = F.least(F.lit(1.0), F.log1p(F.col("chat_count").cast("double")) / F.log1p(F.lit(fv.FULL_CHAT)))
     chat_score = fill * (F.col("positive_density") + F.col("negative_density"))
     scored = (
         windows.withColumn("_chat", chat_score)
         .withColumn("_audio", clamp(F.col("audio_energy"))).withColumn("_visual", clamp(F.col("visual_change")))
-        .withColumn("is_low_energy_high_emotion", (F.col("_audio") < 0.3) & (F.col("_chat") > 0.5))
+        .withColumn("is_low_energy_high_emotion", (F.col("_audio") < fv.QUIET_BELOW) & (F.col("_chat") > fv.INTENSE_ABOVE))
     )
     shifted = F.col("is_low_energy_high_emotion")
-    fusion = (
-        F.when(shifted, 0.6).otherwise(chat) * F.col("_chat") + F.when(shifted, 0.1).otherwise(audio) * F.col("_audio")
-        + F.when(shifted, 0.3).otherwise(visual) * F.col("_visual")
-    )
+    shares = [F.when(shifted, quiet).otherwise(usual) for usual, quiet in zip(weights, fv.QUIET_WEIGHTS)]
+    fusion = shares[0] * F.col("_chat") + shares[1] * F.col("_audio") + shares[2] * F.col("_visual")
     return (
         scored.withColumn("fusion_score", rounded(fusion, 4)).withColumn("chat_score", rounded(F.col("_chat"), 4))
         .withColumn("audio_score", rounded(F.col("_audio"), 4))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdpeak.llm import chat, mixing, sharding
+from crowdpeak.llm import chat, embeddings, jaccard, mixing, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,32 @@ def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams FROM w),
+n AS (SELECT doc_id, len(grams) AS n FROM s),
+g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+r AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1),
+h AS (SELECT doc_id, hash(gram) AS gram FROM g JOIN r USING (gram)),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM h a JOIN h b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+      JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+c(node, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT c.node, l.b FROM c JOIN l ON l.a = c.reached)
+SELECT n.doc_id, n.n AS n_shingles, min(c.reached) AS component_id FROM n JOIN c ON c.node = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
+@query("op7_t_occurrence_join", JACCARD_SQL)
+def op7_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_cross_polytope")
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 CHAT_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

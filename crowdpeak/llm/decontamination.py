@@ -7,6 +7,7 @@ they are held in every task, in blocks of bounded size; documents are read once
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,7 +167,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int
         for k in range(len(items.words)):
             mine = np.flatnonzero(items.item == k)
             order = mine[np.argsort(times[mine], kind="stable")]
-            seed[order[: -(-int(len(mine) * seed_share * 100) // 100) or 1]] = True
+            seed[order[: math.ceil(len(mine) * seed_share)]] = True
         found = _aligned(docs, shared, spark.sparkContext.broadcast(seed), leak)
         out = found if out is None else out.union(found)
     return out if out is not None else _aligned(docs, spark.sparkContext.broadcast(Items([], n)), spark.sparkContext.broadcast(np.zeros(0, dtype=bool)), leak)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdpeak.llm import chat, embeddings, jaccard, language, mixing, sharding, toxicity
+from crowdpeak.llm import chat, decontamination, embeddings, html_text, jaccard, language, lm, mixing, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +102,23 @@ def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
                          toxicity.rejected(F.col("score"), F.col("lang"), limits).alias("rejected"))
 
 
+@query("op3_cross_entropy_difference")
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_aligned_leaks")
+def op5_aligned_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_block_crf")
+def op8_block_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op10_byte_gru")
 def op10_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

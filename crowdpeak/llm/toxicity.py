@@ -23,6 +23,10 @@ ROWS, DIM, FILTERS, WIDTHS, LEADS = 1 << 15, 12, 12, (1, 2, 3), (3, 4, 5, 6)
 #: Bound on the labelled rows that the fit reads (in the mean; chosen by a hash of doc_id).
 SAMPLE = 8_000
 EPOCHS, BATCH, RATE = 4, 64, 0.02
+#: Steps of a fit at least; few rows are gone over more often.
+LEAST_STEPS = 500
+#: Calibrated thresholds stay between these.
+LOWEST, HIGHEST = 0.3, 0.7
 #: Words whose projections a task remembers.
 REMEMBERED = 100_000
 
@@ -91,6 +95,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     m = {k: np.zeros_like(v) for k, v in params.items()}
     v2 = {k: np.zeros_like(v) for k, v in params.items()}
     step, start_m, start_v = 0, 0.0, 0.0
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(docs) // BATCH))) if docs else 0
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for cut in range(0, len(order), BATCH):
@@ -186,7 +191,7 @@ def thresholds(scores: np.ndarray, labels: np.ndarray, langs: list, least: int =
         f1[:-1][s[:-1] == s[1:]] = 0  # equal scores are on one side
         k = int(np.argmax(f1))
         below = s[k + 1] if k + 1 < len(s) else 0.0
-        return float(min(0.9, max(0.1, (s[k] + below) / 2)))
+        return float(min(HIGHEST, max(LOWEST, (s[k] + below) / 2)))
 
     out = {"": best(scores, labels) if len(labels) and labels.any() else 0.5}
     for name in {x for x in langs if x}:

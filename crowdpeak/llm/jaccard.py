@@ -26,24 +26,38 @@ from crowdpeak.llm.text import shingle_sets, slices, utf8, word_hashes
 
 #: Lists are ordered by the summed length of all lists in their bucket; so many buckets there are, whatever the input.
 BUCKET_BITS = 16
-#: Shingles that one search block may hold.
-BLOCK_SHINGLES = 400_000
+#: Shingles that one search block may hold, candidates of a query that are dealt out together, bits of the id filter.
+BLOCK_SHINGLES, PART_ROWS, FILTER_BITS = 400_000, 2_000, 27
 
 
-def bucket_counts(docs: DataFrame, n: int) -> list[int]:
-    """How many shingles of all documents fall into each bucket: 2 ** BUCKET_BITS numbers for any input."""
+def first_pass(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, print, counts): for each row the size and a 128-bit fingerprint of its set, counts null;
+    and for each task a row of nulls with the number of shingles in each of 2 ** BUCKET_BITS buckets."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, total = word_hashes(), np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("counts", pa.list_(pa.int64()))])
         for batch in batches:
             for part in slices(batch):
-                found = np.concatenate(shingle_sets(utf8(part.column(0)), memo, n))
-                total += np.bincount(found >> (63 - BUCKET_BITS), minlength=len(total))
-        there = np.flatnonzero(total)
-        yield pa.record_batch({"bucket": there.astype(np.int32), "n": total[there]})
+                sets = shingle_sets(utf8(part.column(1)), memo, n)
+                total += np.bincount(np.concatenate(sets) >> (63 - BUCKET_BITS), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()),
+                    pa.nulls(len(sets), pa.list_(pa.int64()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                                          pa.array([total], pa.list_(pa.int64()))], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_shingles long, print binary, counts array<long>")
+
+
+def fingerprint(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
+
+def bucket_counts(passed: DataFrame) -> list[int]:
+    """How many shingles of all documents fall into each bucket: 2 ** BUCKET_BITS numbers for any input."""
     out = [0] * (1 << BUCKET_BITS)
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for bucket, total in rows.collect():  # at most 2 ** BUCKET_BITS rows
+    rows = passed.where("counts is not null").select(F.posexplode("counts").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
+    for bucket, total in rows.collect():
         out[bucket] = total
     return out
 
@@ -117,64 +131,86 @@ def occurrences(sets: list[np.ndarray], query: np.ndarray, needed: int) -> dict[
     return out
 
 
-def class_table(docs: DataFrame, rank: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, print, short): a 128-bit fingerprint of the set, and the shingles of its short lists."""
+def short_lists(docs: DataFrame, rank: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(print, n, short) of each row with a set: the shingles of its short lists."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
         for batch in batches:
             for part in slices(batch):
-                mine = ordered(shingle_sets(utf8(part.column(1)), memo, n), rank)
-                yield pa.record_batch({
-                    "doc_id": part.column(0), "n_shingles": pa.array([len(s) for s in mine], pa.int64()),
-                    "print": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in mine], pa.binary()),
-                    "short": pa.array([s[: len(s) - least_overlap(len(s), percent) + 1] if len(s) else s for s in mine], pa.list_(pa.int64()))})
+                mine = [s for s in shingle_sets(utf8(part.column(0)), memo, n) if len(s)]
+                short = [s[: len(s) - least_overlap(len(s), percent) + 1] for s in ordered(mine, rank)]
+                yield pa.record_batch({"print": pa.array([fingerprint(s) for s in mine], pa.binary()), "n": pa.array([len(s) for s in mine], pa.int64()),
+                                       "short": pa.array(short, pa.list_(pa.int64()))})
+
+    return docs.select("text").mapInArrow(sets, "print binary, n long, short array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n_shingles long, print binary, short array<long>")
 
+def whole_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, n: int) -> DataFrame:
+    """(print, all): whole ordered sets of at least the documents `wanted` (doc_id).
+
+    A bit filter over the ids, of at most 2 ** FILTER_BITS bits, spares most other texts; it may let some through."""
+    size = 1 << min(FILTER_BITS, max(16, (16 * wanted.count()).bit_length()))
+    bit = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(size)) for k in (1, 2)])).alias("bit")
+    bits = np.zeros(size, dtype=bool)
+    bits[[r[0] for r in wanted.where("doc_id is not null").select(bit).distinct().collect()] if size <= 1 << 20 else
+         np.fromiter((r[0] for r in wanted.where("doc_id is not null").select(bit).distinct().toLocalIterator()), dtype=np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
-def whole_sets(docs: DataFrame, rank: np.ndarray, n: int) -> DataFrame:
-    """(id, all) of rows (id, print, text): the whole ordered set, of the texts that have this fingerprint."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_hashes()
+        memo, known = word_hashes(), np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            for part in slices(batch):
-                mine = [s.tobytes() for s in ordered(shingle_sets(utf8(part.column(2)), memo, n), rank)]
-                same = [xxhash.xxh3_128_digest(s) == p for s, p in zip(mine, part.column(1).to_pylist())]
-                yield pa.record_batch({"id": part.column(0), "all": pa.array(mine, pa.binary())}).filter(pa.array(same, pa.bool_()))
+            one, two = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            for part in slices(batch.filter(pa.array(known[one] & known[two]))):
+                mine = shingle_sets(utf8(part.column(0)), memo, n)
+                some = [s for s in mine if len(s)]
+                yield pa.record_batch({"print": pa.array([fingerprint(s) for s in some], pa.binary()),
+                                       "all": pa.array([s.tobytes() for s in ordered(some, rank)], pa.binary())})
 
-    return docs.select("id", "print", "text").mapInArrow(sets, "id long, all binary")
+    keyed = docs.where("doc_id is not null").select("text", *[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(size)).alias(f"b{k}") for k in (1, 2)])
+    return keyed.mapInArrow(sets, "print binary, all binary")
 
 
-def search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def search(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rank: np.ndarray, n: int, percent: int) -> DataFrame:
     """(a, b) of the candidate pairs (a, b) that reach the similarity.
 
-    Rows of one query `a` come one after the other out of the join and are searched in blocks of bounded size. A much
-    sought `a` may be split over tasks by adaptive execution, as no step here needs all its rows together."""
-    left = pairs.join(sets.withColumnsRenamed({"id": "b", "all": "b_set"}), "b")
-    both = left.join(sets.withColumnsRenamed({"id": "a", "all": "a_set"}), "a").select("a", "b", "a_set", "b_set")
+    Each set is sent once to the group of every query it is a candidate of, and once to its own group if it is a query.
+    Groups of one query come one after the other and are searched in blocks of bounded size."""
+    pairs = settle(pairs.select("a", "b"))
+    both = pairs.select(F.col("a").alias("group"), F.col("b").alias("id")).union(pairs.select("a", F.col("a").alias("id")).distinct())
+    places = both.join(classes.select("id", "print", "rep"), "id")
+    sets = whole_sets(docs, places.select(F.col("rep").alias("doc_id")).distinct(), rank, n).dropDuplicates(["print"])
+    # a much sought query is spread over parts; each part has the query too
+    parts = pairs.groupBy("a").count().select(F.col("a").alias("group"), F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
+    spread = places.join(parts, "group").select(
+        "print", "group", "id", F.explode(F.when(F.col("group") == F.col("id"), F.expr("sequence(0, parts - 1)"))
+                                          .otherwise(F.array(F.pmod(F.hash("id"), F.col("parts"))))).alias("part"))
+    dealt = (sets.join(spread, "print").select("group", "part", (F.col("group") != F.col("id")).alias("member"), "id", "all")
+             .repartition("group", "part").sortWithinPartitions("group", "part", "member", "id"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, query_set, ids, block, held = None, None, [], [], 0
+        current, query_set, ids, block, held = None, None, [], [], 0
 
         def flush() -> pa.RecordBatch:
             found = occurrences(block, query_set, least_overlap(len(query_set), percent))
             linked = [ids[k] for k, shared in found.items() if 100 * shared >= percent * (len(query_set) + len(block[k]) - shared)]
-            return pa.record_batch({"a": pa.array([query] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
+            return pa.record_batch({"a": pa.array([current[0]] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
         for batch in batches:
-            for a, b, a_set, b_set in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if block and (a != query or held > BLOCK_SHINGLES):
+            for group, part, member, name, every in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if block and ((group, part) != current or held > BLOCK_SHINGLES):
                     yield flush()
                     ids, block, held = [], [], 0
-                if a != query or query_set is None:
-                    query, query_set = a, np.frombuffer(a_set, dtype=np.int64)
-                ids.append(b)
-                block.append(np.frombuffer(b_set, dtype=np.int64))
+                current = (group, part)
+                if not member:
+                    query_set = np.frombuffer(every, dtype=np.int64)
+                    continue
+                ids.append(name)
+                block.append(np.frombuffer(every, dtype=np.int64))
                 held += len(block[-1])
         if block:
             yield flush()
 
-    return both.mapInArrow(find, "a long, b long")
+    return dealt.mapInArrow(find, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -184,36 +220,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     (null, empty, white space) have no shingles, link with nothing and are their own component. Equal sets are one
     class, whatever their number, and meet as one. A null doc_id is no smallest id: its row has the component of its
     partners, or null. Repeated ids count as rows. An empty table gives an empty table.
-
     Classes of null ids only are found by equality, not by similarity.
 
-    Candidates are first tied to one partner of each short list (a row per posting, not per pair). Lists whose members
-    are then still in several components give the pairs between those, and only those."""
+    First each class is compared with one other, that with which it shares most short lists as their first member (a
+    row per posting, not per pair). Short lists whose members are then still in several components give the pairs
+    between those, and only those; a pair is compared if it shares as many short lists as the similarity asks for."""
     docs = docs.select("doc_id", "text")
-    rank = renumbering(bucket_counts(docs, n))
-    rows = settle(class_table(docs, rank, n, percent))
-    classes = settle(rows.where("print is not null").groupBy("print")
-                     .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
-                     .withColumn("id", F.monotonically_increasing_id()))
+    passed = settle(first_pass(docs, n))
+    rank = renumbering(bucket_counts(passed))
+    rows = passed.where("counts is null").select("doc_id", "n_shingles", "print")
+    reps = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
+    short = short_lists(docs, rank, n, percent).groupBy("print").agg(F.first("n").alias("n"), F.first("short").alias("short"))
+    classes = settle(short.withColumn("id", F.monotonically_increasing_id()))
     lists = Window.partitionBy("token")
-    postings = classes.select("id", F.explode("short").alias("token"))
-    shared = settle(postings.withColumn("size", F.count("*").over(lists)).withColumn("first", F.min("id").over(lists))
+    shared = settle(classes.select("id", F.explode("short").alias("token"))
+                    .withColumn("size", F.count("*").over(lists)).withColumn("first", F.min("id").over(lists))
                     .where("size > 1").select("token", "id", "first"))
-    sizes = classes.select("id", "n")
-    stars = settle(shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    seekers = classes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "print", F.col("rep").alias("doc_id"))
-    sets = settle(whole_sets(docs.join(seekers, "doc_id"), rank, n))
-    links = settle(search(_near(stars, sizes, percent), sets, percent))
-    first = connected_components(links)
+    classes = settle(classes.drop("short").join(reps, "print"))
+    stars = shared.where("id <> first").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"))
+    best = _near(stars, classes, percent).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+    first = connected_components(search(docs, best, classes, rank, n, percent))
     placed = (shared.select("token", "id").join(first.withColumnRenamed("node", "id"), "id", "left")
               .withColumn("component", F.coalesce("component", "id")))
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     left = settle(placed.join(split, "token", "left_semi"))
     other = left.withColumnsRenamed({"id": "b", "component": "b_component"})
     pairs = (left.withColumnRenamed("id", "a").join(other, "token").where("a < b and component <> b_component")
-             .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    component = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-                                     .union(search(_near(pairs, sizes, percent), sets, percent)))
+             .groupBy("a", "b").agg(F.count("*").alias("c")))
+    more = search(docs, _near(pairs, classes, percent), classes, rank, n, percent)
+    component = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     own = classes.join(component, classes["id"] == component["node"], "left").select("print", "rep", F.coalesce("component", "id").alias("component"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = own.join(least, "component").select("print", "component_id")
@@ -221,7 +256,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             .select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def _near(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    return (pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "a_n"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "b_n"}), "b")
-            .where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").select("a", "b"))
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, c) that may reach the similarity by their sizes and by c, the short lists they share.
+
+    With O the overlap that the similarity asks for: of the two sets, let `a` be the one whose short lists end first.
+    What both share outside is at most the T - 1 lists that `a` leaves out, so c must be O - T + 1 or more."""
+    sizes = classes.select("id", "n")
+    near = (pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "a_n"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "b_n"}), "b")
+            .where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"))
+    overlap = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent) - 1e-9)
+    left_out = F.ceil(percent * F.greatest("a_n", "b_n") / 100 - 1e-9) - 1
+    return near.where(F.col("c") >= overlap - left_out).select("a", "b", "c")

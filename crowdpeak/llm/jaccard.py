@@ -28,6 +28,9 @@ from crowdpeak.llm.text import shingle_sets, slices, utf8, word_hashes
 BUCKET_BITS = 16
 #: Shingles that one search block may hold, candidates of a query that are dealt out together, bits of the id filter.
 BLOCK_SHINGLES, PART_ROWS, FILTER_BITS = 400_000, 2_000, 27
+#: Members that stand for a list, and candidates that each class is compared with, in each round before what is left is
+#: compared pair by pair.
+STARS = (1, 3, 3)
 
 
 def first_pass(docs: DataFrame, n: int) -> DataFrame:
@@ -222,9 +225,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     partners, or null. Repeated ids count as rows. An empty table gives an empty table.
     Classes of null ids only are found by equality, not by similarity.
 
-    First each class is compared with one other, that with which it shares most short lists as their first member (a
-    row per posting, not per pair). Short lists whose members are then still in several components give the pairs
-    between those, and only those; a pair is compared if it shares as many short lists as the similarity asks for."""
+    In some rounds a few members of each short list stand for it, and each class is compared with the few with which
+    it shares most lists (rows in proportion to postings, not to pairs). Lists whose members are then still in several components give
+    the pairs between those, and only those; a pair is compared if it shares as many short lists as the similarity
+    asks for."""
     docs = docs.select("doc_id", "text")
     passed = settle(first_pass(docs, n))
     rank = renumbering(bucket_counts(passed))
@@ -234,21 +238,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     classes = settle(short.withColumn("id", F.monotonically_increasing_id()))
     lists = Window.partitionBy("token")
     shared = settle(classes.select("id", F.explode("short").alias("token"))
-                    .withColumn("size", F.count("*").over(lists)).withColumn("first", F.min("id").over(lists))
-                    .where("size > 1").select("token", "id", "first"))
+                    .withColumn("size", F.count("*").over(lists)).where("size > 1").select("token", "id"))
     classes = settle(classes.drop("short").join(reps, "print"))
-    stars = shared.where("id <> first").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"))
-    best = _near(stars, classes, percent).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    first = connected_components(search(docs, best, classes, rank, n, percent))
-    placed = (shared.select("token", "id").join(first.withColumnRenamed("node", "id"), "id", "left")
-              .withColumn("component", F.coalesce("component", "id")))
-    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    left = settle(placed.join(split, "token", "left_semi"))
-    other = left.withColumnsRenamed({"id": "b", "component": "b_component"})
-    pairs = (left.withColumnRenamed("id", "a").join(other, "token").where("a < b and component <> b_component")
+    placed, component = shared.withColumn("component", F.col("id")).withColumn("members", F.lit(1)), None
+    for turn, centers in enumerate(STARS):
+        # some members stand for a list, those of the largest components first; smaller components are held against them
+        order = Window.partitionBy("token").orderBy(F.desc("members"), F.xxhash64(F.lit(turn), "id"))
+        heads = (placed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= centers)
+                 .select("token", F.col("id").alias("a"), F.struct("members", "component").alias("head")))
+        stars = (placed.withColumnRenamed("id", "b").join(heads, "token").where("component <> head.component")
+                 .where(F.struct("members", "component") < F.col("head")).groupBy("a", "b").agg(F.count("*").alias("c")))
+        seek = Window.partitionBy("b").orderBy(F.desc("c"), "a")
+        best = _near(stars, classes, percent, seen_of=4).withColumn("nth", F.row_number().over(seek)).where(F.col("nth") <= centers)
+        links = search(docs, best, classes, rank, n, percent)
+        if component is not None:
+            links = links.union(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        component = connected_components(links)
+        placed = settle(_still_split(shared, component))
+    placed = placed.drop("members")
+    other = placed.withColumnsRenamed({"id": "b", "component": "b_component"})
+    pairs = (placed.withColumnRenamed("id", "a").join(other, "token").where("a < b and component <> b_component")
              .groupBy("a", "b").agg(F.count("*").alias("c")))
     more = search(docs, _near(pairs, classes, percent), classes, rank, n, percent)
-    component = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     own = classes.join(component, classes["id"] == component["node"], "left").select("print", "rep", F.coalesce("component", "id").alias("component"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = own.join(least, "component").select("print", "component_id")
@@ -256,14 +268,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             .select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _still_split(shared: DataFrame, component: DataFrame) -> DataFrame:
+    """(token, id, component, members) of the lists whose members are in several components."""
+    sized = component.join(component.groupBy("component").agg(F.count("*").cast("int").alias("members")), "component")
+    placed = (shared.join(sized.withColumnRenamed("node", "id"), "id", "left")
+              .select("token", "id", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members")))
+    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    return placed.join(split, "token", "left_semi")
+
+
+def _near(pairs: DataFrame, classes: DataFrame, percent: int, seen_of: int = 1) -> DataFrame:
     """Pairs (a, b, c) that may reach the similarity by their sizes and by c, the short lists they share.
 
     With O the overlap that the similarity asks for: of the two sets, let `a` be the one whose short lists end first.
-    What both share outside is at most the T - 1 lists that `a` leaves out, so c must be O - T + 1 or more."""
+    What both share outside is at most the T - 1 lists that `a` leaves out, so c must be O - T + 1 or more.
+
+    Where c counts only some of the lists, one in `seen_of` of those needed is asked for."""
     sizes = classes.select("id", "n")
     near = (pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "a_n"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "b_n"}), "b")
             .where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"))
     overlap = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent) - 1e-9)
     left_out = F.ceil(percent * F.greatest("a_n", "b_n") / 100 - 1e-9) - 1
-    return near.where(F.col("c") >= overlap - left_out).select("a", "b", "c")
+    return near.where(F.col("c") * seen_of >= overlap - left_out).select("a", "b", "c")

@@ -26,10 +26,10 @@ from crowdpeak.llm.text import shingle_sets, slices, utf8, word_hashes
 
 #: Lists are ordered by the summed length of all lists in their bucket; so many buckets there are, whatever the input.
 BUCKET_BITS = 16
-#: Shingles that one search block may hold, candidates of a query that are dealt out together, bits of the id filter.
-BLOCK_SHINGLES, PART_ROWS, FILTER_BITS = 400_000, 2_000, 27
+#: Shingles that one search block holds in the mean, and bits of the id filter at most.
+BLOCK_SHINGLES, FILTER_BITS = 400_000, 27
 #: Members that stand for a list, and candidates that each class is compared with, in each round before what is left is
-#: compared pair by pair.
+#: searched among whole components.
 STARS = (1, 3, 3)
 
 
@@ -84,54 +84,60 @@ def least_overlap(n, percent: int = 80):
     return -((-percent * n) // 100)
 
 
-def occurrences(sets: list[np.ndarray], query: np.ndarray, needed: int) -> dict[int, int]:
-    """DivideSkip: {index of a set: shingles shared with the query}, of all sets that share `needed` or more.
-
-    The lists of the block are those of the query's shingles. The longest ones are set apart, at most needed - 1 and
-    fewer the longer they are; the others are merged through a heap. A set on as many of them as can still reach
-    `needed` is looked up in the lists set apart."""
-    if not sets or not len(query) or needed < 1:
-        return {}
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values = np.concatenate(sets)
-    at = np.searchsorted(query, values)
-    at[at == len(query)] = 0
-    hit = query[at] == values
-    at, owner = at[hit], owner[hit]
-    by = np.lexsort((owner, at))
-    at, owner = at[by], owner[by]
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, dtype=np.int64)
-    lists = [chunk.tolist() for chunk in np.split(owner, starts[1:])] if len(at) else []
-    if len(lists) < needed:
-        return {}
-    lists.sort(key=len)
-    apart = min(needed - 1, int(needed / (0.01 * math.log2(len(lists[-1]) + 1) + 1)))
-    short, long = lists[: len(lists) - apart], lists[len(lists) - apart:]
-    out: dict[int, int] = {}
-    current, seen = -1, 0
-
-    def close(found: int, times: int) -> None:
-        left = len(long)
-        if times < needed - left:
-            return
-        for posting in reversed(long):
-            left -= 1
-            k = bisect_left(posting, found)
-            times += k < len(posting) and posting[k] == found
-            if times + left < needed:
+class Block:
+    """Inverted lists of some sets: for each shingle the ascending places of the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.lengths = [len(s) for s in sets]
+        values = np.concatenate(sets)
+        by = np.argsort(values, kind="stable")
+        self.values, self.owners = values[by], np.repeat(np.arange(len(sets)), self.lengths)[by]
+
+    def lists(self, query: np.ndarray) -> list[list[int]]:
+        """The lists of the query's shingles that are not empty, short ones first."""
+        lo, hi = np.searchsorted(self.values, query, "left"), np.searchsorted(self.values, query, "right")
+        some = np.flatnonzero(hi > lo)
+        return sorted((self.owners[lo[k] : hi[k]].tolist() for k in some), key=len)
+
+    def occurrences(self, query: np.ndarray, needed: int) -> dict[int, int]:
+        """DivideSkip: {place of a set: shingles shared with the query}, of all sets that share `needed` or more.
+
+        The longest lists are set apart, at most needed - 1 and fewer the longer they are; the others are merged
+        through a heap. A set on as many of them as can still reach `needed` is looked up in the lists set apart."""
+        lists = self.lists(query)
+        if needed < 1 or len(lists) < needed:
+            return {}
+        apart = min(needed - 1, int(needed / (0.01 * math.log2(len(lists[-1]) + 1) + 1)))
+        short, long = lists[: len(lists) - apart], lists[len(lists) - apart:]
+        out: dict[int, int] = {}
+        current, seen = -1, 0
+
+        def close(found: int, times: int) -> None:
+            left = len(long)
+            if times < needed - left:
                 return
-        out[found] = times
-
-    for found in heapq.merge(*short):
-        if found == current:
-            seen += 1
-            continue
+            for posting in reversed(long):
+                left -= 1
+                k = bisect_left(posting, found)
+                times += k < len(posting) and posting[k] == found
+                if times + left < needed:
+                    return
+            out[found] = times
+
+        for found in heapq.merge(*short):
+            if found == current:
+                seen += 1
+                continue
+            if current >= 0:
+                close(current, seen)
+            current, seen = found, 1
         if current >= 0:
             close(current, seen)
-        current, seen = found, 1
-    if current >= 0:
-        close(current, seen)
-    return out
+        return out
+
+
+def occurrences(sets: list[np.ndarray], query: np.ndarray, needed: int) -> dict[int, int]:
+    return Block(sets).occurrences(query, needed) if sets else {}
 
 
 def short_lists(docs: DataFrame, rank: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -173,45 +179,45 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, n: int) ->
     return keyed.mapInArrow(sets, "print binary, all binary")
 
 
-def search(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rank: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(a, b) of the candidate pairs (a, b) that reach the similarity.
+def search(docs: DataFrame, index: DataFrame, queries: DataFrame, classes: DataFrame, rank: np.ndarray, n: int, percent: int,
+           one: bool = False) -> DataFrame:
+    """(a, b): queries a of (group, id) and sets b of the index (group, id) of the same group that reach the similarity.
 
-    Each set is sent once to the group of every query it is a candidate of, and once to its own group if it is a query.
-    Groups of one query come one after the other and are searched in blocks of bounded size."""
-    pairs = settle(pairs.select("a", "b"))
-    both = pairs.select(F.col("a").alias("group"), F.col("b").alias("id")).union(pairs.select("a", F.col("a").alias("id")).distinct())
-    places = both.join(classes.select("id", "print", "rep"), "id")
-    sets = whole_sets(docs, places.select(F.col("rep").alias("doc_id")).distinct(), rank, n).dropDuplicates(["print"])
-    # a much sought query is spread over parts; each part has the query too
-    parts = pairs.groupBy("a").count().select(F.col("a").alias("group"), F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
-    spread = places.join(parts, "group").select(
-        "print", "group", "id", F.explode(F.when(F.col("group") == F.col("id"), F.expr("sequence(0, parts - 1)"))
-                                          .otherwise(F.array(F.pmod(F.hash("id"), F.col("parts"))))).alias("part"))
-    dealt = (sets.join(spread, "print").select("group", "part", (F.col("group") != F.col("id")).alias("member"), "id", "all")
-             .repartition("group", "part").sortWithinPartitions("group", "part", "member", "id"))
+    The index of a group is cut into parts of bounded size; each of its sets goes to one part, each query to all parts.
+    A part is a block of inverted lists, in which its queries are searched one by one. With `one`, a query gives at
+    most one link in each part."""
+    index, queries = settle(index.select("group", "id").distinct()), settle(queries.select("group", "id").distinct())
+    sizes = classes.select("id", "n", "print", "rep")
+    index, queries = index.join(sizes, "id"), queries.join(sizes, "id")
+    parts = index.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    placed = (index.join(parts, "group").select("print", "rep", "group", "id", F.lit(False).alias("asks"), F.pmod(F.hash("id"), F.col("parts")).alias("part"))
+              .union(queries.join(parts, "group").select("print", "rep", "group", "id", F.lit(True), F.explode(F.expr("sequence(0, parts - 1)")))))
+    sets = whole_sets(docs, placed.select(F.col("rep").alias("doc_id")).distinct(), rank, n).dropDuplicates(["print"])
+    dealt = (sets.join(placed, "print").select("group", "part", "asks", "id", "all")
+             .repartition("group", "part").sortWithinPartitions("group", "part", "asks", "id"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, query_set, ids, block, held = None, None, [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            found = occurrences(block, query_set, least_overlap(len(query_set), percent))
-            linked = [ids[k] for k, shared in found.items() if 100 * shared >= percent * (len(query_set) + len(block[k]) - shared)]
-            return pa.record_batch({"a": pa.array([current[0]] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
-
+        current, ids, held, block = None, [], [], None
         for batch in batches:
-            for group, part, member, name, every in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if block and ((group, part) != current or held > BLOCK_SHINGLES):
-                    yield flush()
-                    ids, block, held = [], [], 0
-                current = (group, part)
-                if not member:
-                    query_set = np.frombuffer(every, dtype=np.int64)
+            asked, found = [], []
+            for group, part, asks, name, every in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (group, part) != current:
+                    current, ids, held, block = (group, part), [], [], None
+                if not asks:
+                    ids.append(name)
+                    held.append(np.frombuffer(every, dtype=np.int64))
                     continue
-                ids.append(name)
-                block.append(np.frombuffer(every, dtype=np.int64))
-                held += len(block[-1])
-        if block:
-            yield flush()
+                if block is None:
+                    if not held:
+                        continue
+                    block, held = Block(held), []
+                query = np.frombuffer(every, dtype=np.int64)
+                hits = block.occurrences(query, least_overlap(len(query), percent))
+                links = [ids[k] for k, shared in hits.items() if 100 * shared >= percent * (len(query) + block.lengths[k] - shared) and ids[k] != name]
+                for other in links[:1] if one else links:
+                    asked.append(name)
+                    found.append(other)
+            yield pa.record_batch({"a": pa.array(asked, pa.int64()), "b": pa.array(found, pa.int64())})
 
     return dealt.mapInArrow(find, "a long, b long")
 
@@ -226,9 +232,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     Classes of null ids only are found by equality, not by similarity.
 
     In some rounds a few members of each short list stand for it, and each class is compared with the few with which
-    it shares most lists (rows in proportion to postings, not to pairs). Lists whose members are then still in several components give
-    the pairs between those, and only those; a pair is compared if it shares as many short lists as the similarity
-    asks for."""
+    it shares most lists (rows in proportion to postings, not to pairs). Where members of a list are then still in
+    several components, those of the smaller ones are searched among all members of the larger ones, in blocks."""
     docs = docs.select("doc_id", "text")
     passed = settle(first_pass(docs, n))
     rank = renumbering(bucket_counts(passed))
@@ -250,16 +255,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                  .where(F.struct("members", "component") < F.col("head")).groupBy("a", "b").agg(F.count("*").alias("c")))
         seek = Window.partitionBy("b").orderBy(F.desc("c"), "a")
         best = _near(stars, classes, percent, seen_of=4).withColumn("nth", F.row_number().over(seek)).where(F.col("nth") <= centers)
-        links = search(docs, best, classes, rank, n, percent)
+        best = settle(best.select("a", "b"))
+        links = search(docs, best.select(F.col("a").alias("group"), F.col("b").alias("id")), best.select(F.col("a").alias("group"), F.col("a").alias("id")),
+                       classes, rank, n, percent)
         if component is not None:
             links = links.union(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
         component = connected_components(links)
         placed = settle(_still_split(shared, component))
-    placed = placed.drop("members")
-    other = placed.withColumnsRenamed({"id": "b", "component": "b_component"})
-    pairs = (placed.withColumnRenamed("id", "a").join(other, "token").where("a < b and component <> b_component")
-             .groupBy("a", "b").agg(F.count("*").alias("c")))
-    more = search(docs, _near(pairs, classes, percent), classes, rank, n, percent)
+    # what is left: a document of a smaller component is searched among the members of each larger one on its lists
+    larger = placed.select("token", F.col("component").alias("group"), F.struct("members", "component").alias("head")).distinct()
+    asked = (placed.join(larger, "token").where(F.struct("members", "component") < F.col("head"))
+             .groupBy("group", "id").agg(F.count("*").alias("c")))
+    queries = settle(_within_reach(asked, placed, classes, percent))
+    index = placed.select(F.col("component").alias("group"), "id").join(queries.select("group").distinct(), "group", "left_semi")
+    more = search(docs, index, queries, classes, rank, n, percent, one=True)
     component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     own = classes.join(component, classes["id"] == component["node"], "left").select("print", "rep", F.coalesce("component", "id").alias("component"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -277,6 +286,21 @@ def _still_split(shared: DataFrame, component: DataFrame) -> DataFrame:
     return placed.join(split, "token", "left_semi")
 
 
+def _within_reach(asked: DataFrame, placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(group, id) of the rows (group, id, c) whose set may reach the similarity with a member of the component `group`.
+
+    c, the short lists on which the set meets the component, is at least what it shares with any one member. What a
+    member must share follows from its size as in `_near`; of the sizes that the component has and the similarity
+    allows, the least and the greatest ask for least."""
+    sizes = classes.select("id", "n")
+    ranges = (placed.select(F.col("component").alias("group"), "id").distinct().join(sizes, "id")
+              .groupBy("group").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+    rows = (asked.join(sizes, "id").join(ranges, "group").withColumn("lo", F.greatest(F.col("lo"), F.col("n") * (percent / 100)))
+            .withColumn("hi", F.least(F.col("hi"), F.col("n") * (100 / percent))).where("lo <= hi + 1e-9"))
+    needs = [percent / (100 + percent) * (F.col("n") + F.col(x)) - percent / 100 * F.greatest("n", x) for x in ("lo", "hi")]
+    return rows.where(F.col("c") >= F.least(*needs) - 1e-6).select("group", "id")
+
+
 def _near(pairs: DataFrame, classes: DataFrame, percent: int, seen_of: int = 1) -> DataFrame:
     """Pairs (a, b, c) that may reach the similarity by their sizes and by c, the short lists they share.
 

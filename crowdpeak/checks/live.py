@@ -104,5 +104,6 @@ def candidate_refresh(spark, path):
     # The length is the last chat and a margin, so no chat lies after it.
     refresh = live.candidate_refresh(lambda: v.chats(spark, path), folder, clip=False)
     run(event_stream(spark, path).select("video_id", "ts").writeStream.foreachBatch(refresh), folder)
-    return live.latest_candidates(spark.read.option("recursiveFileLookup", "true").parquet(folder)).select(
+    read = spark.read.option("recursiveFileLookup", "true")
+    return live.latest_candidates(read.parquet(f"{folder}/candidates"), read.parquet(f"{folder}/touched")).select(
         "video_id", "start_time", "end_time", "window_score", "chat_count")

@@ -17,7 +17,7 @@ from crowdpeak.sources import ingest
 SMALL = Settings(oversample_to=200)
 
 SPLIT = """keyed AS (
-  SELECT *, ((doc_id % 1000003 * 7919 + 42 * 104729) * 1103515245 + 12345) % 2147483648 AS key FROM clean),
+  SELECT *, CAST('0x' || substr(md5(doc_id || ':42'), 1, 8) AS BIGINT) % 2147483648 AS key FROM clean),
 sizes AS (SELECT label, count(*) AS size FROM keyed GROUP BY label),
 parts AS (
   SELECT label, floor(round(size * 0.2::DOUBLE, 6)) AS whole,
@@ -71,9 +71,9 @@ def stratified_split(spark, path):
 drawn AS (
   SELECT s.doc_id, s.label, d.draw_no FROM range(1, 201) d(draw_no)
   JOIN sized s ON s.n < 200 AND s.label <> 6 AND s.row_no =
-    (((d.draw_no * 31 + s.label) % 1000003 * 7919 + 42 * 104729) * 1103515245 + 12345) % 2147483648 % s.n)""", select="""
-SELECT doc_id, label, draw_no, (((doc_id * 1201 + coalesce(draw_no, 0)) % 1000003 * 7919 + 43 * 104729) * 1103515245
-  + 12345) % 2147483648 AS shuffle_key FROM (
+    CAST('0x' || substr(md5((d.draw_no * 31 + s.label) || ':42'), 1, 8) AS BIGINT) % 2147483648 % s.n)""", select="""
+SELECT doc_id, label, draw_no,
+  CAST('0x' || substr(md5((doc_id * 1201 + coalesce(draw_no, 0)) || ':43'), 1, 8) AS BIGINT) % 2147483648 AS shuffle_key FROM (
   SELECT * FROM drawn UNION ALL SELECT doc_id, label, NULL FROM sized WHERE n >= 200 OR label = 6)"""))
 def oversampling(spark, path):
     out = dataset.oversample(_clean(spark, path), "doc_id", s=SMALL)

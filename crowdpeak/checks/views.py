@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdpeak.session import spread
 
 LENGTH = 3600.0
 
@@ -15,8 +14,8 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of long texts. A small file is one scan task; its rows are spread, so that all cores share the work."""
-    return spread(table(spark, path, name))
+    """A table of long texts."""
+    return table(spark, path, name)
 
 
 def micros_of_day():

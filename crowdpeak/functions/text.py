@@ -173,7 +173,7 @@ def share_link_id(url: Column, short_host: str = "youtu.be", clip_prefix: str =
     host = F.try_parse_url(url, F.lit("HOST"))
     path = F.try_parse_url(url, F.lit("PATH"))
     return (
-        F.when(host.contains(short_host), F.substring(path, 2, 1 << 20))
+        F.when(host.contains(short_host), F.substr(path, F.lit(2)))
         .when(path.startswith(clip_prefix), F.get(F.split(path, "/"), F.lit(2)))
         .otherwise(F.try_parse_url(url, F.lit("QUERY"), F.lit(key)))
     )

@@ -107,8 +107,9 @@ def asof_last(left: DataFrame, right: DataFrame, value: str, left_t: str = "t",
         F.col("_answer.v").alias(out), F.col("_answer.t").alias(f"{out}_t"))
 
 
-def first_rows(df: DataFrame, key: str, order: list[str], limit: int, bucket: Column) -> DataFrame:
-    """The first `limit` rows of each key in `order`, exact for a key of any size.
+def first_rows(df: DataFrame, key: str, order: list[str], limit: int | None, bucket: Column) -> DataFrame:
+    """The first `limit` rows of each key in `order` (all of them without a limit), numbered from 1, exact for a key of
+    any size.
 
     `bucket` must grow with the first order column. A count per bucket shows in which buckets the first rows lie; only
     rows of those buckets are sorted.
@@ -118,12 +119,11 @@ def first_rows(df: DataFrame, key: str, order: list[str], limit: int, bucket: Co
     upto = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     needed = (
         counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-        .filter(F.col("_before") < limit).select(key, "_bucket", "_before")
+        .filter(F.lit(True) if limit is None else F.col("_before") < limit).select(key, "_bucket", "_before")
     )
     w = Window.partitionBy(key, "_bucket").orderBy(*order)
-    return (
-        placed.join(needed, [key, "_bucket"])
-        .withColumn("row_no", F.col("_before") + F.row_number().over(w))
-        .filter(F.col("row_no") <= limit)
-        .drop("_bucket", "_before")
-    )
+    numbered = placed.withColumn("_nth", F.row_number().over(w))
+    if limit is not None:  # no bucket gives more than the limit, which is known before its rows are shuffled
+        numbered = numbered.filter(F.col("_nth") <= limit)
+    placed = numbered.join(needed, [key, "_bucket"]).withColumn("row_no", F.col("_before") + F.col("_nth"))
+    return (placed if limit is None else placed.filter(F.col("row_no") <= limit)).drop("_bucket", "_before", "_nth")

@@ -17,15 +17,16 @@ DEFAULT = Settings()
 def clean_labels(raw: DataFrame, message: str = "chat_message", label: str = "label") -> DataFrame:
     """Rows with a message and a whole label 0-6; anything that is not a number is dropped, fractions are cut."""
     number = F.col(label).cast("string").try_cast("double")
-    kept = raw.filter(F.col(message).isNotNull() & number.isNotNull() & ~F.isnan(number))
-    return kept.withColumn(label, number.cast("int")).filter(F.col(label).between(0, 6))
+    # The range is tested before the cast: a label of any size or an infinite one is dropped, not an error.
+    kept = raw.filter(F.col(message).isNotNull() & (number > -1) & (number < 7))
+    return kept.withColumn(label, number.try_cast("int"))
 
 
 def label_statistics(raw: DataFrame, message: str = "chat_message", label: str = "label") -> DataFrame:
     """Rows per label, with the number of rows before and after cleaning, in one pass over the raw rows."""
     number = F.col(label).cast("string").try_cast("double")
-    valid = F.col(message).isNotNull() & ~F.isnan(number) & number.cast("int").between(0, 6)
-    per = raw.groupBy(F.when(valid, number.cast("int")).alias("label")).agg(F.count("*").alias("rows"))
+    valid = F.col(message).isNotNull() & (number > -1) & (number < 7)
+    per = raw.groupBy(F.when(valid, number.try_cast("int")).alias("label")).agg(F.count("*").alias("rows"))
     everything = Window.partitionBy(F.lit(0))
     return (
         per.withColumn("raw_rows", F.sum("rows").over(everything))
@@ -43,10 +44,10 @@ def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def split_key(row_id: Column, seed: int) -> Column:
-    """A reproducible pseudo-random whole number below 2^31 for a row number: two multiplicative steps, so that any
-    SQL engine can repeat it."""
-    mixed = (row_id.cast("long") % 1_000_003) * 7919 + F.lit(seed % 4000 * 104_729)
-    return ((mixed * 1_103_515_245 + 12_345) % 2_147_483_648).cast("long")
+    """A reproducible pseudo-random whole number below 2^31 for a row number: the first 32 bits of md5, without the
+    top one, so that any SQL engine can repeat it."""
+    digest = F.md5(F.concat(row_id.cast("long").cast("string"), F.lit(f":{seed}")))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 2_147_483_648).cast("long")
 
 
 def stratified_split(df: DataFrame, row_id: str, label: str = "label", s: Settings = DEFAULT) -> DataFrame:

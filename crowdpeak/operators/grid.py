@@ -17,12 +17,15 @@ from crowdpeak.settings import Settings
 DEFAULT = Settings()
 
 
-def video_stats(chats: DataFrame, videos: DataFrame | None = None, joy: str = "joy_pct",
+def video_stats(chats: DataFrame, videos: DataFrame | None = None, joy: str | None = None,
                 s: Settings = DEFAULT) -> DataFrame:
     """Length, number of chats and adaptive joy threshold of each recording.
 
+    Mean and deviation are those of the unrounded joy where the table has it (`joy_raw`), else of `joy_pct`.
+
     `videos(video_id, fps, frames)` adds media lengths and recordings without any chat.
     """
+    joy = joy or ("joy_raw" if "joy_raw" in chats.columns else "joy_pct")
     stats = chats.groupBy("video_id").agg(
         F.count("*").alias("total_chats"), F.max("t").alias("_last"),
         F.avg(joy).alias("_mean"), F.stddev_pop(joy).alias("_std"))

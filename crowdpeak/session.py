@@ -13,8 +13,6 @@ def build_session(app: str = "crowdpeak", master: str | None = None, **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Few bytes can mean much work here (a line becomes hundreds of n-grams), so small shuffles keep their tasks.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -37,12 +35,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer tasks than cores, dealt out to all cores; a larger scan is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder, so that it is computed once however often it is read."""
     spark = df.sparkSession

@@ -76,7 +76,7 @@ class Settings:
     region_min_rows: int = 8
 
     # data sets, jobs, history
-    ingest_limit: int = 2000
+    ingest_limit: int | None = None  # messages kept of each recording; all unless asked for
     ingest_from_ms: int = 180_000
     split_test_share: float = 0.2
     split_seed: int = 42

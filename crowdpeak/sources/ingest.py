@@ -9,6 +9,7 @@ from crowdpeak import fixed_values as fv
 from crowdpeak.functions.text import strip
 from crowdpeak.operators.buckets import first_rows
 from crowdpeak.settings import Settings
+from crowdpeak.sources.tables import files_by_header
 
 DEFAULT = Settings()
 
@@ -25,8 +26,8 @@ def replay_messages(responses: DataFrame, body: str = "body", s: Settings = DEFA
                     limit: int | None = None) -> DataFrame:
     """Chat messages `(video_id, time_ms, chat_message)` of replay responses `(video_id, page, body)` in JSON text.
 
-    Text runs of a message are joined; empty messages and the opening minutes are left out; the first messages of
-    each recording are kept, in the order they came.
+    Text runs of a message are joined; empty messages and the opening minutes are left out; messages are
+    numbered in the order they came. With a limit, only the first ones of each recording are kept.
     """
     parsed = responses.withColumn("_b", F.from_json(body, REPLAY_SCHEMA))
     actions = parsed.select(
@@ -40,7 +41,7 @@ def replay_messages(responses: DataFrame, body: str = "body", s: Settings = DEFA
     kept = items.withColumn("chat_message", message).filter(
         (F.col("time_ms") >= s.ingest_from_ms) & (F.length("chat_message") > 0)).drop("_i")
     # Pages follow each other in time, so a bucket of pages grows with the order of arrival.
-    first = first_rows(kept, "video_id", ["page", "a", "i"], limit or s.ingest_limit, F.col("page"))
+    first = first_rows(kept, "video_id", ["page", "a", "i"], s.ingest_limit if limit is None else limit, F.col("page"))
     return first.select("video_id", "time_ms", "chat_message", "row_no")
 
 
@@ -57,7 +58,7 @@ def xml_messages(responses: DataFrame, body: str = "body", start_sec: str = "sta
                          strip(F.coalesce(F.col("_c.m"), F.lit(""))).alias("chat_message"))
     unique = rows.filter(F.length("chat_message") > 0).groupBy("video_id", "time_ms", "chat_message").agg(
         F.min(F.struct("page", "i")).alias("_at")).withColumn("page", F.col("_at.page"))
-    first = first_rows(unique, "video_id", ["_at"], limit or s.ingest_limit, F.col("page"))
+    first = first_rows(unique, "video_id", ["_at"], s.ingest_limit if limit is None else limit, F.col("page"))
     return first.select("video_id", "time_ms", "chat_message", "row_no")
 
 
@@ -77,25 +78,12 @@ def text_column(df: DataFrame) -> str:
     return df.columns[0]
 
 
-def file_headers(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, str]]:
-    """(file, first line) of each text file, found by one distributed scan; only these lines reach the driver."""
-    lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    first = lines.filter("start = 0").withColumn("no", F.monotonically_increasing_id()).groupBy("file").agg(
-        F.min_by("value", "no").alias("header"))
-    return [(row["file"], row["header"]) for row in first.toLocalIterator()]
-
-
 def read_label_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows of all CSV files that have the two needed columns, with their file; other files are skipped.
 
     Files with the same header are read together, so the plan has one scan per kind of header.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in file_headers(spark, paths):
-        columns = tuple(c.strip().strip('"') for c in header.lstrip("\ufeff").split(","))
-        if {"chat_message", "label"} <= set(columns):
-            groups.setdefault(columns, []).append(path)
+    groups = {c: p for c, p in files_by_header(spark, paths).items() if {"chat_message", "label"} <= set(c)}
     if not groups:
         raise FileNotFoundError("no file with the columns chat_message and label")
     tables = []

@@ -51,12 +51,13 @@ def candidate_refresh(history: Callable[[], DataFrame], sink: str, s: Settings =
         stats = grid.video_stats(chats, s=s)
         windows = grid.chat_scores(chats, grid.window_grid(stats, s), stats if clip else None, s=s)
         found = cand.first_stage(cand.chat_candidates(windows), s)
-        found.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-            f"{sink}/batch_{batch_id}")
+        number = F.lit(batch_id).cast("long")
+        found.withColumn("batch_id", number).write.mode("overwrite").parquet(f"{sink}/candidates/batch_{batch_id}")
+        touched.withColumn("batch_id", number).write.mode("overwrite").parquet(f"{sink}/touched/batch_{batch_id}")
     return refresh
 
 
-def latest_candidates(written: DataFrame) -> DataFrame:
-    """Candidates of the last batch that touched each recording."""
-    last = written.groupBy("video_id").agg(F.max("batch_id").alias("batch_id"))
+def latest_candidates(written: DataFrame, touched: DataFrame) -> DataFrame:
+    """Candidates of the last batch that touched each recording; none if that batch found none."""
+    last = touched.groupBy("video_id").agg(F.max("batch_id").alias("batch_id"))
     return written.join(last, ["video_id", "batch_id"], "left_semi")

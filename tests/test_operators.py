@@ -193,3 +193,39 @@ def test_label_files_without_the_columns_are_skipped(spark, tmp_path):
     raw = ingest.read_label_files(spark, str(tmp_path / "*.csv"))
     assert raw.count() == 3
     assert sorted((r.chat_message, r.label) for r in dataset.clean_labels(raw).collect()) == [("hi", 2), ("no", 5)]
+
+
+def test_chat_files_with_other_column_orders_and_bad_frames(spark, tmp_path):
+    from crowdpeak.sources import tables
+
+    (tmp_path / "a_extracted_ocr_chats.csv").write_text("timestamp,frame,chat_text\n1.5,10,hello\n2,n/a,you\n")
+    (tmp_path / "b_extracted_ocr_chats.csv").write_text("chat_text,timestamp,frame\nthere,3,12.0\n")
+    got = sorted(tuple(r) for r in tables.read_chat_csv(spark, str(tmp_path)).select("video_id", "t", "chat_text").collect())
+    assert got == [("a", 1.5, "hello"), ("a", 2.0, "you"), ("b", 3.0, "there")]
+
+
+def test_labels_out_of_range_are_dropped(spark):
+    from crowdpeak.operators import dataset
+
+    raw = spark.createDataFrame([("a", "5e9"), ("b", "inf"), ("c", "99999999999"), ("d", "3"), ("e", "nan"), ("f", "6.9")],
+                                "chat_message string, label string")
+    assert sorted(tuple(r) for r in dataset.clean_labels(raw).collect()) == [("d", 3), ("f", 6)]
+    assert {(r.label, r.rows) for r in dataset.label_statistics(raw).collect()} == {(3, 1), (6, 1)}
+
+
+def test_a_batch_without_candidates_takes_back_those_of_the_batch_before(spark):
+    from crowdpeak.streaming import live
+
+    written = spark.createDataFrame([("v", 0, 1.0), ("w", 0, 2.0)], "video_id string, batch_id long, start_time double")
+    touched = spark.createDataFrame([("v", 0), ("w", 0), ("v", 1)], "video_id string, batch_id long")
+    assert [r.video_id for r in live.latest_candidates(written, touched).collect()] == ["w"]
+
+
+def test_first_rows_without_a_limit_numbers_all(spark):
+    from pyspark.sql import functions as F
+
+    from crowdpeak.operators.buckets import first_rows
+
+    df = spark.range(50).withColumn("k", F.lit("a"))
+    got = first_rows(df, "k", ["id"], None, F.floor(F.col("id") / 7).cast("long"))
+    assert sorted((r.id, r.row_no) for r in got.collect()) == [(i, i + 1) for i in range(50)]

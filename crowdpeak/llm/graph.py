@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdpeak.llm.store import settle
 
 
+#: Links that one part of a round's tables holds in the mean.
+PART_LINKS = 100_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node next to it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,9 +36,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     gathered on the driver but a count and a checksum. Links halve distances, so a few rounds do."""
     edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                    .where("a is not null and b is not null and a < b").distinct())
-    before = None
+    # A round's tables are never larger than the links, so they are held in as many parts as those fill; many nearly
+    # empty parts would cost a file each in every round.
+    parts = max(1, math.ceil(edges.count() / PART_LINKS))
+    edges, before = edges.coalesce(parts), None
     for _ in range(most_rounds):
-        edges = settle(_small_star(_large_star(edges)))
+        edges = settle(_small_star(_large_star(edges)).coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return (edges.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -30,7 +30,7 @@ BUCKET_BITS = 16
 BLOCK_SHINGLES, FILTER_BITS = 400_000, 27
 #: Members that stand for a list, and candidates that each class is compared with, in each round before what is left is
 #: searched among whole components.
-STARS = (1, 3, 3)
+STARS = (1, 3)
 
 
 def first_pass(docs: DataFrame, n: int) -> DataFrame:

@@ -14,18 +14,18 @@ from crowdpeak.llm.store import settle
 PART_LINKS = 100_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node next to it."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """Smaller neighbours of a node, and the node, are tied to the smallest of them."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
     moved = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return moved.union(least.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
+    return moved.union(least.select(F.col("m").alias("a"), "b")).where("a < b").coalesce(parts).distinct()
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     parts = max(1, math.ceil(edges.count() / PART_LINKS))
     edges, before = edges.coalesce(parts), None
     for _ in range(most_rounds):
-        edges = settle(_small_star(_large_star(edges)).coalesce(parts))
+        edges = settle(_small_star(_large_star(edges, parts), parts).coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return (edges.select(F.col("b").alias("node"), F.col("a").alias("component"))

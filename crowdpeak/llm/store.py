@@ -6,12 +6,22 @@ from pyspark.sql import DataFrame
 
 from crowdpeak.session import cut_lineage
 
+#: With this setting Spark deletes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def settle(df: DataFrame) -> DataFrame:
     """`df` computed once and kept by checkpoint() in the folder of spark.checkpoint.dir.
 
-    Row numbers and partition layouts taken from the result stay as they are when executors are lost."""
-    return cut_lineage(df)
+    Row numbers and partition layouts taken from the result stay as they are when executors are lost. Nothing reads the
+    shuffle files behind `df` again once it is written, so they go at once and not when the driver next collects."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return cut_lineage(df.select("*"))
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def hashable(df: DataFrame) -> list[str]:

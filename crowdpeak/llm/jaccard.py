@@ -183,10 +183,13 @@ def search(docs: DataFrame, index: DataFrame, queries: DataFrame, classes: DataF
            one: bool = False) -> DataFrame:
     """(a, b): queries a of (group, id) and sets b of the index (group, id) of the same group that reach the similarity.
 
+    Neither table repeats a row. A distinct() here would be done where a join by group has put the rows, a hot group in
+    one task.
+
     The index of a group is cut into parts of bounded size; each of its sets goes to one part, each query to all parts.
     A part is a block of inverted lists, in which its queries are searched one by one. With `one`, a query gives at
     most one link in each part."""
-    index, queries = settle(index.select("group", "id").distinct()), settle(queries.select("group", "id").distinct())
+    index, queries = settle(index.select("group", "id")), settle(queries.select("group", "id"))
     sizes = classes.select("id", "n", "print", "rep")
     index, queries = index.join(sizes, "id"), queries.join(sizes, "id")
     parts = index.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
@@ -256,7 +259,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         seek = Window.partitionBy("b").orderBy(F.desc("c"), "a")
         best = _near(stars, classes, percent, seen_of=4).withColumn("nth", F.row_number().over(seek)).where(F.col("nth") <= centers)
         best = settle(best.select("a", "b"))
-        links = search(docs, best.select(F.col("a").alias("group"), F.col("b").alias("id")), best.select(F.col("a").alias("group"), F.col("a").alias("id")),
+        links = search(docs, best.select(F.col("a").alias("group"), F.col("b").alias("id")), best.select(F.col("a").alias("group"), F.col("a").alias("id")).distinct(),
                        classes, rank, n, percent)
         if component is not None:
             links = links.union(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -267,7 +270,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     asked = (placed.join(larger, "token").where(F.struct("members", "component") < F.col("head"))
              .groupBy("group", "id").agg(F.count("*").alias("c")))
     queries = settle(_within_reach(asked, placed, classes, percent))
-    index = placed.select(F.col("component").alias("group"), "id").join(queries.select("group").distinct(), "group", "left_semi")
+    index = placed.select(F.col("component").alias("group"), "id").distinct().join(queries.select("group").distinct(), "group", "left_semi")
     more = search(docs, index, queries, classes, rank, n, percent, one=True)
     component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     own = classes.join(component, classes["id"] == component["node"], "left").select("print", "rep", F.coalesce("component", "id").alias("component"))

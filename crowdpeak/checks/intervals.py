@@ -83,12 +83,12 @@ HIGHLIGHTS = (*STAGE_1, SPEECH, SCORED, BUDGET)
 
 
 def chat_windows(spark, path):
-    """Windows above the chat threshold. No chat of the view lies after the end of its recording, so no clipping."""
-    return analysis.candidate_windows(v.chats(spark, path), v.stats(spark, path), clip=False)
+    """Windows above the chat threshold."""
+    return analysis.candidate_windows(v.chats(spark, path), v.stats(spark, path))
 
 
 def stage_1(spark, path):
-    return analysis.first_stage(v.chats(spark, path), v.stats(spark, path), clip=False)
+    return analysis.first_stage(v.chats(spark, path), v.stats(spark, path))
 
 
 def final_scored(spark, path):
@@ -167,7 +167,7 @@ SELECT video_id, start_time, end_time, duration, window_score, avg_joy, chat_cou
 FROM stage_1"""))
 def fused_first_stage(spark, path):
     signals = analysis.Signals(voice=v.voice(spark, path), screen=v.screen(spark, path))
-    out = analysis.first_stage(v.chats(spark, path), v.stats(spark, path), signals, clip=False)
+    out = analysis.first_stage(v.chats(spark, path), v.stats(spark, path), signals)
     return out.drop("audio_score", "visual_score", "low_energy_boost")
 
 

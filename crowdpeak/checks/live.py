@@ -101,8 +101,7 @@ STATS_FROM_CHATS = """stats AS (
 SELECT video_id, start_time, end_time, window_score, chat_count FROM stage_1"""))
 def candidate_refresh(spark, path):
     folder = fresh(spark, "refresh")
-    # The length is the last chat and a margin, so no chat lies after it.
-    refresh = live.candidate_refresh(lambda: v.chats(spark, path), folder, clip=False)
+    refresh = live.candidate_refresh(lambda: v.chats(spark, path), folder)
     run(event_stream(spark, path).select("video_id", "ts").writeStream.foreachBatch(refresh), folder)
     read = spark.read.option("recursiveFileLookup", "true")
     return live.latest_candidates(read.parquet(f"{folder}/candidates"), read.parquet(f"{folder}/touched")).select(

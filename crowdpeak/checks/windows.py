@@ -162,7 +162,7 @@ def fused(spark, path):
     from crowdpeak.plans.analysis import Signals, fused_windows
 
     signals = Signals(voice=v.voice(spark, path), screen=v.screen(spark, path))
-    return fused_windows(v.chats(spark, path), v.stats(spark, path), signals, clip=False)
+    return fused_windows(v.chats(spark, path), v.stats(spark, path), signals)
 
 
 @query("win_2_rank_fraction", with_sql(CHATS, STATS, GRID, WINDOWS, select=f"""
@@ -194,7 +194,7 @@ def fusion_without_boost(spark, path):
     from crowdpeak.settings import Settings
 
     signals = Signals(voice=v.voice(spark, path), screen=v.screen(spark, path))
-    out = fused_windows(v.chats(spark, path), v.stats(spark, path), signals, clip=False,
+    out = fused_windows(v.chats(spark, path), v.stats(spark, path), signals,
                         s=Settings(low_energy_boost=False))
     return out.select("video_id", "k", rounded(F.col("fusion"), 6).alias("fusion"))
 

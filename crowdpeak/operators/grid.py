@@ -73,26 +73,30 @@ def _steps(s: Settings) -> int:
     return steps
 
 
-def _clipped(points: DataFrame, videos: DataFrame | None, t: str) -> DataFrame:
-    """A point after the end of the recording is in no window. Without `videos` the caller knows there are none."""
-    if videos is None:
-        return points
-    ends = videos.select("video_id", F.col("duration_sec").alias("_duration"))
-    return points.join(ends, "video_id").filter(F.col(t) <= F.col("_duration")).drop("_duration")
-
+def closed_window_sums(points: DataFrame, value: str, t: str = "t", videos: DataFrame | None = None,
+                       s: Settings = DEFAULT) -> DataFrame:
+    """Count, sum and maximum of `value` for each window `[5k, 5k+30]` with both ends inside.
 
-def closed_window_sums(points: DataFrame, value: str, t: str = "t", s: Settings = DEFAULT) -> DataFrame:
-    """Count, sum and maximum of `value` for each window `[5k, 5k+30]` with both ends inside."""
+    With `videos(video_id, duration_sec)` a point after the end of its recording is in no window. Slots that lie inside
+    as a whole are kept as they are; only rows of the one slot in which a recording ends are looked at again, by
+    `(video_id, slot)`.
+    """
     steps = _steps(s)
-    j = slot_of(F.col(t), s.step_sec)
-    edge = F.col(t) == F.col("j") * F.lit(s.step_sec)
-    slots = (
-        points.select("video_id", j.alias("j"), F.col(t), F.col(value).alias("v"))
-        .groupBy("video_id", "j")
-        .agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("v").alias("top"),
+    placed = points.select("video_id", slot_of(F.col(t), s.step_sec).alias("j"), F.col(t).alias("t"), F.col(value).alias("v"))
+    edge = F.col("t") == F.col("j") * F.lit(s.step_sec)
+    parts = [F.count("*").alias("n"), F.sum("v").alias("total"), F.max("v").alias("top"),
              F.count_if(edge).alias("edge_n"), F.sum(F.when(edge, F.col("v"))).alias("edge_total"),
-             F.max(F.when(edge, F.col("v"))).alias("edge_top"))
-    )
+             F.max(F.when(edge, F.col("v"))).alias("edge_top")]
+    if videos is None:
+        slots = placed.groupBy("video_id", "j").agg(*parts)
+    else:
+        ends = videos.select("video_id", F.col("duration_sec").alias("_end"))
+        spans = placed.groupBy("video_id", "j").agg(
+            *parts, F.min("t").alias("_first"), F.max("t").alias("_last")).join(ends, "video_id")
+        inside = spans.filter(F.col("_last") <= F.col("_end")).drop("_first", "_last", "_end")
+        cut = spans.filter((F.col("_first") <= F.col("_end")) & (F.col("_last") > F.col("_end"))).select("video_id", "j", "_end")
+        slots = inside.unionByName(placed.join(cut, ["video_id", "j"]).filter(F.col("t") <= F.col("_end"))
+                                   .groupBy("video_id", "j").agg(*parts))
     whole = [F.struct((F.col("j") - d).alias("k"), F.col("n").alias("n"), F.col("total").alias("total"),
                       F.col("top").alias("top")) for d in range(steps)]
     closing = F.struct((F.col("j") - steps).alias("k"), F.col("edge_n").alias("n"),
@@ -108,7 +112,7 @@ def closed_window_sums(points: DataFrame, value: str, t: str = "t", s: Settings
 def chat_scores(chats: DataFrame, grid: DataFrame, clip_to: DataFrame | None = None, joy: str = "joy_pct",
                 s: Settings = DEFAULT) -> DataFrame:
     """Chat score of every window; windows without chats are kept with count and score 0."""
-    sums = closed_window_sums(_clipped(chats, clip_to, "t"), joy, s=s)
+    sums = closed_window_sums(chats, joy, videos=clip_to, s=s)
     avg = F.coalesce(F.col("total") / F.col("n"), F.lit(0.0))
     return (
         grid.join(sums, ["video_id", "k"], "left")

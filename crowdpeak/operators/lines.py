@@ -59,11 +59,20 @@ def new_lines(scenes: DataFrame, s: Settings = DEFAULT, exact: bool = True) -> D
     return rows.filter(~close).drop("prev_lines")
 
 
-def _line_windows(lines: DataFrame, s: Settings) -> DataFrame:
+def _slots(lines: DataFrame, s: Settings) -> DataFrame:
+    """Add the slot `j`, and `first`, the first window that holds the line: one earlier for a line on the edge of its slot."""
     steps = int(s.window_sec // s.step_sec)
     j = slot_of(F.col("t"), s.step_sec)
-    first = F.when(F.col("t") == j * F.lit(s.step_sec), j - steps).otherwise(j - (steps - 1))
-    return lines.withColumn("k", F.explode(F.sequence(first, j))).filter("k >= 0")
+    edge = F.col("t") == F.col("j") * F.lit(s.step_sec)
+    return lines.withColumn("j", j).withColumn("first", F.when(edge, F.col("j") - steps).otherwise(F.col("j") - (steps - 1)))
+
+
+def _before_end(placed: DataFrame, videos: DataFrame) -> DataFrame:
+    """Lines up to the end of their recording. Lengths are joined to slots, and lines to the slots, by `(video_id, j)`."""
+    ends = videos.select("video_id", F.col("duration_sec").alias("_end"))
+    slots = (placed.groupBy("video_id", "j").agg(F.min("t").alias("_first")).join(ends, "video_id")
+             .filter(F.col("_first") <= F.col("_end")).select("video_id", "j", "_end"))
+    return placed.join(slots, ["video_id", "j"]).filter(F.col("t") <= F.col("_end")).drop("_end")
 
 
 def _grams(codes: Column, sizes: tuple[int, ...]) -> Column:
@@ -115,21 +124,23 @@ def line_scores(lines: DataFrame, windows: DataFrame, scenes: DataFrame | None =
     """Number of new lines (`chat_freq`) and their mean pairwise cosine (`chat_conc`) for each window.
 
     With unit vectors, the sum over all pairs is (|sum of vectors|^2 - number of vectors) / 2, so no pair of lines is
-    ever formed: every n-gram adds its weight to its windows, and the sums are squared. `has_lines` marks recordings
-    in `scenes`.
+    ever formed: every n-gram adds its weight to its slot, slots to their windows, and the sums are squared. `has_lines`
+    marks recordings in `scenes`.
     """
+    placed = _slots(lines.select("video_id", "t", "line"), s)
     if clip_to is not None:
-        ends = clip_to.select("video_id", F.col("duration_sec").alias("_end"))
-        lines = lines.join(ends, "video_id").filter(F.col("t") <= F.col("_end")).drop("_end")
+        placed = _before_end(placed, clip_to)
     # Two marks travel with the n-grams of a line, so that one pass also counts lines and vectors.
     line_mark, vector_mark = F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint")
-    vectors = line_vectors(lines.select("video_id", "t", "line"), s)
+    vectors = line_vectors(placed.select("video_id", "j", "first", "line"), s)
     marked = vectors.withColumn("grams", F.concat(
         F.when(F.col("weight").isNull(), F.array(line_mark)).otherwise(F.array(line_mark, vector_mark)), "grams"))
     gram = F.col("gram")
     sums = (
-        _line_windows(marked, s).select("video_id", "k", "weight", F.explode("grams").alias("gram"))
-        .groupBy("video_id", "k", "gram").agg(F.sum(F.when(gram < 0, 1.0).otherwise(F.col("weight"))).alias("_w"))
+        marked.select("video_id", "j", "first", "weight", F.explode("grams").alias("gram"))
+        .groupBy("video_id", "j", "first", "gram").agg(F.sum(F.when(gram < 0, 1.0).otherwise(F.col("weight"))).alias("_w"))
+        .select("video_id", F.explode(F.sequence("first", "j")).alias("k"), "gram", "_w").filter("k >= 0")
+        .groupBy("video_id", "k", "gram").agg(F.sum("_w").alias("_w"))
         .groupBy("video_id", "k").agg(
             F.sum(F.when(gram == line_mark, F.col("_w"))).cast("bigint").alias("chat_freq"),
             F.sum(F.when(gram == vector_mark, F.col("_w"))).alias("_vectors"),

@@ -29,38 +29,36 @@ def emotion_series(scored_chats: DataFrame, rules: ContextRules = ContextRules()
     return with_emotion_columns(context_boost(scored_chats, rules=rules))
 
 
-def fused_windows(chats: DataFrame, videos: DataFrame, signals: Signals, clip: bool = True,
+def fused_windows(chats: DataFrame, videos: DataFrame, signals: Signals,
                   exact_lines: bool = True, s: Settings = DEFAULT) -> DataFrame:
     """All windows with their signals, ranks, fusion score and threshold."""
-    ends = videos if clip else None
-    windows = grid.chat_scores(chats, grid.window_grid(videos, s), ends, s=s)
+    windows = grid.chat_scores(chats, grid.window_grid(videos, s), videos, s=s)
     if signals.scenes is not None:
         fresh = lines.new_lines(signals.scenes, s, exact_lines)
-        windows = lines.line_scores(fresh, windows, signals.scenes, ends, s)
+        windows = lines.line_scores(fresh, windows, signals.scenes, videos, s)
     if signals.voice is not None:
-        windows = grid.voice_scores(signals.voice, windows, ends, s)
+        windows = grid.voice_scores(signals.voice, windows, videos, s)
     if signals.screen is not None:
-        windows = grid.screen_scores(signals.screen, windows, ends, s)
+        windows = grid.screen_scores(signals.screen, windows, videos, s)
     ranked = ranks.voice_ranks(ranks.chat_ranks(windows, s), s)
     return ranks.fusion_threshold(ranks.fusion_scores(ranked, s), s)
 
 
-def candidate_windows(chats: DataFrame, stats: DataFrame, signals: Signals = Signals(), clip: bool = True,
+def candidate_windows(chats: DataFrame, stats: DataFrame, signals: Signals = Signals(),
                       exact_lines: bool = True, s: Settings = DEFAULT) -> DataFrame:
     """Windows above the threshold. Recordings with a voice track are judged by fusion, the others by chat alone.
 
-    `stats` is the output of `grid.video_stats`. `clip=False` promises that no row lies after the end of a recording.
+    `stats` is the output of `grid.video_stats`. Rows after the end of a recording are in no window.
     """
-    ends = stats if clip else None
     if signals.voice is None:
-        return cand.chat_candidates(grid.chat_scores(chats, grid.window_grid(stats, s), ends, s=s))
-    return cand.fusion_candidates(fused_windows(chats, stats, signals, clip, exact_lines, s))
+        return cand.chat_candidates(grid.chat_scores(chats, grid.window_grid(stats, s), stats, s=s))
+    return cand.fusion_candidates(fused_windows(chats, stats, signals, exact_lines, s))
 
 
-def first_stage(chats: DataFrame, stats: DataFrame, signals: Signals = Signals(), clip: bool = True,
+def first_stage(chats: DataFrame, stats: DataFrame, signals: Signals = Signals(),
                 exact_lines: bool = True, s: Settings = DEFAULT) -> DataFrame:
     """Candidate intervals of every recording."""
-    return cand.first_stage(candidate_windows(chats, stats, signals, clip, exact_lines, s), s)
+    return cand.first_stage(candidate_windows(chats, stats, signals, exact_lines, s), s)
 
 
 def highlights(candidates: DataFrame, speech: DataFrame, stats: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -39,7 +39,7 @@ def without_replays(chats: DataFrame, time: str = "ts", late: str = "1 hour") ->
     return chats.withWatermark(time, late).dropDuplicatesWithinWatermark(["video_id", "time_ms", "chat_message"])
 
 
-def candidate_refresh(history: Callable[[], DataFrame], sink: str, s: Settings = DEFAULT, clip: bool = True):
+def candidate_refresh(history: Callable[[], DataFrame], sink: str, s: Settings = DEFAULT):
     """A `foreachBatch` function: recompute the candidates of the recordings a micro-batch touches.
 
     Thresholds and merged intervals depend on the whole recording, so touched recordings are read again from
@@ -49,7 +49,7 @@ def candidate_refresh(history: Callable[[], DataFrame], sink: str, s: Settings =
         touched = batch.select("video_id").distinct()
         chats = history().join(touched, "video_id", "left_semi")
         stats = grid.video_stats(chats, s=s)
-        windows = grid.chat_scores(chats, grid.window_grid(stats, s), stats if clip else None, s=s)
+        windows = grid.chat_scores(chats, grid.window_grid(stats, s), stats, s=s)
         found = cand.first_stage(cand.chat_candidates(windows), s)
         number = F.lit(batch_id).cast("long")
         found.withColumn("batch_id", number).write.mode("overwrite").parquet(f"{sink}/candidates/batch_{batch_id}")

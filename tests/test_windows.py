@@ -189,3 +189,20 @@ def test_empty_reasons(spark):
     assert (out["quiet"].empty_reason, out["flat"].empty_reason, out["good"].empty_reason) == (
         "no_chats", "no_candidates", None)
     assert out["good"].total_highlight_duration_sec == 30.0 and out["flat"].top_k_limit is None
+
+
+def test_rows_after_the_end_are_in_no_window(spark):
+    times = [0.0, 4.5, 5.0, 29.9, 31.0, 33.2, 33.5, 34.9, 35.0, 40.0, 62.0]
+    chats = chat(spark, [("a", t, float(i + 1)) for i, t in enumerate(times)] + [("b", 9.0, 3.0)])
+    for length in (33.2, 34.0, 35.0, 41.5):
+        videos = video(spark, ("a", length), ("b", length))
+        got = {(r.video_id, r.k): (r.n, r.total, r.top) for r in grid.closed_window_sums(chats, "joy_pct", videos=videos).collect()}
+        for k in range(13):
+            inside = [i + 1.0 for i, t in enumerate(times) if 5 * k <= t <= min(5 * k + 30, length)]
+            assert got.get(("a", k)) == ((len(inside), sum(inside), max(inside)) if inside else None), (length, k)
+    rows = spark.createDataFrame([("a", t, f"line {i} of some") for i, t in enumerate(times)], "video_id string, t double, line string")
+    cut = lines.line_scores(rows, grid.window_grid(video(spark, ("a", 34.0))), clip_to=video(spark, ("a", 34.0)))
+    plain = lines.line_scores(rows.filter("t <= 34"), grid.window_grid(video(spark, ("a", 34.0))))
+    keep = ["k", "chat_freq", "chat_conc"]
+    pairs = list(zip(sorted(cut.select(*keep).collect()), sorted(plain.select(*keep).collect()), strict=True))
+    assert pairs and all(x[:2] == y[:2] and math.isclose(x.chat_conc, y.chat_conc, rel_tol=1e-12) for x, y in pairs)

@@ -44,7 +44,14 @@ def iou(a: str, b: str) -> Column:
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
-def fixed_boxes(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def _frames_read(boxes: DataFrame, frames: DataFrame | None, name: str) -> DataFrame:
+    """Frames read of each recording; a frame without any text counts, but only `frames(video_id, n_frames)` knows it."""
+    if frames is None:
+        return boxes.groupBy("video_id").agg(F.countDistinct("frame").alias(name))
+    return frames.select("video_id", F.col("n_frames").alias(name))
+
+
+def fixed_boxes(boxes: DataFrame, s: Settings = DEFAULT, frames: DataFrame | None = None) -> DataFrame:
     """Distinct `(video_id, text, box)` that are part of the screen layout: the same text at nearly the same place in
     at least half of the other frames. Text that scrolls does not stay.
 
@@ -53,7 +60,7 @@ def fixed_boxes(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     size-and-place cells, in an equi join.
     """
     ratio = s.region_fixed_iou
-    frames = boxes.groupBy("video_id").agg(F.countDistinct("frame").alias("_frames"))
+    frames = _frames_read(boxes, frames, "_frames")
     enough = s.region_fixed_ratio * (F.col("_frames") - 1)
     box = F.struct(*GEOMETRY)
     seen = boxes.filter(F.length(F.coalesce("text", F.lit(""))) > 0).select(
@@ -101,9 +108,9 @@ def fixed_boxes(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     )
 
 
-def moving_boxes(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def moving_boxes(boxes: DataFrame, s: Settings = DEFAULT, frames: DataFrame | None = None) -> DataFrame:
     """Boxes that are not part of the screen layout."""
-    return without_fixed(boxes, fixed_boxes(boxes, s))
+    return without_fixed(boxes, fixed_boxes(boxes, s, frames))
 
 
 def without_fixed(boxes: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -182,9 +189,9 @@ def refined_groups(grouped: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     )
 
 
-def group_scores(refined: DataFrame, boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Score of each group: rows of text times the share of frames it is seen in. `boxes` gives the frames read."""
-    frames = boxes.groupBy("video_id").agg(F.countDistinct("frame").alias("frames"))
+def group_scores(refined: DataFrame, boxes: DataFrame, s: Settings = DEFAULT, frames: DataFrame | None = None) -> DataFrame:
+    """Score of each group: rows of text times the share of the frames read that it is seen in."""
+    frames = _frames_read(boxes, frames, "frames")
     keys = ["video_id", "group_left"]
     rows = count_rows(refined, keys + ["group_order", "frame", "median_height"], "median_height", s)
     scored = rows.groupBy(*keys, "group_order", "median_height").agg(
@@ -231,17 +238,16 @@ def bounding_region(boxes: DataFrame, margin_x: float, margin_y: float) -> DataF
 def voted_region(boxes: DataFrame) -> DataFrame:
     """Region by majority: the third of the screen with most boxes, right before left before middle on ties."""
     centre = (F.col("xmin") + F.col("xmax")) / 2
-    votes = boxes.groupBy("video_id").agg(
-        F.count("*").alias("_n"), F.count_if(centre < fv.VOTE_LEFT).alias("_left"),
-        F.count_if((centre >= fv.VOTE_LEFT) & (centre <= fv.VOTE_RIGHT)).alias("_middle"),
-        F.count_if(centre > fv.VOTE_RIGHT).alias("_right"))
+    votes = [F.count("*").alias("_n"), F.count_if(centre < fv.VOTE_LEFT).alias("_left"),
+             F.count_if((centre >= fv.VOTE_LEFT) & (centre <= fv.VOTE_RIGHT)).alias("_middle"),
+             F.count_if(centre > fv.VOTE_RIGHT).alias("_right")]
     side = (
         F.when(F.col("_n") < fv.VOTE_LEAST_BOXES, "default")
         .when((F.col("_right") >= F.col("_left")) & (F.col("_right") >= F.col("_middle")), "right")
         .when((F.col("_left") >= F.col("_right")) & (F.col("_left") >= F.col("_middle")), "left")
         .otherwise("middle")
     )
-    # All three regions are collected in one pass, so the boxes are read and grouped once.
+    # Votes and all three regions are collected in one pass, so the boxes are read and grouped once.
     low, high = fv.VOTE_MIDDLE
     sides = {"right": centre > fv.VOTE_RIGHT_FROM, "left": centre < fv.VOTE_LEFT_TO,
              "middle": (centre >= low) & (centre <= high)}
@@ -253,7 +259,7 @@ def voted_region(boxes: DataFrame) -> DataFrame:
                  F.max(F.when(inside, F.col("xmax"))).alias(f"{name}_xmax")]
     whole = [F.min("ymin").alias("all_ymin"), F.min("xmin").alias("all_xmin"), F.max("ymax").alias("all_ymax"),
              F.max("xmax").alias("all_xmax")]
-    bounds = boxes.groupBy("video_id").agg(*sums, *whole)
+    bounds = boxes.groupBy("video_id").agg(*votes, *sums, *whole)
 
     def pick(edge: str, margin: float, fallback: float) -> Column:
         value = F.col(f"all_{edge}")
@@ -262,23 +268,32 @@ def voted_region(boxes: DataFrame) -> DataFrame:
         return F.when(F.col("side") == "default", F.lit(fallback)).otherwise(rounded(clamp(value + margin)))
 
     ymin, xmin, ymax, xmax = fv.DEFAULT_REGION
-    return votes.withColumn("side", side).join(bounds, "video_id").select(
+    return bounds.withColumn("side", side).select(
         "video_id", "side", pick("ymin", -fv.VOTE_MARGIN_Y, ymin).alias("region_ymin"),
         pick("xmin", -fv.VOTE_MARGIN_X, xmin).alias("region_xmin"),
         pick("ymax", fv.VOTE_MARGIN_Y, ymax).alias("region_ymax"), pick("xmax", fv.VOTE_MARGIN_X, xmax).alias("region_xmax"))
 
 
-def chat_regions(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Chat region of each recording: the best column of text lines, or the majority vote if that has too few rows."""
+def chat_regions(boxes: DataFrame, s: Settings = DEFAULT, frames: DataFrame | None = None, videos: DataFrame | None = None,
+                 early: DataFrame | None = None) -> DataFrame:
+    """Chat region of each recording: the best column of text lines, or the majority vote if that has too few rows.
+
+    `frames(video_id, n_frames)` tells how many frames were read, `early` has the boxes of the frames that vote (else all
+    boxes do), and a recording of `videos(video_id)` without any of these boxes gets the default region.
+    """
     # Both tables are small next to the boxes and read several times below, so they are written once.
-    fixed = cut_lineage(fixed_boxes(boxes, s))
+    fixed = cut_lineage(fixed_boxes(boxes, s, frames))
     refined = cut_lineage(refined_groups(left_groups(without_fixed(boxes, fixed), s), s))
-    best = best_groups(group_scores(refined, boxes, s)).filter(F.col("rows") >= s.region_min_rows)
+    best = best_groups(group_scores(refined, boxes, s, frames)).filter(F.col("rows") >= s.region_min_rows)
     found = bounding_region(best_bands(refined, best, s), s.region_margin_x, s.region_margin_y)
-    voted = voted_region(boxes)
+    voted = voted_region(boxes if early is None else early)
     edges = ["region_ymin", "region_xmin", "region_ymax", "region_xmax"]
     named = found.select("video_id", *[F.col(e).alias(f"_{e}") for e in edges])
-    both = voted.join(named, "video_id", "left")
+    both = voted.join(named, "video_id", "left" if early is None else "full")
+    if videos is not None:
+        both = videos.select("video_id").distinct().join(both, "video_id", "left")
+    default = dict(zip(edges, fv.DEFAULT_REGION))
     return both.select(
-        "video_id", F.when(F.col("_region_ymin").isNotNull(), "lines").otherwise(F.concat(F.lit("vote_"), "side")).alias(
-            "method"), *[F.coalesce(f"_{e}", e).alias(e) for e in edges])
+        "video_id", F.when(F.col("_region_ymin").isNotNull(), "lines").otherwise(
+            F.concat(F.lit("vote_"), F.coalesce("side", F.lit("default")))).alias("method"),
+        *[F.coalesce(f"_{e}", e, F.lit(default[e])).alias(e) for e in edges])

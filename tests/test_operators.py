@@ -229,3 +229,25 @@ def test_first_rows_without_a_limit_numbers_all(spark):
     df = spark.range(50).withColumn("k", F.lit("a"))
     got = first_rows(df, "k", ["id"], None, F.floor(F.col("id") / 7).cast("long"))
     assert sorted((r.id, r.row_no) for r in got.collect()) == [(i, i + 1) for i in range(50)]
+
+
+def test_frames_without_text_count_as_read(spark):
+    label = [("a", f, 0, 0.1, 0.1, 0.2, 0.15, "live") for f in range(4)]
+    other = [("a", f, 1, 0.6, 0.1 * f, 0.7, 0.1 * f + 0.05, f"text {f}") for f in range(6)]
+    boxes = spark.createDataFrame(label + other, BOX)
+
+    def read(n):
+        return spark.createDataFrame([("a", n)], "video_id string, n_frames long")
+
+    assert [r.text for r in regions.fixed_boxes(boxes).collect()] == ["live"]
+    assert [r.text for r in regions.fixed_boxes(boxes, frames=read(6)).collect()] == ["live"]
+    assert regions.fixed_boxes(boxes, frames=read(20)).collect() == []
+
+
+def test_recordings_without_boxes_get_the_default_region(spark):
+    boxes = spark.createDataFrame([("a", 0, 0, 0.8, 0.1, 0.9, 0.15, "hi")], BOX)
+    videos = spark.createDataFrame([("a",), ("none",)], "video_id string")
+    for early in (None, boxes.filter("frame > 5")):
+        rows = regions.chat_regions(boxes, videos=videos, early=early).collect()
+        assert sorted(r.video_id for r in rows) == ["a", "none"]
+        assert {r.method for r in rows} == {"vote_default"} and len({tuple(r)[1:] for r in rows}) == 1

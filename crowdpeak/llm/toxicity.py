@@ -8,6 +8,7 @@ layer makes the score. Thresholds of the decision are calibrated for each langua
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from crowdpeak.llm.text import Memo, slices, split_all, utf8
 
 #: Hash rows, their length, filters of each width, widths, and the leading bytes that are features of a word.
 ROWS, DIM, FILTERS, WIDTHS, LEADS = 1 << 15, 12, 12, (1, 2, 3), (3, 4, 5, 6)
-#: Bound on the labelled rows that the fit reads (in the mean; chosen by a hash of doc_id).
+#: Bound on the labelled rows that the fit reads, in one task (in the mean; chosen by a hash of doc_id).
 SAMPLE = 8_000
 EPOCHS, BATCH, RATE = 4, 64, 0.02
 #: Steps of a fit at least; few rows are gone over more often.
@@ -209,20 +210,34 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict[str, float]]:
     """The model and the thresholds, from labelled rows of `docs` outside fold 2; one in ten is kept for thresholds.
 
-    At most about `sample` rows are read to the driver, chosen by a hash of doc_id; labels other than 0 and 1 and null
-    ids do not count."""
+    At most about `sample` rows, chosen by a hash of doc_id, go to the one task that fits; the driver sees the model
+    only. Labels other than 0 and 1 and null ids do not count; without labelled rows the model is the untrained one."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != 2).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     share = min(1.0, sample / max(1, known.count()))
     some = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select("doc_id", "text", "lang").join(some, "doc_id").orderBy("doc_id", "text").toPandas()
-    texts = [(t or "").encode() for t in rows["text"]]
-    y = rows["toxic"].to_numpy(dtype=np.float32)
-    kept = np.array([xxhash.xxh32_intdigest(str(i)) % 10 == 0 for i in rows["doc_id"]], dtype=bool)
-    model = fit([t for t, k in zip(texts, kept) if not k], y[~kept]) if (~kept).any() else Model()
+    rows = docs.select("doc_id", "text", "lang").join(some, "doc_id").select("doc_id", "text", "lang", "toxic")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.record_batch({"model": pa.array([pickle.dumps(_learned(pa.Table.from_batches(held)))], pa.binary())})
+
+    got = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(learn, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else (Model(), thresholds(np.zeros(0), np.zeros(0), []))
+
+
+def _learned(rows: pa.Table) -> tuple[Model, dict[str, float]]:
+    text, y = rows.column("text"), rows.column("toxic").to_numpy().astype(np.float32)
+    kept = np.array([xxhash.xxh32_intdigest(str(i)) % 10 == 0 for i in rows.column("doc_id").to_pylist()], dtype=bool)
+
+    def texts(which: np.ndarray) -> Iterator[bytes]:
+        return ((text[int(k)].as_py() or "").encode() for k in np.flatnonzero(which))
+
+    model = fit(texts(~kept), y[~kept]) if (~kept).any() else Model()
     scorer = Scorer(model)
-    held = [t for t, k in zip(texts, kept) if k]
+    held = list(texts(kept))
     scores = np.concatenate([scorer(held[i : i + 50]) for i in range(0, len(held), 50)]) if held else np.zeros(0)
-    return model, thresholds(scores, y[kept], rows["lang"][kept].where(rows["lang"][kept].notna(), None).tolist())
+    return model, thresholds(scores, y[kept], rows.column("lang").filter(pa.array(kept)).to_pylist())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -149,17 +149,13 @@ def label_files(spark, path):
     return ingest.read_label_files(spark, f"{folder}/*/*.csv").select("chat_message", "label")
 
 
-REPLAY_LIMIT = 20
-
-
 @query("src_8_replay_json", f"""
 SELECT video_id, time_ms, chat_message, row_no FROM (
   SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY turn, i) AS row_no FROM (
     SELECT CAST(conv_id AS VARCHAR) AS video_id, turn, turn * 60000 AS time_ms, {strip_sql('line')} AS chat_message, i
     FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
       generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations))
-  WHERE time_ms >= 180000 AND length(chat_message) > 0)
-WHERE row_no <= {REPLAY_LIMIT}""")
+  WHERE time_ms >= 180000 AND length(chat_message) > 0)""")
 def replay_json(spark, path):
     # One response per turn; each line is a message whose words are its text runs.
     item = lambda line: F.struct(F.struct(F.struct(F.struct(F.struct(F.transform(
@@ -172,7 +168,7 @@ def replay_json(spark, path):
         "liveChatContinuation")).alias("continuationContents")))
     responses = v.table(spark, path, "conversations").select(
         F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("page"), body.alias("body"))
-    return ingest.replay_messages(responses, limit=REPLAY_LIMIT)
+    return ingest.replay_messages(responses)
 
 
 @query("src_9_chat_xml", f"""
@@ -182,8 +178,7 @@ SELECT video_id, time_ms, chat_message, row_no FROM (
       SELECT CAST(conv_id AS VARCHAR) AS video_id, turn, turn * 5500 AS time_ms, {strip_sql('piece')} AS chat_message, i
       FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS piece,
         generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations))
-    WHERE length(chat_message) > 0 GROUP BY video_id, time_ms, chat_message))
-WHERE row_no <= {REPLAY_LIMIT}""")
+    WHERE length(chat_message) > 0 GROUP BY video_id, time_ms, chat_message))""")
 def chat_xml(spark, path):
     # One response per turn; each word is a message, so repeats are common. Every other word has no time of its own.
     def node(word, i):
@@ -195,7 +190,7 @@ def chat_xml(spark, path):
     responses = v.table(spark, path, "conversations").select(
         F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("page"),
         (F.col("turn") * 5.5).alias("start_sec"), body.alias("body"))
-    return ingest.xml_messages(responses, limit=REPLAY_LIMIT)
+    return ingest.xml_messages(responses)
 
 
 @query("src_10_text_column", """

@@ -10,7 +10,7 @@ from crowdpeak.checks.views import CHATS, GRID, SPEECH, STATS, WINDOWS, with_sql
 from crowdpeak.checks.windows import FUSION_PARTS, fused
 from crowdpeak.functions.numbers import rounded
 from crowdpeak.operators import candidates as cand
-from crowdpeak.operators import grid, selection
+from crowdpeak.operators import buckets, grid, selection
 from crowdpeak.plans import analysis
 from crowdpeak.settings import Settings
 
@@ -226,7 +226,6 @@ FROM stage_1 s JOIN windows w ON w.video_id = s.video_id AND w.start_sec >= s.st
 GROUP BY ALL"""))
 def windows_inside(spark, path):
     windows = grid.chat_scores(v.chats(spark, path), grid.window_grid(v.stats(spark, path)))
-    inside = windows.join(stage_1(spark, path).select("video_id", "start_time", "end_time"), "video_id").filter(
-        (F.col("start_sec") >= F.col("start_time")) & (F.col("end_sec") <= F.col("end_time")))
+    inside = buckets.windows_inside(windows, stage_1(spark, path))
     return inside.groupBy("video_id", "start_time", "end_time").agg(
         F.count("*").alias("n_windows"), rounded(F.max("chat_score"), 6).alias("best"))

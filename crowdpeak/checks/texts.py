@@ -193,14 +193,13 @@ labelled_messages AS (
 
 @query("emo_3_guardrails", with_sql(VECTORS, GUARDED, select=f"""
 SELECT doc_id, line_no, CAST(idx AS INTEGER) AS pred_label_idx, {fv.EMOTION_OFFICIAL_NAMES}[idx + 1] AS pred_label_name,
-  round(vec[idx + 1] * 100 + 1e-9, 2) AS confidence, round(vec[1] + 1e-9, 4) AS p0, round(vec[2] + 1e-9, 4) AS p1,
-  round(vec[3] + 1e-9, 4) AS p2, round(vec[5] + 1e-9, 4) AS p4
+  round(vec[idx + 1] * 100 + 1e-9, 2) AS confidence, {", ".join(f"round(vec[{i + 1}] + 1e-9, 4) AS p{i}" for i in range(7))}
 FROM labelled_messages"""))
 def guarded(spark, path):
     rows = v.vectors(spark, path).select("doc_id", "probs", F.posexplode(F.split("chat_text", "\n")).alias("line_no", "chat_text"))
     out = emotion.guardrails(rows, rules=GUARD)
     return out.select("doc_id", "line_no", "pred_label_idx", "pred_label_name", "confidence",
-                      *[F.col("all_probabilities")[i].alias(f"p{i}") for i in (0, 1, 2, 4)])
+                      *[F.col("all_probabilities")[i].alias(f"p{i}") for i in range(7)])
 
 
 @query("emo_4_top_emotion", with_sql(VECTORS, BOOST, select=f"""

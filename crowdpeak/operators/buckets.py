@@ -46,6 +46,15 @@ def points_in_any(points: DataFrame, intervals: DataFrame, t: str = "t", start:
     return placed.join(spread, hit, "left_semi").drop("_point_bucket")
 
 
+def windows_inside(windows: DataFrame, intervals: DataFrame, start: str = "start_sec", end: str = "end_sec",
+                   key: str = "video_id", bucket_sec: float = 60.0) -> DataFrame:
+    """Windows that lie wholly inside an interval `(start_time, end_time)` of their recording, one row per pair.
+
+    A window meets the intervals of the bucket its start falls in, never all of its recording."""
+    met = interval_join(windows, intervals.select(key, "start_time", "end_time"), t=start, key=key, bucket_sec=bucket_sec)
+    return met.filter(F.col(end) <= F.col("end_time"))
+
+
 def with_previous(df: DataFrame, order: str, columns: dict[str, str], max_gap: float, key: str = "video_id",
                   tie: str | None = None, bucket: float = 600.0) -> DataFrame:
     """Add values of the row before, or null where it is more than `max_gap` away.

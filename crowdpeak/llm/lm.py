@@ -7,56 +7,34 @@ document and divided by its tokens, is the score: low where a text looks like th
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crowdpeak.llm.text import LOWER, slices, utf8
+from crowdpeak.llm.store import settle
+from crowdpeak.llm.text import LOWER, utf8
 
-#: A word is in the vocabulary if this share of all documents holds it; the others are one unknown word by length and
-#: kind. A document has so many words at most on average that the vocabulary is bounded whatever the input.
-SHARE = 1 / 2000
-#: Bigrams are counted in 2 ** CELL_BITS hash cells, the same for both models.
-CELL_BITS = 18
 #: Weight of the shorter history: counts added to those of a bigram, and to those of a word.
 BACKOFF, FLOOR = 4.0, 0.5
-#: Kinds of unknown words, before the vocabulary.
-UNKNOWN = 64
-MEMORY = 400_000
+#: The beginning of a text and 64 kinds of unknown words, before the vocabulary.
+UNKNOWN = 65
+#: Text that is counted and scored at once. A slice sends the distinct words and bigrams in it, and gets back their counts.
+SLICE_BYTES = 16 << 20
+#: Hash cells of the plain model that tests compare with; the scoring counts bigrams exactly.
+CELL_BITS = 18
+#: Keys of a slice's sums beside those of kinds (1 to 64) and bigrams: its tokens, and the vocabulary that only it holds.
+TOKENS, ONLY_HERE = -1, -2
 
 
 def _kind(word: bytes) -> int:
     """Number of an unknown word, from its length and whether it has digits, marks or bytes beyond ASCII."""
-    return min(7, len(word) // 3) * 8 + (any(48 <= b <= 57 for b in word)) + 2 * (not word.isalnum()) + 4 * (max(word) > 127)
-
-
-def vocabulary(docs: DataFrame, share: float = SHARE) -> dict[bytes, int]:
-    """word -> number, from UNKNOWN on. Document frequencies count every document.
-
-    Tasks add up before the shuffle; only words above the share come to the driver."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, int] = {}
-
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
-            total.clear()
-            return out
-
-        for batch in batches:
-            for part in slices(batch):
-                for b in utf8(part.column(0)):
-                    for word in set(b.translate(LOWER).split()):
-                        total[word] = total.get(word, 0) + 1
-                if len(total) > MEMORY:
-                    yield flush()
-        yield flush()
-
-    least = max(2, int(docs.count() * share))
-    rows = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {bytes(w): UNKNOWN + k for k, w in enumerate(sorted(bytes(r[0]) for r in rows.select("word").toLocalIterator()))}
+    return 1 + min(7, len(word) // 3) * 8 + (any(48 <= b <= 57 for b in word)) + 2 * (not word.isalnum()) + 4 * (max(word) > 127)
 
 
 class Numbers:
@@ -75,40 +53,6 @@ class Numbers:
         return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def counts(docs: DataFrame, words, target: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, words of the target, cells, cells of the target): sums over all documents, arrays of fixed size."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(words.value)
-        ones, pairs = np.zeros((2, numbers.size), dtype=np.int64), np.zeros((2, 1 << CELL_BITS), dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                chosen = np.array(part.column(1).to_pylist(), dtype=bool)
-                all_ids, all_cells, of = [], [], []
-                for b, hit in zip(utf8(part.column(0)), chosen):
-                    ids = numbers(b)
-                    if len(ids):
-                        all_ids.append(ids)
-                        all_cells.append(numbers.cells(ids))
-                        of.append(hit)
-                for k, some in ((0, range(len(of))), (1, [i for i, hit in enumerate(of) if hit])):
-                    if some:
-                        ones[k] += np.bincount(np.concatenate([all_ids[i] for i in some]), minlength=numbers.size)
-                        pairs[k] += np.bincount(np.concatenate([all_cells[i] for i in some]), minlength=1 << CELL_BITS)
-        for kind, table in (("w", ones), ("c", pairs)):
-            there = np.flatnonzero(table[0])
-            yield pa.record_batch({"kind": pa.array([kind] * len(there)), "k": there, "n": table[0][there], "t": table[1][there]})
-
-    rows = (docs.select("text", target).mapInArrow(count, "kind string, k long, n long, t long")
-            .groupBy("kind", "k").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
-    size = UNKNOWN + len(words.value)
-    out = [np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.zeros(1 << CELL_BITS, dtype=np.int64), np.zeros(1 << CELL_BITS, dtype=np.int64)]
-    got = rows.toPandas()  # at most a row for each word of the vocabulary and each cell
-    for kind, at in (("w", 0), ("c", 2)):
-        some = got[got.kind == kind]
-        out[at][some.k.to_numpy()], out[at + 1][some.k.to_numpy()] = some.n.to_numpy(), some.t.to_numpy()
-    return tuple(out)
-
-
 class Model:
     """Log probabilities of one set of counts: (cell + BACKOFF * p(word)) / (count of the word before + BACKOFF)."""
 
@@ -124,37 +68,179 @@ class Model:
         return -np.log((self.cells[cells] + BACKOFF * self.p[ids]) / (np.maximum(history, self.cells[cells]) + BACKOFF))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Slice:
+    """Words and bigrams of some texts, and how often they are in all of them and in those of the target."""
+
+    def __init__(self, texts: list[bytes], chosen: np.ndarray):
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        parts = [np.fromiter(map(number.__getitem__, b.translate(LOWER).split()), dtype=np.int64) for b in texts]
+        self.lengths = np.array([len(x) for x in parts], dtype=np.int64)
+        self.ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        self.of = np.repeat(np.arange(len(parts)), self.lengths)
+        self.hit = np.asarray(chosen, dtype=bool)[self.of]
+        self.words = list(number)
+        self.keys = np.array([(xxhash.xxh3_64_intdigest(w) >> 2) + UNKNOWN for w in self.words], dtype=np.int64)
+        self.n, self.t = (np.bincount(x, minlength=len(self.words)) for x in (self.ids, self.ids[self.hit]))
+
+    def resolve(self, key: np.ndarray, n: np.ndarray, t: np.ndarray) -> None:
+        """Takes the counts of the words that other slices hold too; words of one document become kinds."""
+        first, last = np.zeros((2, len(self.words)), dtype=np.int64)
+        last[self.ids], first[self.ids[::-1]] = self.of, self.of[::-1]
+        known = first != last
+        at, there = _find(self.keys, key)
+        known[at] = True
+        self.only_here = int(known.sum()) - len(at)
+        self.n[at], self.t[at] = n[there], t[there]
+        unit = UNKNOWN + np.arange(len(self.words))
+        for j in np.flatnonzero(~known):
+            unit[j] = _kind(self.words[j])
+        self.units = unit[self.ids]
+        size = UNKNOWN + len(self.words)
+        self.kinds_n, self.kinds_t = (np.bincount(x[x < UNKNOWN], minlength=UNKNOWN) for x in (self.units, self.units[self.hit]))
+        begins = np.zeros(len(self.ids), dtype=bool)
+        begins[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = True
+        before = np.where(begins, 0, np.roll(self.units, 1)) if len(self.ids) else self.units
+        code, self.pair_of, self.pair_n = np.unique(before * size + self.units, return_inverse=True, return_counts=True)
+        self.pair_t = np.bincount(self.pair_of[self.hit], minlength=len(code))
+        self.left, self.right = code // size, code % size
+        key_of = np.concatenate((np.arange(UNKNOWN), self.keys)).astype(np.uint64)
+        mixed = _mixed(_mixed(key_of[self.left] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + key_of[self.right])
+        self.pair_keys = (mixed >> np.uint64(2)).astype(np.int64) + UNKNOWN
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, count, count in the target) of bigrams, kinds, tokens and the vocabulary of this slice alone."""
+        return (np.concatenate((self.pair_keys, np.arange(1, UNKNOWN), [TOKENS, ONLY_HERE])),
+                np.concatenate((self.pair_n, self.kinds_n[1:], [len(self.ids), self.only_here])),
+                np.concatenate((self.pair_t, self.kinds_t[1:], [int(self.hit.sum()), 0])))
+
+    def losses(self, key: np.ndarray, n: np.ndarray, t: np.ndarray, elsewhere: int, sizes: tuple[int, int]) -> list[np.ndarray]:
+        """Mean loss of each text in nats, under the target and under the background; `key`, `n`, `t` are sums of all slices."""
+        mine, all_n, all_t = self.sums()
+        at, there = _find(mine, key)
+        all_n[at], all_t[at] = n[there], t[there]
+        pairs, words = len(self.pair_keys), UNKNOWN + elsewhere + int(all_n[-1])
+        out = []
+        for count, ones, total in ((all_t, self.t, sizes[1]), (all_n, self.n, sizes[0])):
+            of_unit = np.concatenate(([0], count[pairs:-2], ones)).astype(np.float64)
+            p = (of_unit + FLOOR) / (count[-2] + FLOOR * words)
+            of_unit[0] = total
+            loss = -np.log((count[:pairs] + BACKOFF * p[self.right]) / (of_unit[self.left] + BACKOFF))
+            out.append(np.bincount(self.of, weights=loss[self.pair_of], minlength=len(self.lengths)) / np.maximum(self.lengths, 1))
+        return out
+
+
+def _find(mine: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `mine` and in `given` of the keys that both hold."""
+    by = np.argsort(given, kind="stable")
+    k = np.searchsorted(given, mine, sorter=by)
+    at = np.flatnonzero(k < len(given))
+    there = by[k[at]]
+    same = given[there] == mine[at]
+    return at[same], there[same]
+
+
+def _sliced(docs: DataFrame, most_bytes: int) -> DataFrame:
+    """A row (slice, rows) for each slice of consecutive rows, compressed; a text longer than `most_bytes` is a slice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held))
+            return pa.record_batch({"slice": pa.array([part + k], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for batch in batches:
+            start = 0
+            for i, b in enumerate(utf8(batch.column(2))):
+                if size and size + len(b) > most_bytes:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    yield packed()
+                    start, k, held, size = i, k + 1, [], 0
+                size += len(b) + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield packed()
+
+    return docs.select("doc_id", "target", "text").mapInArrow(run, "slice long, rows binary")
+
+
+def _read(rows: bytes) -> tuple[pa.Table, Slice]:
+    table = pa.ipc.open_stream(rows).read_all()
+    return table, Slice([b for part in table.column("text").chunks for b in utf8(part)], table.column("target").to_numpy())
+
+
+def _columns(sums: pa.Table) -> list[np.ndarray]:
+    return [sums.column(c).to_numpy() for c in ("key", "n", "t")]
+
+
+def _pack(sums: pa.Table) -> pa.Table:
+    """A slice's sums as one compressed row, and how many of its keys are new in it."""
+    sink = pa.BufferOutputStream()
+    kept = sums.select(["key", "n", "t"]).sort_by("key")
+    with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(kept)
+    return pa.table({"slice": sums.column("slice").slice(0, 1), "words": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                     "firsts": pa.array([int(np.sum(sums.column("slice").to_numpy() == sums.column("first").to_numpy()))], pa.int64())})
+
+
+def _elsewhere(sums: DataFrame) -> DataFrame:
+    """The sums over all slices, for each slice and key that other slices count too (one row a slice and key)."""
+    all_of = Window.partitionBy("key")
+    summed = sums.select("slice", "key", F.col("n").alias("own_n"), F.col("t").alias("own_t"), F.sum("n").over(all_of).alias("n"), F.sum("t").over(all_of).alias("t"),
+                         F.min("slice").over(all_of).alias("first"))
+    return summed.where("n <> own_n or t <> own_t").select("slice", "key", "n", "t", "first")
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row of `docs`, whole texts.
 
     The losses are means over the tokens in nats, score = target_loss - background_loss. The target are the rows whose
-    doc_id has a quality label of 1; the background are all rows. Null and empty texts and those of white space have no
+    doc_id has a quality label of 1; the background are all rows. Every word that two rows hold is in the vocabulary and
+    every bigram has a count of its own, whatever the size of the input: counts are tables by key (62-bit hashes), and
+    a slice of rows gets those of its own words and bigrams. Null and empty texts and those of white space have no
     tokens and three zeros. Repeated rows count as often as they are there; a null doc_id is never in the target; labels
     repeated for an id count once, 1 if any is. An empty table gives an empty table."""
-    base = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(vocabulary(base, share))  # bounded: see SHARE
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    marked = base.join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    ones, ones_t, cells, cells_t = counts(marked, words, "target")
-    sizes = base.join(good, "doc_id", "left").agg(F.count("*"), F.count("target")).first()
-    models = spark.sparkContext.broadcast((Model(ones_t, cells_t, sizes[1]), Model(ones, cells, sizes[0])))  # of fixed size
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    rows = settle(_sliced(marked, slice_bytes))
+    n_docs, n_target = marked.agg(F.count("*"), F.count_if("target")).first()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, (target, background) = Numbers(words.value), models.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, held in zip(batch.column(0), batch.column(1)):
+                found = _read(held.as_py())[1]
+                yield pa.record_batch({"slice": pa.array(np.full(len(found.keys), number.as_py())), "key": found.keys, "n": found.n, "t": found.t})
+
+    words = _elsewhere(rows.mapInArrow(count, "slice long, key long, n long, t long"))
+    words = settle(words.groupBy("slice").applyInArrow(_pack, "slice long, words binary, firsts long"))
+    shared_words = words.agg(F.coalesce(F.sum("firsts"), F.lit(0))).first()[0]
+    both = rows.join(words.select("slice", "words"), "slice", "left")
+
+    def resolved(held: bytes, words: bytes | None) -> tuple[pa.Table, Slice]:
+        table, found = _read(held)
+        none = np.zeros(0, dtype=np.int64)
+        found.resolve(*(_columns(pa.ipc.open_stream(words).read_all()) if words else (none, none, none)))
+        return table, found
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for b in utf8(part.column(1)):
-                    ids = numbers(b)
-                    if not len(ids):
-                        rows.append((0, 0.0, 0.0, 0.0))
-                        continue
-                    at = numbers.cells(ids)
-                    t, g = target.losses(ids, at), background.losses(ids, at)
-                    rows.append((len(ids), float(t.mean()), float(g.mean()), float((t - g).mean())))
-                n, t, g, d = zip(*rows)
-                yield pa.record_batch({"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(t, pa.float64()),
-                                       "background_loss": pa.array(g, pa.float64()), "score": pa.array(d, pa.float64())})
-
-    return base.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            for number, held, words in zip(*batch.columns):
+                key, n, t = resolved(held.as_py(), words.as_py())[1].sums()
+                yield pa.record_batch({"slice": pa.array(np.full(len(key), number.as_py())), "key": key, "n": n, "t": t})
+
+    def scored(mine: pa.Table, given: pa.Table) -> pa.Table:
+        table, found = resolved(mine.column("rows")[0].as_py(), mine.column("words")[0].as_py())
+        target, background = found.losses(*_columns(given), shared_words, (n_docs, n_target))
+        return pa.table({"doc_id": table.column("doc_id"), "n_tokens": found.lengths, "target_loss": target, "background_loss": background, "score": target - background})
+
+    given = _elsewhere(both.select("slice", "rows", "words").mapInArrow(pairs, "slice long, key long, n long, t long")).drop("first")
+    return both.groupBy("slice").cogroup(given.groupBy("slice")).applyInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

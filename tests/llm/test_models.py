@@ -1,6 +1,7 @@
 """Trained operators on small tables, alignment against plain dynamic programming, and odd rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -100,6 +101,31 @@ def test_cross_entropy_difference_against_plain_counts(spark):
     assert got[1].score < got[3].score
 
 
+def test_cross_entropy_difference_counts_every_word_and_bigram(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["the", "of", "and", "in"], k=4) + [f"pair{i % 3000}", f"next{i % 3000}"] + (["ODD7"] if i == 5 else [])) for i in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 6000, 5)], "doc_id long, quality int")
+    seen, n, t, n2, t2 = Counter(), Counter(), Counter(), Counter(), Counter()
+    for x in texts:
+        seen.update(set(x.lower().split()))
+    known = {w for w, k in seen.items() if k > 1}
+    read = lambda x: [w if w in known else f"<{lm._kind(w.encode())}>" for w in x.lower().split()]
+    for i, x in enumerate(texts):
+        for one, two in ((n, n2), (t, t2)) if i % 5 == 0 else ((n, n2),):
+            one.update(read(x))
+            two.update(zip(["<0>", *read(x)], read(x)))
+
+    def loss(x, one, two, rows):
+        p = lambda w: (one[w] + lm.FLOOR) / (one.total() + lm.FLOOR * (lm.UNKNOWN + len(known)))
+        return np.mean([-np.log((two[a, b] + lm.BACKOFF * p(b)) / ((rows if a == "<0>" else one[a]) + lm.BACKOFF)) for a, b in zip(["<0>", *read(x)], read(x))])
+
+    got = {r.doc_id: r for r in lm.score_documents(docs, labels, slice_bytes=20_000).collect()}
+    assert len(known) == 6004 and len(got) == 6000
+    for i in (0, 5, 6, 2999, 5999):
+        assert np.allclose((got[i].target_loss, got[i].background_loss), (loss(texts[i], t, t2, 1200), loss(texts[i], n, n2, 6000)))
+
+
 def test_main_text_of_odd_pages(spark):
     long = [f"Sentence number {i} of a page, which has some words and ends here." for i in range(40)]
     rows = []

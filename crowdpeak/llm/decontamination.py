@@ -21,6 +21,9 @@ from crowdpeak.llm.text import slices, split_all, utf8
 SEED_WORDS, SEED_SHARE, BLOCK_BYTES = 3, 0.7, 16 << 20
 #: Alignment: a word that agrees, one that differs, one left out or put in; score that marks a leak, as a share of the item's own.
 MATCH, MISMATCH, GAP, LEAK = 2, -1, -1, 0.4
+#: Whatever the share, a run of so many words verbatim is a leak, and an alignment that scores as much and this share of
+#: what its own words could. Items below SHORT words must be there whole.
+PASSAGE, IDENTITY, SHORT = 13, 0.75, 8
 #: Alignments worked on at once.
 AT_ONCE = 512
 
@@ -38,7 +41,7 @@ class Items:
         self.n = n
         grams, item, place = [], [], []
         for k, w in enumerate(self.words):
-            g = self.grams(w) if len(w) >= n else np.zeros(0, dtype=np.int64)
+            g = self.grams(w, min(n, len(w))) if len(w) else np.zeros(0, dtype=np.int64)
             grams.append(g)
             item.append(np.full(len(g), k))
             place.append(np.arange(len(g)))
@@ -46,12 +49,13 @@ class Items:
         by = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.place = self.gram[by], self.item[by], self.place[by]
         self.distinct = np.unique(self.gram)
+        self.sizes = sorted({min(n, len(w)) for w in self.words if len(w)})
 
-    def grams(self, w: np.ndarray) -> np.ndarray:
-        """One number for each run of n words; -1 where a word is in no item."""
+    def grams(self, w: np.ndarray, n: int) -> np.ndarray:
+        """One number for each run of n words, never that of a shorter run; -1 where a word is in no item."""
         size = np.int64(len(self.vocabulary) + 1)
-        out, ok = np.zeros(max(0, len(w) - self.n + 1), dtype=np.int64), np.ones(max(0, len(w) - self.n + 1), dtype=bool)
-        for k in range(self.n):
+        out, ok = np.zeros(max(0, len(w) - n + 1), dtype=np.int64), np.ones(max(0, len(w) - n + 1), dtype=bool)
+        for k in range(n):
             part = w[k : k + len(out)]
             out = out * size + part + 1
             ok &= part >= 0
@@ -100,6 +104,22 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple
     return best, first, last
 
 
+def longest_runs(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Longest run of words that an item and its passage share verbatim, all at once: (words, first word in the passage)."""
+    n, rows, width = len(items), max(map(len, items), default=0), max(map(len, passages), default=0)
+    a, b = np.full((n, rows), -2, dtype=np.int64), np.full((n, width), -1, dtype=np.int64)
+    for k, (x, y) in enumerate(zip(items, passages)):
+        a[k, : len(x)], b[k, : len(y)] = x, y
+    best, last, run = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros((n, width + 1), dtype=np.int64)
+    for i in range(rows):
+        run[:, 1:] = np.where(a[:, i][:, None] == b, run[:, :-1] + 1, 0)
+        j = run.argmax(axis=1)
+        value = run[np.arange(n), j]
+        last = np.where(value > best, j, last)
+        best = np.maximum(best, value)
+    return best, last - best
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """Items in blocks of at most about BLOCK_BYTES of text; one block is on the driver at a time."""
     held, size = [], 0
@@ -134,26 +154,28 @@ def _gram_counts(docs: DataFrame, items) -> dict[int, int]:
 
 def _hits(items: Items, w: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index in `wanted`, text, place) of the wanted n-grams (sorted) in texts given as word numbers."""
-    none = np.zeros(0, dtype=np.int64)
-    if len(w) < items.n or not len(wanted):
-        return none, none, none
-    g = items.grams(w)
-    k = np.searchsorted(wanted, g)
-    k[k == len(wanted)] = 0
-    place = np.flatnonzero((wanted[k] == g) & (g >= 0))
-    owner = np.searchsorted(at, place, side="right") - 1
-    inside = place + items.n <= at[owner + 1]
-    return k[place][inside], owner[inside], place[inside]
+    found = [np.zeros((3, 0), dtype=np.int64)]
+    for n in items.sizes if len(wanted) else ():
+        g = items.grams(w, n)
+        k = np.searchsorted(wanted, g)
+        k[k == len(wanted)] = 0
+        place = np.flatnonzero((wanted[k] == g) & (g >= 0))
+        owner = np.searchsorted(at, place, side="right") - 1
+        inside = place + n <= at[owner + 1]
+        found.append(np.stack((k[place][inside], owner[inside], place[inside])))
+    return tuple(np.concatenate(found, axis=1))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int = SEED_WORDS, seed_share: float = SEED_SHARE) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): documents that hold a passage aligned with a test item.
 
-    score is the alignment score over that of the item with itself, at least `leak`; the words are counted from 0 in
-    the document. One row for each row of `docs` and item, the best passage. Words are lower-cased (A-Z) and stripped
-    of marks. The seeds of an item are the rarest of its n-grams, by rank within the item, so an item that a large
-    part of the corpus holds keeps its seeds too. Items shorter than n words, null and empty ones have none and find
-    nothing; null and empty texts hold nothing; a null doc_id is carried. Repeated documents and items give repeated
+    score is the alignment score over that of the item with itself; the words are counted from 0 in the document. A leak
+    has a score of at least `leak`, or else PASSAGE words of the item verbatim or an alignment that long and close to
+    it, so that the passage that counts does not grow with the item. Items below SHORT words must be there whole.
+    One row for each row of `docs` and item, the best passage. Words are lower-cased (A-Z) and stripped of marks. The
+    seeds of an item are the rarest of its n-grams, by rank within the item, so an item that a large part of the corpus
+    holds keeps its seeds too, and the rarest in each short stretch of it, so that no PASSAGE words are without; the
+    seed of an item shorter than n words is all of it. Null and empty items have none and find nothing; null and empty texts hold nothing; a null doc_id is carried. Repeated documents and items give repeated
     rows. Empty tables give an empty table. Extra columns are not looked at."""
     spark, out = docs.sparkSession, None
     docs = docs.select("text", "doc_id")
@@ -168,6 +190,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int
             mine = np.flatnonzero(items.item == k)
             order = mine[np.argsort(times[mine], kind="stable")]
             seed[order[: math.ceil(len(mine) * seed_share)]] = True
+            stretch, rank = items.place[order] // max(1, (PASSAGE - n + 1) // 2), np.arange(len(order))
+            by = np.lexsort((rank, stretch))
+            seed[order[by[np.flatnonzero(np.diff(stretch[by], prepend=-1))]]] = True
         found = _aligned(docs, shared, spark.sparkContext.broadcast(seed), leak)
         out = found if out is None else out.union(found)
     return out if out is not None else _aligned(docs, spark.sparkContext.broadcast(Items([], n)), spark.sparkContext.broadcast(np.zeros(0, dtype=bool)), leak)
@@ -206,9 +231,17 @@ def _aligned(docs: DataFrame, shared, seeds, leak: float) -> DataFrame:
                 for cut in range(0, len(windows), AT_ONCE):
                     some = windows[cut : cut + AT_ONCE]
                     scores, first, last_word = smith_waterman([items.words[t] for _, t, _, _ in some], [w[a:b] for _, _, a, b in some])
-                    for (d, t, a, _), s, f, e in zip(some, scores.tolist(), first.tolist(), last_word.tolist()):
+                    size = np.array([len(items.words[t]) for _, t, _, _ in some])
+                    close = scores >= IDENTITY * MATCH * (last_word - first + 1)
+                    held = np.where(size < SHORT, scores == MATCH * size, (scores >= leak * MATCH * size) | ((scores >= MATCH * PASSAGE) & close))
+                    open_ = np.flatnonzero(~held & (size >= SHORT) & (scores >= MATCH * PASSAGE))  # as a verbatim run would score
+                    runs, begin = longest_runs([items.words[some[i][1]] for i in open_], [w[some[i][2] : some[i][3]] for i in open_])
+                    whole = runs >= PASSAGE
+                    held[open_[whole]] = True
+                    scores[open_[whole]], first[open_[whole]], last_word[open_[whole]] = MATCH * runs[whole], begin[whole], (begin + runs - 1)[whole]
+                    for (d, t, a, _), s, f, e, leaks in zip(some, scores.tolist(), first.tolist(), last_word.tolist(), held.tolist()):
                         share = s / (MATCH * len(items.words[t]))
-                        if share >= leak:
+                        if leaks:
                             best[d, t] = max(best.get((d, t), (0.0, 0, 0)), (share, -(a + f - int(at[d])), a + e - int(at[d])))
                 if best:
                     ids = part.column(1).to_pylist()

@@ -78,6 +78,19 @@ def test_leaks_whole_edited_and_none(spark):
     assert decontamination.find_leaks(table.where("doc_id = -1"), benchmark).count() == 0
 
 
+def test_long_passages_of_long_items_and_short_items_whole(spark):
+    rng = random.Random(16)
+    fill = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    long, five = fill(300), fill(5)
+    broken = [w for k in range(0, 90, 30) for w in long[k : k + 14] + fill(12)]  # runs of 14 words in a loose alignment
+    docs = [(1, long[40:140]), (2, long[200:213]), (3, long[200:212]), (4, five[:3]), (5, five), (6, ["two", "words"]), (7, ["words", "two"]), (8, broken)]
+    docs = [(i, " ".join(fill(30) + x + fill(30))) for i, x in docs] + [(100 + i, " ".join(fill(3) + long[200:213] + fill(3))) for i in range(40)]
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(five)), (3, "Two words.")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert set(got) == {(1, 1), (2, 1), (5, 2), (6, 3), (8, 1), *((100 + i, 1) for i in range(40))}
+    assert (got[1, 1].first_word, got[1, 1].last_word, got[5, 2].score, got[6, 3].first_word) == (30, 129, 1.0, 30)
+
+
 def test_cross_entropy_difference_against_plain_counts(spark):
     texts = {1: "a b a b c", 2: "a b c c", 3: "d d d a", 4: None, 5: " ", 6: "a B a"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("score", F.lit("own"))

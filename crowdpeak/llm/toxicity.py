@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdpeak.llm.text import Memo, slices, split_all, utf8
@@ -28,6 +28,8 @@ EPOCHS, BATCH, RATE = 4, 64, 0.02
 LEAST_STEPS = 500
 #: Calibrated thresholds stay between these.
 LOWEST, HIGHEST = 0.3, 0.7
+#: Equal parts of the scores in which rows are counted for thresholds.
+BINS = 10_000
 #: Words whose projections a task remembers.
 REMEMBERED = 100_000
 
@@ -180,26 +182,22 @@ class Scorer:
         return 1 / (1 + np.exp(-z))
 
 
-def thresholds(scores: np.ndarray, labels: np.ndarray, langs: list, least: int = 20) -> dict[str, float]:
-    """For each language the score at which F1 on the given rows is best; "" holds that of all rows.
-
-    A language with fewer than `least` rows of either label has no entry and goes by that of all rows."""
-    def best(s: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(-s, kind="stable")
-        s, y = s[order], y[order]
-        hits = np.cumsum(y)
-        f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
-        f1[:-1][s[:-1] == s[1:]] = 0  # equal scores are on one side
-        k = int(np.argmax(f1))
-        below = s[k + 1] if k + 1 < len(s) else 0.0
-        return float(min(HIGHEST, max(LOWEST, (s[k] + below) / 2)))
-
-    out = {"": best(scores, labels) if len(labels) and labels.any() else 0.5}
-    for name in {x for x in langs if x}:
-        mine = np.array([x == name for x in langs])
-        if labels[mine].sum() >= least and (1 - labels[mine]).sum() >= least:
-            out[name] = best(scores[mine], labels[mine])
-    return out
+def thresholds(scored: DataFrame, least: int = 20) -> dict[str, float]:
+    """For each language the score at which F1 on the rows (lang, toxic, score) is best; "" holds that of all rows.
+
+    Counted in a histogram of BINS scores by language; a row for each language comes to the driver. A language with
+    fewer than `least` rows of either label has no entry and goes by that of all rows."""
+    bins = scored.groupBy("lang", F.floor(F.col("score") * BINS).alias("bin")).agg(
+        F.count("*").alias("n"), F.sum("toxic").alias("y"), F.min("score").alias("low"), F.max("score").alias("high"))
+    every = bins.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.min("low").alias("low"), F.max("high").alias("high"))
+    bins = bins.where("lang <> ''").unionByName(every.withColumn("lang", F.lit("")))
+    of_lang, down = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy(F.desc("bin"))
+    toxic, upto = F.sum("y").over(of_lang), down.rowsBetween(Window.unboundedPreceding, 0)
+    cut = bins.select("lang", "n", "y", "bin", (2 * F.sum("y").over(upto) / (F.sum("n").over(upto) + F.greatest(F.lit(1), toxic))).alias("f1"),
+                      ((F.col("low") + F.coalesce(F.lead("high").over(down), F.lit(0.0))) / 2).alias("cut"))
+    best = cut.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.max(F.struct("f1", "bin", "cut"))["cut"].alias("cut")).collect()
+    out = {r.lang: min(HIGHEST, max(LOWEST, r.cut)) for r in best if (r.y > 0 if r.lang == "" else min(r.y, r.n - r.y) >= least)}
+    return {"": 0.5} | out
 
 
 def fold(doc_id: Column) -> Column:
@@ -208,14 +206,17 @@ def fold(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict[str, float]]:
-    """The model and the thresholds, from labelled rows of `docs` outside fold 2; one in ten is kept for thresholds.
+    """The model and the thresholds, from labelled rows of `docs` outside fold 2.
 
-    At most about `sample` rows, chosen by a hash of doc_id, go to the one task that fits; the driver sees the model
-    only. Labels other than 0 and 1 and null ids do not count; without labelled rows the model is the untrained one."""
+    At most about `sample` of them, chosen by a hash of doc_id, go to the one task that fits, less one in ten; the
+    thresholds come from all the others. The driver sees the model and one threshold a language. Labels other than 0 and
+    1 and null ids do not count; without labelled rows the model is the untrained one."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != 2).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     share = min(1.0, sample / max(1, known.count()))
-    some = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select("doc_id", "text", "lang").join(some, "doc_id").select("doc_id", "text", "lang", "toxic")
+    fits = ((F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+            & (F.pmod(F.xxhash64(F.lit("kept"), "doc_id"), F.lit(10)) != 0))
+    texts = docs.select("doc_id", "text", "lang")
+    rows = texts.join(known.where(fits), "doc_id").select("doc_id", "text", "toxic")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -223,21 +224,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
             yield pa.record_batch({"model": pa.array([pickle.dumps(_learned(pa.Table.from_batches(held)))], pa.binary())})
 
     got = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(learn, "model binary").collect()
-    return pickle.loads(got[0]["model"]) if got else (Model(), thresholds(np.zeros(0), np.zeros(0), []))
-
-
-def _learned(rows: pa.Table) -> tuple[Model, dict[str, float]]:
-    text, y = rows.column("text"), rows.column("toxic").to_numpy().astype(np.float32)
-    kept = np.array([xxhash.xxh32_intdigest(str(i)) % 10 == 0 for i in rows.column("doc_id").to_pylist()], dtype=bool)
+    model = pickle.loads(got[0]["model"]) if got else Model()
+    return model, thresholds(score(texts.join(known.where(~fits), "doc_id").select("text", "lang", "toxic"), model).select("lang", "toxic", "score"))
 
-    def texts(which: np.ndarray) -> Iterator[bytes]:
-        return ((text[int(k)].as_py() or "").encode() for k in np.flatnonzero(which))
 
-    model = fit(texts(~kept), y[~kept]) if (~kept).any() else Model()
-    scorer = Scorer(model)
-    held = list(texts(kept))
-    scores = np.concatenate([scorer(held[i : i + 50]) for i in range(0, len(held), 50)]) if held else np.zeros(0)
-    return model, thresholds(scores, y[kept], rows.column("lang").filter(pa.array(kept)).to_pylist())
+def _learned(rows: pa.Table) -> Model:
+    return fit([(t or "").encode() for t in rows.column("text").to_pylist()], rows.column("toxic").to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -30,6 +30,23 @@ def test_training_from_tables_without_labels(spark):
     assert scored.select(toxicity.rejected(F.col("score"), F.col("lang"), limits).alias("r")).first().r in (True, False)
 
 
+def test_thresholds_by_language_from_all_rows_the_fit_did_not_use(spark):
+    rng = random.Random(5)
+    rows = [(i, "en" if i % 10 else "de", int(rng.random() < 0.3)) for i in range(3000)]
+    made = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(8)) + (" loser" if y else ""), lang) for i, lang, y in rows]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    _, limits = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), sample=300)
+    assert set(limits) == {"", "en", "de"}
+    scores = [(lang, y, min(0.999, max(0.0, rng.gauss((0.55 if lang == "en" else 0.4) + 0.1 * y, 0.06)))) for _, lang, y in rows]
+    scores += [(None, 1, 0.9), ("", 0, 0.1), ("fr", 1, 0.6)]
+    limits = toxicity.thresholds(spark.createDataFrame(scores, "lang string, toxic int, score double"))
+    f1 = lambda mine, cut: 2 * sum(y for _, y, s in mine if s >= cut) / (sum(s >= cut for _, _, s in mine) + sum(y for _, y, _ in mine))
+    assert set(limits) == {"", "en", "de"}
+    for name in limits:
+        mine = [x for x in scores if not name or x[0] == name]
+        assert f1(mine, limits[name]) > max(f1(mine, c / 1000) for c in range(300, 701)) - 0.005
+
+
 def test_languages(spark):
     rng = random.Random(2)
     words = {"en": ["the", "and", "with", "that"], "de": ["der", "und", "nicht", "für"], "fr": ["être", "que", "où", "dans"]}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdpeak.llm import chat, decontamination, embeddings, html_text, jaccard, language, lm, mixing, sharding, toxicity
+from crowdpeak.llm import centroids, chat, decontamination, embeddings, html_text, jaccard, language, lm, mixing, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +161,38 @@ def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return whole.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
                         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    steps = [r"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+e AS MATERIALIZED (SELECT row, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k),
+s AS (SELECT row, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS cluster FROM k),
+c0 AS MATERIALIZED (SELECT cluster, i, x AS c FROM s JOIN e USING (row) WHERE cluster < 16)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (SELECT row, cluster, CAST(d AS BIGINT) AS distance FROM (
+  SELECT e.row, cluster, sum((x - c) * (x - c)) AS d FROM e JOIN c{n} USING (i) GROUP BY e.row, cluster)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, cluster) = 1)""")
+        if n < rounds:
+            steps.append(f"""
+c{n + 1} AS MATERIALIZED (
+  SELECT cluster, i, CAST((t - ((t % n) + n) % n) // n AS BIGINT) AS c FROM (SELECT cluster, i, sum(x) AS t, count(*) AS n FROM e JOIN a{n} USING (row) GROUP BY cluster, i)
+  UNION ALL SELECT cluster, i, c FROM c{n} WHERE cluster NOT IN (SELECT cluster FROM a{n}))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN k USING (row) JOIN (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster) USING (cluster)
+"""
+
+
+@query("op13_drift_tightening", _centroid_sql())
+def op13_drift_tightening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centres = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    names = F.array(*[F.lit(hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for c in centres.tolist()]).cast("array<string>")
+    sums = {r.cluster: r.total for r in found.groupBy("cluster").agg(F.sum("distance").alias("total")).collect()}  # 16 rows
+    totals = F.array(*[F.lit(sums.get(c, 0)).cast("long") for c in range(len(centres))]).cast("array<long>")
+    return found.select("vec_id", "cluster", "distance", F.get(totals, F.col("cluster")).alias("cluster_inertia"),
+                        F.lit(sum(sums.values())).cast("long").alias("inertia"), F.get(names, F.col("cluster")).alias("centroid_sha256"))

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdpeak.llm import centroids, chat, decontamination, embeddings, html_text, jaccard, language, lm, mixing, sharding, toxicity
+from crowdpeak.llm import alignment, centroids, chat, decontamination, embeddings, html_text, jaccard, language, lm, mixing, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +196,8 @@ def op13_drift_tightening(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = F.array(*[F.lit(sums.get(c, 0)).cast("long") for c in range(len(centres))]).cast("array<long>")
     return found.select("vec_id", "cluster", "distance", F.get(totals, F.col("cluster")).alias("cluster_inertia"),
                         F.lit(sum(sums.values())).cast("long").alias("inertia"), F.get(names, F.col("cluster")).alias("centroid_sha256"))
+
+
+@query("op11_galloping_alignment")
+def op11_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdpeak.llm import alignment, centroids, chat, decontamination, embeddings, html_text, jaccard, language, lm, mixing, sharding, toxicity
+from crowdpeak.llm import alignment, centroids, chat, decontamination, embeddings, html_text, jaccard, language, lm, mixing, pii, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +201,15 @@ def op13_drift_tightening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_galloping_alignment")
 def op11_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_shape_crf")
+def op12_shape_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))

@@ -7,7 +7,7 @@ to. The number of slots depends on the length of a recording, not on how many ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdpeak.functions.numbers import clamp, rounded, semitones
@@ -73,30 +73,53 @@ def _steps(s: Settings) -> int:
     return steps
 
 
-def closed_window_sums(points: DataFrame, value: str, t: str = "t", videos: DataFrame | None = None,
-                       s: Settings = DEFAULT) -> DataFrame:
-    """Count, sum and maximum of `value` for each window `[5k, 5k+30]` with both ends inside.
+def _slot_parts(value: Column, t: Column, j: Column, s: Settings) -> list[Column]:
+    """Sums of a slot; those of rows exactly on its start apart, since they also close the window that ends there."""
+    edge = t == j * F.lit(s.step_sec)
+    return [F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("top"),
+            F.count_if(edge).alias("edge_n"), F.sum(F.when(edge, value)).alias("edge_total"),
+            F.max(F.when(edge, value)).alias("edge_top")]
 
-    With `videos(video_id, duration_sec)` a point after the end of its recording is in no window. Slots that lie inside
-    as a whole are kept as they are; only rows of the one slot in which a recording ends are looked at again, by
-    `(video_id, slot)`.
-    """
-    steps = _steps(s)
+
+def slot_sums(points: DataFrame, value: str, t: str = "t", s: Settings = DEFAULT) -> DataFrame:
+    """One row per 5-second slot with rows: all that window sums and thresholds need, and mergeable by `merge_slots`."""
     placed = points.select("video_id", slot_of(F.col(t), s.step_sec).alias("j"), F.col(t).alias("t"), F.col(value).alias("v"))
-    edge = F.col("t") == F.col("j") * F.lit(s.step_sec)
-    parts = [F.count("*").alias("n"), F.sum("v").alias("total"), F.max("v").alias("top"),
-             F.count_if(edge).alias("edge_n"), F.sum(F.when(edge, F.col("v"))).alias("edge_total"),
-             F.max(F.when(edge, F.col("v"))).alias("edge_top")]
-    if videos is None:
-        slots = placed.groupBy("video_id", "j").agg(*parts)
-    else:
-        ends = videos.select("video_id", F.col("duration_sec").alias("_end"))
-        spans = placed.groupBy("video_id", "j").agg(
-            *parts, F.min("t").alias("_first"), F.max("t").alias("_last")).join(ends, "video_id")
-        inside = spans.filter(F.col("_last") <= F.col("_end")).drop("_first", "_last", "_end")
-        cut = spans.filter((F.col("_first") <= F.col("_end")) & (F.col("_last") > F.col("_end"))).select("video_id", "j", "_end")
-        slots = inside.unionByName(placed.join(cut, ["video_id", "j"]).filter(F.col("t") <= F.col("_end"))
-                                   .groupBy("video_id", "j").agg(*parts))
+    return placed.groupBy("video_id", "j").agg(
+        *_slot_parts(F.col("v"), F.col("t"), F.col("j"), s), F.max("t").alias("last_t"),
+        (F.var_pop("v") * F.count("v")).alias("spread"), F.count("v").alias("valued"))
+
+
+def merge_slots(slots: DataFrame) -> DataFrame:
+    """Partial slot sums of the same slot added up. Squared deviations are moved to the common mean."""
+    mean = F.sum("total") / F.sum("valued")
+    # sum n_i * (mean_i - mean)^2 = sum n_i * mean_i^2 - N * mean^2, taken around the smallest part mean to keep digits
+    part = F.col("total") / F.col("valued")
+    base = F.min(part).over(Window.partitionBy("video_id", "j"))
+    moved = slots.withColumn("_d", part - base).withColumn("_base", base)
+    between = F.sum(F.col("valued") * F.col("_d") * F.col("_d")) - F.sum("valued") * (mean - F.max("_base")) * (mean - F.max("_base"))
+    return moved.groupBy("video_id", "j").agg(
+        *[F.sum(c).alias(c) if c not in ("top", "edge_top") else F.max(c).alias(c) for c in ("n", "total", "top", "edge_n", "edge_total", "edge_top")],
+        F.max("last_t").alias("last_t"), (F.sum("spread") + F.greatest(between, F.lit(0.0))).alias("spread"), F.sum("valued").alias("valued"))
+
+
+def stats_of_slots(slots: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """What `video_stats` gives, from the slots of whole recordings instead of their rows."""
+    whole = slots.groupBy("video_id").agg(
+        F.sum("n").alias("total_chats"), F.max("last_t").alias("_last"), (F.sum("total") / F.sum("valued")).alias("_mean"))
+    off = F.col("total") / F.col("valued") - F.col("_mean")
+    spread = slots.join(whole.select("video_id", "_mean"), "video_id").groupBy("video_id").agg(
+        F.sqrt(F.sum(F.col("spread") + F.col("valued") * off * off) / F.sum("valued")).alias("_std"))
+    mean = F.coalesce("_mean", F.lit(s.default_mean_joy))
+    std = F.coalesce("_std", F.lit(s.default_std_joy))
+    return whole.join(spread, "video_id").select(
+        "video_id", "total_chats", rounded(F.col("_last") + s.duration_margin_sec).alias("duration_sec"),
+        rounded(mean).alias("mean_joy"), rounded(std).alias("std_joy"),
+        rounded(mean + s.threshold_std_factor * std).alias("calculated_threshold"))
+
+
+def windows_of_slots(slots: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Count, sum and maximum for each window `[5k, 5k+30]` with both ends inside, from slot sums."""
+    steps = _steps(s)
     whole = [F.struct((F.col("j") - d).alias("k"), F.col("n").alias("n"), F.col("total").alias("total"),
                       F.col("top").alias("top")) for d in range(steps)]
     closing = F.struct((F.col("j") - steps).alias("k"), F.col("edge_n").alias("n"),
@@ -109,10 +132,35 @@ def closed_window_sums(points: DataFrame, value: str, t: str = "t", videos: Data
     )
 
 
+def closed_window_sums(points: DataFrame, value: str, t: str = "t", videos: DataFrame | None = None,
+                       s: Settings = DEFAULT) -> DataFrame:
+    """Count, sum and maximum of `value` for each window `[5k, 5k+30]` with both ends inside.
+
+    With `videos(video_id, duration_sec)` a point after the end of its recording is in no window. Slots that lie inside
+    as a whole are kept as they are; only rows of the one slot in which a recording ends are looked at again, by
+    `(video_id, slot)`.
+    """
+    placed = points.select("video_id", slot_of(F.col(t), s.step_sec).alias("j"), F.col(t).alias("t"), F.col(value).alias("v"))
+    parts = _slot_parts(F.col("v"), F.col("t"), F.col("j"), s)
+    if videos is None:
+        return windows_of_slots(placed.groupBy("video_id", "j").agg(*parts), s)
+    ends = videos.select("video_id", F.col("duration_sec").alias("_end"))
+    spans = placed.groupBy("video_id", "j").agg(
+        *parts, F.min("t").alias("_first"), F.max("t").alias("_last")).join(ends, "video_id")
+    inside = spans.filter(F.col("_last") <= F.col("_end")).drop("_first", "_last", "_end")
+    cut = spans.filter((F.col("_first") <= F.col("_end")) & (F.col("_last") > F.col("_end"))).select("video_id", "j", "_end")
+    return windows_of_slots(inside.unionByName(
+        placed.join(cut, ["video_id", "j"]).filter(F.col("t") <= F.col("_end")).groupBy("video_id", "j").agg(*parts)), s)
+
+
 def chat_scores(chats: DataFrame, grid: DataFrame, clip_to: DataFrame | None = None, joy: str = "joy_pct",
                 s: Settings = DEFAULT) -> DataFrame:
     """Chat score of every window; windows without chats are kept with count and score 0."""
-    sums = closed_window_sums(chats, joy, videos=clip_to, s=s)
+    return scored_windows(closed_window_sums(chats, joy, videos=clip_to, s=s), grid, s)
+
+
+def scored_windows(sums: DataFrame, grid: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """The windows of `grid` with the chat score of their sums."""
     avg = F.coalesce(F.col("total") / F.col("n"), F.lit(0.0))
     return (
         grid.join(sums, ["video_id", "k"], "left")

@@ -80,18 +80,17 @@ def older_series(spark, path):
     return _series(spark, path)[1]
 
 
-@query("src_3_screen_csv", with_sql(CHATS, SCREEN, select="""
-SELECT DISTINCT c.video_id, s.video_id IS NOT NULL AS has_screen, coalesce(n, 0) AS samples FROM chats c
-  LEFT JOIN (SELECT video_id, count(*) AS n FROM screen WHERE value < 64 AND right(video_id, 1) <> '5' GROUP BY ALL) s
-  ON s.video_id = c.video_id"""))
+@query("src_3_screen_csv", with_sql(CHATS, SCREEN, """listed AS (
+  SELECT DISTINCT video_id FROM chats UNION ALL SELECT DISTINCT 'conv ' || conv_id FROM conversations)""", select="""
+SELECT c.video_id, s.video_id IS NOT NULL AS has_screen, t, value FROM listed c LEFT JOIN screen s ON s.video_id = c.video_id"""))
 def screen_csv(spark, path):
+    # Conversations are recordings that the screen table does not have.
     folder = fresh(spark, "screen")
-    some = v.screen(spark, path).filter("value < 64 AND right(video_id, 1) <> '5'")
-    tables.write_table(some.select("video_id", F.col("t").alias("timestamp"), "value"), folder, "csv", ["video_id"])
+    tables.write_table(v.screen(spark, path).select("video_id", F.col("t").alias("timestamp"), "value"), folder, "csv", ["video_id"])
     screen = tables.read_screen_csv(spark, folder)
-    flags = tables.signal_flags(v.stats(spark, path), {"has_screen": screen})
-    counts = screen.groupBy("video_id").agg(F.count("*").alias("samples"))
-    return flags.join(counts, "video_id", "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
+    others = v.table(spark, path, "conversations").select(F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("video_id"))
+    listed = v.stats(spark, path).select("video_id").unionByName(others.distinct())
+    return tables.signal_flags(listed, {"has_screen": screen}).join(screen, "video_id", "left").select("video_id", "has_screen", "t", "value")
 
 
 @query("src_4_chat_lines", with_sql(SCENES, select="""
@@ -104,17 +103,15 @@ def chat_lines(spark, path):
 
 
 @query("src_5_write_series", with_sql(CHATS, select="""
-SELECT video_id, count(*) AS rows, round(sum(joy_pct) + 1e-9, 4) AS joy FROM chats GROUP BY ALL
-UNION ALL SELECT 'json', count(*), round(sum(joy_pct) + 1e-9, 4) FROM chats"""))
+SELECT kind, video_id, round(t + 1e-9, 6) AS t, chat_text, joy_pct FROM chats, (VALUES ('csv'), ('json')) k(kind)"""))
 def write_series(spark, path):
     series = v.chats(spark, path).select("video_id", F.col("t").alias("timestamp"), "chat_text", "joy_pct")
     csv, json = fresh(spark, "series_csv"), fresh(spark, "series_json")
     tables.write_table(series, csv, "csv")
     tables.write_table(series, json, "json")
     a = spark.read.csv(csv, header=True, schema="video_id string, timestamp double, chat_text string, joy_pct double")
-    b = spark.read.json(json, schema=series.schema).withColumn("video_id", F.lit("json"))
-    both = a.select("video_id", "joy_pct").unionByName(b.select("video_id", "joy_pct"))
-    return both.groupBy("video_id").agg(F.count("*").alias("rows"), rounded(F.sum("joy_pct"), 4).alias("joy"))
+    both = a.withColumn("kind", F.lit("csv")).unionByName(spark.read.json(json, schema=series.schema).withColumn("kind", F.lit("json")))
+    return both.select("kind", "video_id", rounded(F.col("timestamp"), 6).alias("t"), "chat_text", "joy_pct")
 
 
 @query("src_6_payloads", with_sql(*HIGHLIGHTS, recursive=True, select="""

@@ -9,7 +9,7 @@ from crowdpeak import fixed_values as fv
 from crowdpeak.functions.text import strip
 from crowdpeak.operators.buckets import first_rows
 from crowdpeak.settings import Settings
-from crowdpeak.sources.tables import files_by_header
+from crowdpeak.sources.records import cell, csv_records
 
 DEFAULT = Settings()
 
@@ -79,19 +79,9 @@ def text_column(df: DataFrame) -> str:
 
 
 def read_label_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Rows of all CSV files that have the two needed columns, with their file; other files are skipped.
-
-    Files with the same header are read together, so the plan has one scan per kind of header.
-    """
-    groups = {c: p for c, p in files_by_header(spark, paths).items() if {"chat_message", "label"} <= set(c)}
-    if not groups:
-        raise FileNotFoundError("no file with the columns chat_message and label")
-    tables = []
-    for columns, members in sorted(groups.items()):
-        schema = ", ".join(f"`{c}` string" for c in columns)
-        table = spark.read.csv(members, schema=schema, header=True, multiLine=True, escape='"', enforceSchema=True)
-        tables.append(table.select("chat_message", "label", F.col("_metadata.file_path").alias("file")))
-    return union_labels(tables)
+    """Rows of all CSV files that have the two needed columns, with their file; other files are skipped."""
+    named = F.array_contains("header", "chat_message") & F.array_contains("header", "label")
+    return csv_records(spark, paths).filter(named).select(cell("chat_message").alias("chat_message"), cell("label").alias("label"), "file")
 
 
 def union_labels(tables: list[DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from crowdpeak import fixed_values as fv
 from crowdpeak.functions.text import seconds_or_zero
 from crowdpeak.settings import Settings
+from crowdpeak.sources.records import cell, cell_or, csv_records
 
 DEFAULT = Settings()
 
@@ -16,60 +17,28 @@ DEFAULT = Settings()
 VIDEO_FROM_PATH = r"([^/]+?)(?:_extracted_ocr_chats|_video_emotion_timeseries|_visual_change|_chat_lines)?\.[^./]+$"
 
 
+def video_of(path: Column, pattern: str = VIDEO_FROM_PATH) -> Column:
+    """The recording a file belongs to: its `video_id=...` folder, or else its name."""
+    folder = F.regexp_extract(path, "/video_id=([^/]+)/", 1)  # a file read by its own name has no partition column
+    return F.when(folder != "", F.url_decode(folder)).otherwise(F.regexp_extract(path, pattern, 1))
+
+
 def with_video(raw: DataFrame, pattern: str = VIDEO_FROM_PATH) -> DataFrame:
     """Add `video_id` from the file name, unless the files lie in `video_id=...` folders."""
     if "video_id" in raw.columns:
         return raw.withColumn("video_id", F.col("video_id").cast("string"))
-    path = F.col("_metadata.file_path")
-    folder = F.regexp_extract(path, "/video_id=([^/]+)/", 1)  # a file read by its own name has no partition column
-    return raw.withColumn("video_id", F.when(folder != "", F.url_decode(folder)).otherwise(F.regexp_extract(path, pattern, 1)))
-
-
-def _without_bom(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.lstrip("\ufeff").strip('"') for c in df.columns])
-
-
-def chat_columns(columns: list[str]) -> tuple[str, str]:
-    """Names of the time and the text column: the known names, or else the first and the last column."""
-    return ("timestamp" if "timestamp" in columns else columns[0],
-            "chat_text" if "chat_text" in columns else columns[-1])
-
-
-def normalised_chat(raw: DataFrame, video: Column) -> DataFrame:
-    time, text = chat_columns([c for c in raw.columns if c != "video_id"])
-    frame = F.col("frame").try_cast("double").try_cast("int") if "frame" in raw.columns else F.lit(None).cast("int")
-    return raw.select(video.alias("video_id"), seconds_or_zero(F.col(time).cast("string")).alias("t"),
-                      frame.alias("frame"), F.col(text).cast("string").alias("chat_text"))
+    return raw.withColumn("video_id", video_of(F.col("_metadata.file_path"), pattern))
 
 
 def read_chat_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Chat rows `(video_id, t, frame, chat_text)` from CSV files with a header, with or without a byte order mark."""
-    out = None
-    for columns, members in files_by_header(spark, paths).items():
-        raw = spark.read.csv(members, header=True, multiLine=True, escape='"')
-        part = normalised_chat(_without_bom(with_video(raw)), F.col("video_id"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise FileNotFoundError("no file with a header")
-    return out
-
+    """Chat rows `(video_id, t, frame, chat_text)` from CSV files, each with its own header, with or without a byte order mark.
 
-def file_headers(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, str]]:
-    """(file, first line) of each text file, found by one distributed scan; only these lines reach the driver."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    first = lines.filter("start = 0").withColumn("no", F.monotonically_increasing_id()).groupBy("file").agg(
-        F.min_by("value", "no").alias("header"))
-    return [(row["file"], row["header"]) for row in first.toLocalIterator()]
-
-
-def files_by_header(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files that have the same columns in the same order, so that one scan reads them; in the order of the columns."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in file_headers(spark, paths):
-        columns = tuple(c.strip().strip('"') for c in header.lstrip("\ufeff").split(","))
-        groups.setdefault(columns, []).append(path)
-    return dict(sorted(groups.items()))
+    Time and text are the columns of the known names, or else the first and the last column of the file.
+    """
+    return csv_records(spark, paths).select(
+        video_of(F.col("file")).alias("video_id"), seconds_or_zero(cell_or("timestamp", F.lit(0))).alias("t"),
+        cell("frame").try_cast("double").try_cast("int").alias("frame"),
+        cell_or("chat_text", F.size("header") - 1).alias("chat_text"))
 
 
 POINT = T.StructType([
@@ -131,10 +100,9 @@ def current_emotions(points: DataFrame) -> DataFrame:
 
 def read_screen_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Screen change samples `(video_id, t, value)`; a recording without rows has the signal switched off."""
-    raw = _without_bom(with_video(spark.read.csv(paths, header=True)))
-    first, second = "timestamp", "value"
-    return raw.select("video_id", F.col(first).try_cast("double").alias("t"),
-                      F.col(second).try_cast("double").alias("value")).filter("t IS NOT NULL AND value IS NOT NULL")
+    return csv_records(spark, paths).select(
+        video_of(F.col("file")).alias("video_id"), cell("timestamp").try_cast("double").alias("t"),
+        cell("value").try_cast("double").alias("value")).filter("t IS NOT NULL AND value IS NOT NULL")
 
 
 def signal_flags(videos: DataFrame, signals: dict[str, DataFrame]) -> DataFrame:

@@ -179,6 +179,71 @@ def spread_half_open(points: DataFrame, t: str, s: Settings = DEFAULT) -> DataFr
     return points.withColumn("k", F.explode(F.sequence(j - (steps - 1), j))).filter("k >= 0")
 
 
+def _median(values: Column) -> Column:
+    """Exact median of an array without nulls, null if it is empty."""
+    ordered, n = F.array_sort(values), F.size(values)
+    low, high = F.get(ordered, F.floor((n - 1) / 2).cast("int")), F.get(ordered, F.floor(n / 2).cast("int"))
+    return (low + high) / 2
+
+
+def _mean(values: Column) -> Column:
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+
+
+def _present(values: Column, field: str) -> Column:
+    return F.filter(F.transform(values, lambda x: x[field]), lambda x: x.isNotNull())
+
+
+def signal_scores(windows: DataFrame, voice: DataFrame | None = None, screen: DataFrame | None = None,
+                  clip_to: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
+    """The scores of `voice_scores` and of `screen_scores` for each window, whichever table is given, in one pass.
+
+    Samples of both tables go into one list per 5-second slot: one exchange, in which each sample stands once. A slot then
+    meets the window that starts with it, and a window takes the lists of its six slots from the rows after it in its
+    recording, so that no sample is repeated in an exchange. Rows of a recording are as many as its slots, like those that
+    are ranked afterwards by the same key. Medians are exact: the lists of a window are merged and sorted.
+    """
+    parts = []
+    v_type, s_type = "struct<at:double,loud:double,f0:double,onset:double>", "struct<at:double,value:double>"
+
+    def number(c: str) -> Column:
+        return F.when(~F.isnan(c), F.col(c))
+
+    if voice is not None:
+        voice = voice.select("video_id", F.col("sec").cast("double").alias("at"), number("rms_db").alias("loud"),
+                             number("f0_hz").alias("f0"), number("onset").alias("onset"))
+        parts.append(voice.select("video_id", slot_of(F.col("at"), s.step_sec).alias("k"),
+                                  F.struct("at", "loud", "f0", "onset").cast(v_type).alias("v"), F.lit(None).cast(s_type).alias("s")))
+    if screen is not None:
+        parts.append(screen.select("video_id", slot_of(F.col("t"), s.step_sec).alias("k"), F.lit(None).cast(v_type).alias("v"),
+                                   F.struct(F.col("t").alias("at"), "value").cast(s_type).alias("s")))
+    samples = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    slots = samples.groupBy("video_id", "k").agg(F.collect_list("v").alias("_voice"), F.collect_list("s").alias("_screen"))
+    slots = slots.withColumns({"_heard": F.array_min(_present(F.col("_voice"), "loud")), "_onsets": F.size(_present(F.col("_voice"), "onset")),
+                               "_seen": F.size("_screen") > 0})
+    if clip_to is not None:
+        slots = slots.join(clip_to.select("video_id", F.col("duration_sec").alias("_end")), "video_id")
+        slots = slots.withColumns({"_voice": F.filter("_voice", lambda x: x["at"] < F.ceil(F.col("_end"))),
+                                   "_screen": F.filter("_screen", lambda x: x["at"] < F.col("_end"))}).drop("_end")
+    recording = Window.partitionBy("video_id")
+    ahead = recording.orderBy("k").rangeBetween(0, _steps(s) - 1)
+    out = windows.withColumn("_window", F.lit(True)).join(slots, ["video_id", "k"], "full").select(
+        *windows.columns, "_window", F.flatten(F.collect_list("_voice").over(ahead)).alias("_voice"),
+        F.flatten(F.collect_list("_screen").over(ahead)).alias("_screen"), F.min("_heard").over(recording).alias("_quietest"),
+        F.sum("_onsets").over(recording).alias("_onsets"), F.coalesce(F.bool_or("_seen").over(recording), F.lit(False)).alias("_seen")).filter("_window")
+    if voice is not None:
+        base = voice.groupBy("video_id").agg(F.median("f0").alias("_f0_all"))
+        out = out.join(base, "video_id", "left").withColumns({
+            "tempo": _mean(_present(F.col("_voice"), "onset")), "has_audio": F.col("_quietest").isNotNull(),
+            "has_voice": F.coalesce(F.col("_onsets") > 0, F.lit(False)),
+            "audio_level": F.coalesce(_mean(_present(F.col("_voice"), "loud")), "_quietest"),
+            "pitch_st": semitones(_median(_present(F.col("_voice"), "f0")), F.col("_f0_all"))}).drop("_f0_all")
+    if screen is not None:
+        change = (F.coalesce(_median(_present(F.col("_screen"), "value")), F.lit(0.0)) - s.screen_low) / (s.screen_high - s.screen_low)
+        out = out.withColumns({"has_screen": F.col("_seen"), "visual_score": clamp(change)})
+    return out.drop("_window", "_voice", "_screen", "_quietest", "_onsets", "_seen")
+
+
 def voice_scores(voice: DataFrame, windows: DataFrame, clip_to: DataFrame | None = None,
                  s: Settings = DEFAULT) -> DataFrame:
     """Loudness, pitch in semitones and tempo of each window from `voice(video_id, sec, rms_db, f0_hz, onset)`.
@@ -186,38 +251,10 @@ def voice_scores(voice: DataFrame, windows: DataFrame, clip_to: DataFrame | None
     A window without seconds gets the lowest loudness of the recording and neither pitch nor tempo. Columns
     `has_audio` and `has_voice` tell which recordings have the signals at all.
     """
-    voice = voice.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("rms_db", "f0_hz", "onset")})
-    inside = voice
-    if clip_to is not None:
-        ends = clip_to.select("video_id", F.ceil("duration_sec").alias("_end"))
-        inside = voice.join(ends, "video_id").filter(F.col("sec") < F.col("_end")).drop("_end")
-    whole = voice.groupBy("video_id").agg(
-        F.min("rms_db").alias("_quietest"), F.median("f0_hz").alias("_f0_all"),
-        F.count("onset").alias("_onsets"))
-    per_window = spread_half_open(inside, "sec", s).groupBy("video_id", "k").agg(
-        F.avg("rms_db").alias("_loud"), F.median("f0_hz").alias("_f0"), F.avg("onset").alias("tempo"))
-    return (
-        windows.join(per_window, ["video_id", "k"], "left").join(whole, "video_id", "left")
-        .withColumn("has_audio", F.col("_quietest").isNotNull())
-        .withColumn("has_voice", F.coalesce(F.col("_onsets") > 0, F.lit(False)))
-        .withColumn("audio_level", F.coalesce("_loud", "_quietest"))
-        .withColumn("pitch_st", semitones(F.col("_f0"), F.col("_f0_all")))
-        .drop("_quietest", "_f0_all", "_onsets", "_loud", "_f0")
-    )
+    return signal_scores(windows, voice=voice, clip_to=clip_to, s=s)
 
 
 def screen_scores(screen: DataFrame, windows: DataFrame, clip_to: DataFrame | None = None,
                   s: Settings = DEFAULT) -> DataFrame:
     """0-1 screen score of each window from `screen(video_id, t, value)`: the median change between two bounds."""
-    inside = screen
-    if clip_to is not None:
-        ends = clip_to.select("video_id", F.col("duration_sec").alias("_end"))
-        inside = screen.join(ends, "video_id").filter(F.col("t") < F.col("_end")).drop("_end")
-    present = screen.select("video_id").distinct().withColumn("has_screen", F.lit(True))
-    per_window = spread_half_open(inside, "t", s).groupBy("video_id", "k").agg(F.median("value").alias("_median"))
-    change = (F.coalesce("_median", F.lit(0.0)) - s.screen_low) / (s.screen_high - s.screen_low)
-    return (
-        windows.join(per_window, ["video_id", "k"], "left").join(present, "video_id", "left")
-        .withColumn("has_screen", F.coalesce("has_screen", F.lit(False)))
-        .withColumn("visual_score", clamp(change)).drop("_median")
-    )
+    return signal_scores(windows, screen=screen, clip_to=clip_to, s=s)

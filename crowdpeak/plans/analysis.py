@@ -36,10 +36,8 @@ def fused_windows(chats: DataFrame, videos: DataFrame, signals: Signals,
     if signals.scenes is not None:
         fresh = lines.new_lines(signals.scenes, s, exact_lines)
         windows = lines.line_scores(fresh, windows, signals.scenes, videos, s)
-    if signals.voice is not None:
-        windows = grid.voice_scores(signals.voice, windows, videos, s)
-    if signals.screen is not None:
-        windows = grid.screen_scores(signals.screen, windows, videos, s)
+    if signals.voice is not None or signals.screen is not None:
+        windows = grid.signal_scores(windows, signals.voice, signals.screen, videos, s)
     ranked = ranks.voice_ranks(ranks.chat_ranks(windows, s), s)
     return ranks.fusion_threshold(ranks.fusion_scores(ranked, s), s)
 

@@ -40,21 +40,24 @@ SERIES_DOCS = """docs AS (
     string_split(text, chr(10)) AS lines FROM conversations)"""
 
 
-def _series(spark, path):
+def _series_docs(spark, path):
     c = v.table(spark, path, "conversations").withColumn("lines", F.split("text", "\n"))
     score = F.round(F.col("conv_id") / 7 + F.col("turn"), 2)
     points = F.transform("lines", lambda line, i: F.struct(
         (F.col("turn") * 5.0 + i).alias("timestamp"), line.alias("chat_text"), F.lit("중립").alias("top_emotion"),
         (F.length(line) % 100).cast("double").alias("joy_pct"), F.lit(1.5).alias("embarrass_pct"),
         F.lit(2.5).alias("anxiety_pct"), F.lit(3.5).alias("neutral_pct")))
-    docs = c.select(
+    return c.select(
         (F.col("conv_id") * 8 + F.col("turn")).cast("string").alias("video_id"),
         F.when(F.col("conv_id") % 3 == 0, F.struct(score.alias("calculated_threshold"))).alias("adaptive_threshold_stats"),
         F.when(F.col("conv_id") % 3 == 1, score + 1).alias("recommended_joy_threshold"),
         F.when(F.col("conv_id") % 2 == 0, F.struct((F.col("turn") * 100.0).alias("duration_sec"))).alias("video_metadata"),
         points.alias("time_series_data"))
+
+
+def _series(spark, path):
     folder = fresh(spark, "series")
-    tables.write_table(docs, folder, "json")
+    tables.write_table(_series_docs(spark, path), folder, "json")
     return tables.read_series_json(spark, folder, one_per_file=False)
 
 
@@ -77,7 +80,29 @@ SELECT CAST(conv_id * 8 + turn AS VARCHAR) AS video_id, turn * 5.0::DOUBLE + i A
   0.0::DOUBLE AS anger_pct, 0.0::DOUBLE AS sadness_pct, 0.0::DOUBLE AS disgust_pct, 0.0::DOUBLE AS fear_pct,
   3.5::DOUBLE AS neutral_pct FROM docs"""))
 def older_series(spark, path):
-    return _series(spark, path)[1]
+    return _series(spark, path)[1].drop("point")
+
+
+@query("src_2_both_forms", """
+SELECT kind, video_id, t, chat_text, joy_pct, anxiety_pct, calculated_threshold, total_chats FROM (
+  SELECT CAST(conv_id * 8 + turn AS VARCHAR) AS video_id, turn * 5.0::DOUBLE + i AS t, line AS chat_text,
+    CAST(length(line) % 100 AS DOUBLE) AS joy_pct, 2.5::DOUBLE AS anxiety_pct, n AS total_chats,
+    CASE conv_id % 3 WHEN 0 THEN round(conv_id / 7 + turn, 2) WHEN 1 THEN round(conv_id / 7 + turn, 2) + 1 ELSE 8.0::DOUBLE END AS calculated_threshold
+  FROM (SELECT conv_id, turn, len(string_split(text, chr(10))) AS n, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM conversations)), (VALUES ('file'), ('line')) k(kind)""")
+def both_forms(spark, path):
+    # The same documents once a file each, over several lines, and once a line each. A key without a column survives.
+    docs, folder = _series_docs(spark, path), fresh(spark, "series_files")
+    body = F.to_json(F.struct(*[c for c in docs.columns if c != "video_id"]), {"pretty": "true"})
+    docs.select("video_id", body.alias("value")).repartition("video_id").write.partitionBy("video_id").option("lineSep", "\n\n").text(folder)
+    lines = fresh(spark, "series_lines")
+    tables.write_table(docs, lines, "json")
+    out = None
+    for kind, (stats, points) in {"file": tables.read_series_json(spark, folder), "line": tables.read_series_json(spark, lines, one_per_file=False)}.items():
+        one = points.withColumn("anxiety_pct", F.try_variant_get("point", "$.anxiety_pct", "double")).join(stats, "video_id").select(
+            F.lit(kind).alias("kind"), "video_id", "t", "chat_text", "joy_pct", "anxiety_pct", "calculated_threshold", "total_chats")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("src_3_screen_csv", with_sql(CHATS, SCREEN, """listed AS (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crowdpeak import fixed_values as fv
 from crowdpeak.checks import views as v
+from crowdpeak.checks.feeds import fresh
 from crowdpeak.checks.intervals import HIGHLIGHTS, highlights
 from crowdpeak.checks.registry import query
 from crowdpeak.checks.views import JOBS, with_sql
@@ -13,6 +14,7 @@ from crowdpeak.functions.numbers import rounded
 from crowdpeak.operators import buckets, jobs, report, signals
 from crowdpeak.plans import analysis
 from crowdpeak.session import cut_lineage
+from crowdpeak.sources.job_log import JobLog
 
 def found_highlights(spark, path):
     """The highlights, written once: the operators below read them several times."""
@@ -197,6 +199,40 @@ def current_state(spark, path):
     return jobs.current_states(v.jobs(spark, path)).select("video_id", "status", "updated_at", "host", "event_no")
 
 
+LOGGED = """logged AS (
+  SELECT *, TIMESTAMP '1994-01-01' + to_days(CAST(video_id % 90 AS INTEGER)) + to_hours(CAST(video_id % 24 AS INTEGER)) AS created_at FROM jobs)"""
+
+
+def job_log(spark, path):
+    """Events in three appends, the first two compacted; jobs of the same day are in all of them."""
+    events = v.jobs(spark, path).withColumn("created_at", F.to_timestamp_ntz(F.lit("1994-01-01 00:00:00")) + F.make_dt_interval(
+        (F.col("video_id") % 90).cast("int"), (F.col("video_id") % 24).cast("int")))
+    log = JobLog(spark, fresh(spark, "job_log"))
+    for part in range(3):
+        log.append(events.filter(F.col("event_no") % 3 == part).withColumnRenamed("day", "on"), F.trunc(F.to_date("on"), "month"))
+        if part < 2:
+            log.compact()
+    return log
+
+
+@query("job_1_compacted_log", with_sql(JOBS, STATES, select="""
+SELECT video_id, status, updated_at, host, event_no FROM states"""))
+def compacted_log(spark, path):
+    return job_log(spark, path).current().select("video_id", "status", "updated_at", "host", "event_no")
+
+
+@query("job_3_log_retention", with_sql(JOBS, LOGGED, """states AS (
+  SELECT * FROM logged QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY (status = 'cancelled') DESC, updated_at DESC) = 1)""", select="""
+SELECT video_id, status, created_at < TIMESTAMP '1994-02-10 14:00:00' - INTERVAL 4 HOUR AS expired FROM states"""))
+def log_retention(spark, path):
+    log, now = job_log(spark, path), F.to_timestamp_ntz(F.lit("1994-02-10 14:00:00"))
+    log.compact()
+    gone = log.expired(now).select("video_id", "status", F.lit(True).alias("expired"))
+    gone = cut_lineage(gone)
+    log.forget(now)
+    return gone.unionByName(log.current().select("video_id", "status", F.lit(False).alias("expired")))
+
+
 @query("job_2_stale_sweep", with_sql(JOBS, select="""
 SELECT event_no, CASE WHEN stale THEN 'failed' ELSE status END AS status,
   CASE WHEN stale THEN '서버가 다시 시작되어 분석이 중단됐어요. 다시 분석해 주세요.' END AS error,

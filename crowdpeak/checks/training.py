@@ -9,7 +9,7 @@ from crowdpeak.checks.registry import query
 from crowdpeak.checks.texts import strip_sql
 from crowdpeak.checks.views import CLEAN, LABELLED, with_sql
 from crowdpeak.functions.numbers import rounded
-from crowdpeak.operators import dataset
+from crowdpeak.operators import bayes, dataset
 from crowdpeak.settings import Settings
 from crowdpeak.sources import ingest
 
@@ -139,6 +139,53 @@ def classifier(spark, path):
         "doc_id", (F.abs(total - 1) < 1e-6).alias("sums_to_one"), F.coalesce("known_label", F.lit(False)).alias("known_label"))
 
 
+BAYES = """chars AS (SELECT doc_id, string_split(lower(coalesce(text, '')), '') AS c, length(lower(coalesce(text, ''))) AS n FROM documents),
+grams AS (
+  SELECT doc_id, gram, count(*) AS times FROM (
+    SELECT doc_id, unnest(list_concat(list_transform(range(1, n), lambda i: c[i] || c[i + 1]),
+      list_transform(range(1, n - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS gram FROM chars) GROUP BY ALL),
+learned AS (SELECT label, gram, sum(times) AS n FROM grams JOIN clean USING (doc_id) WHERE doc_id % 5 <> 0 GROUP BY ALL),
+classes AS (
+  SELECT label, ln(rows / (SELECT count(*) FROM clean WHERE doc_id % 5 <> 0)) AS prior,
+    ln(total + (SELECT count(DISTINCT gram) FROM learned)) AS spread
+  FROM (SELECT label, count(*)::DOUBLE AS rows FROM clean WHERE doc_id % 5 <> 0 GROUP BY label)
+  JOIN (SELECT label, sum(n) AS total FROM learned GROUP BY label) USING (label)),
+hits AS (
+  SELECT doc_id, label, sum(times * ln(n + 1.0::DOUBLE)) AS hit FROM grams JOIN learned USING (gram) GROUP BY ALL),
+scores AS (
+  SELECT c.doc_id, k.label, prior + coalesce(hit, 0) - (greatest(c.n - 1, 0) + greatest(c.n - 2, 0)) * spread AS score
+  FROM chars c CROSS JOIN classes k LEFT JOIN hits h ON h.doc_id = c.doc_id AND h.label = k.label),
+judged AS (SELECT *, first_value(label) OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS prediction FROM scores)"""
+
+
+def _bayes(spark, path):
+    """Trained on four fifths of the labelled documents, applied to all documents."""
+    clean = _clean(spark, path)
+    model = bayes.train_bayes(clean.filter("doc_id % 5 <> 0"))
+    return clean, bayes.bayes_scores(model, v.table(spark, path, "documents"), "doc_id", "text")
+
+
+@query("emo_1_bayes", with_sql(LABELLED, CLEAN, BAYES, select="""
+SELECT doc_id, label, round(score + 1e-9, 4) AS score, prediction FROM judged"""))
+def bayes_classifier(spark, path):
+    return _bayes(spark, path)[1].withColumn("score", rounded(F.col("score"), 4))
+
+
+@query("ds_8_bayes_macro_f1", with_sql(LABELLED, CLEAN, BAYES, """said AS (
+  SELECT DISTINCT c.doc_id, c.label, prediction FROM clean c JOIN judged j ON j.doc_id = c.doc_id WHERE c.doc_id % 5 = 0),
+tallies AS (
+  SELECT label, CAST(sum(hit) AS BIGINT) AS true_positives, CAST(sum(actual) AS BIGINT) AS actual, CAST(sum(predicted) AS BIGINT) AS predicted FROM (
+    SELECT label, CASE WHEN label = prediction THEN 1 ELSE 0 END AS hit, 1 AS actual, 0 AS predicted FROM said
+    UNION ALL SELECT prediction, 0, 0, 1 FROM said) GROUP BY label)""", select="""
+SELECT label, true_positives, actual, predicted, round(2 * true_positives / (actual + predicted) + 1e-9, 6) AS f1,
+  round(avg(2 * true_positives / (actual + predicted)) OVER () + 1e-9, 6) AS macro_f1 FROM tallies"""))
+def bayes_macro_f1(spark, path):
+    clean, scores = _bayes(spark, path)
+    said = clean.filter("doc_id % 5 = 0").select("doc_id", "label").join(scores.select("doc_id", "prediction").distinct(), "doc_id")
+    out = dataset.macro_f1(said)
+    return out.withColumn("f1", rounded(F.col("f1"), 6)).withColumn("macro_f1", rounded(F.col("macro_f1"), 6))
+
+
 @query("emo_1_external_model", """
 SELECT doc_id, round(1 / (1 + length(CASE WHEN t = '' THEN '...' ELSE t END)::DOUBLE) + 1e-9, 6) AS p0
 FROM (SELECT doc_id, """ + strip_sql("text") + """ AS t FROM documents)""")

@@ -122,18 +122,17 @@ def left_groups(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Add `group_left`, the left edge of the first box of the group: a box joins a group while its left edge is within
     the gap of the group's *first* box, so a group cannot grow without end."""
     gap = s.region_left_gap
-    start = F.struct(F.lit(None).cast("double").alias("left"),
-                     F.array().cast("array<struct<x:double,left:double>>").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("left"), F.array().cast("array<double>").alias("lefts"))
 
     def step(acc: Column, x: Column) -> Column:
-        left = F.when(acc["left"].isNull() | (x - acc["left"] > gap), x).otherwise(acc["left"])
-        return F.struct(left.alias("left"),
-                        F.concat(acc["out"], F.array(F.struct(x.alias("x"), left.alias("left")))).alias("out"))
-
-    edges = boxes.groupBy("video_id").agg(F.array_sort(F.collect_set("xmin")).alias("_xs")).select(
-        "video_id", F.explode(F.aggregate("_xs", start, step)["out"]).alias("_e")).select(
-        "video_id", F.col("_e.x").alias("xmin"), F.col("_e.left").alias("group_left"))
-    return boxes.join(edges, ["video_id", "xmin"])
+        opens = acc["left"].isNull() | (x - acc["left"] > gap)
+        return F.when(opens, F.struct(x.alias("left"), F.concat(acc["lefts"], F.array(x)).alias("lefts"))).otherwise(acc)
+
+    # The fold keeps only first edges, at most one per gap of the screen's width, so its cost grows with the distinct edges.
+    lefts = boxes.groupBy("video_id").agg(F.array_sort(F.collect_set("xmin")).alias("_xs")).select(
+        "video_id", F.aggregate("_xs", start, step)["lefts"].alias("_lefts"))
+    return boxes.join(lefts, "video_id").withColumn(
+        "group_left", F.array_max(F.filter("_lefts", lambda left: left <= F.col("xmin")))).drop("_lefts").filter("group_left IS NOT NULL")
 
 
 def _rows_of(centres: Column, height: Column, s: Settings) -> Column:

@@ -41,46 +41,39 @@ def read_chat_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         cell_or("chat_text", F.size("header") - 1).alias("chat_text"))
 
 
-POINT = T.StructType([
-    T.StructField("timestamp", T.DoubleType()), T.StructField("chat_text", T.StringType()),
-    T.StructField("top_emotion", T.StringType()),
-    *[T.StructField(f, T.DoubleType()) for f in fv.EMOTION_FIELDS],
-])
-SERIES = T.StructType([
-    T.StructField("total_chats_analyzed", T.LongType()), T.StructField("recommended_joy_threshold", T.DoubleType()),
-    T.StructField("video_metadata", T.StructType([T.StructField("duration_sec", T.DoubleType())])),
-    T.StructField("adaptive_threshold_stats", T.StructType([
-        T.StructField(f, T.DoubleType()) for f in ("calculated_threshold", "mean_joy", "std_joy")])),
-    T.StructField("time_series_data", T.ArrayType(POINT)),
-])
-
-
 def series_tables(raw: DataFrame, s: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Stats and points of series documents `(video_id, <fields of SERIES>)`.
+    """Stats and points of series documents `(video_id, doc)`, each document a variant.
 
-    Threshold and length fall back to older keys, then to the points, then to constants.
+    Threshold and length fall back to older keys, then to the points, then to constants. Points are taken out of the
+    variant one by one, so that a day-long series is never a row of structs; `point` keeps each one with the keys that have
+    no column of their own.
     """
-    last = F.array_max(F.transform("time_series_data", lambda p: p["timestamp"]))
-    media = F.col("video_metadata.duration_sec")
-    duration = F.coalesce(media, last + s.duration_margin_sec)
+    def field(path: str, kind: str = "double", of: str = "doc") -> Column:
+        return F.try_variant_get(F.col(of), path, kind)
+
+    last = F.array_max(F.transform(field("$.time_series_data", "array<variant>"), lambda p: F.try_variant_get(p, "$.timestamp", "double")))
+    duration = F.coalesce(field("$.video_metadata.duration_sec"), last + s.duration_margin_sec)
     stats = raw.select(
         "video_id",
-        F.coalesce(F.col("adaptive_threshold_stats.calculated_threshold"), "recommended_joy_threshold",
+        F.coalesce(field("$.adaptive_threshold_stats.calculated_threshold"), field("$.recommended_joy_threshold"),
                    F.lit(s.default_threshold)).alias("calculated_threshold"),
         F.when(duration != 0, duration).otherwise(F.lit(s.default_duration_sec)).alias("duration_sec"),
-        F.coalesce(F.size("time_series_data"), F.lit(0)).alias("total_chats"))
-    points = raw.select("video_id", F.explode("time_series_data").alias("p")).select(
-        "video_id", F.col("p.timestamp").alias("t"), "p.chat_text", "p.top_emotion",
-        *[F.col(f"p.{f}").alias(f) for f in fv.EMOTION_FIELDS])
+        F.coalesce(F.size(field("$.time_series_data", "array<variant>")), F.lit(0)).alias("total_chats"))
+    listed = raw.withColumn("_series", field("$.time_series_data", "variant"))
+    each = listed.lateralJoin(raw.sparkSession.tvf.variant_explode(F.col("_series").outer()))
+    points = each.select(
+        "video_id", field("$.timestamp", of="value").alias("t"), field("$.chat_text", "string", "value").alias("chat_text"),
+        field("$.top_emotion", "string", "value").alias("top_emotion"),
+        *[field(f"$.{f}", of="value").alias(f) for f in fv.EMOTION_FIELDS], F.col("value").alias("point"))
     return stats, current_emotions(points)
 
 
 def read_series_json(spark: SparkSession, paths: str | list[str], one_per_file: bool = True, s: Settings = DEFAULT):
     """Stats and points of series documents: one indented document per file, or one `video_id` document per line."""
+    read = spark.read.option("singleVariantColumn", "doc")
     if one_per_file:
-        return series_tables(with_video(spark.read.schema(SERIES).json(paths, multiLine=True)), s)
-    schema = T.StructType([T.StructField("video_id", T.StringType()), *SERIES.fields])
-    return series_tables(spark.read.schema(schema).json(paths), s)
+        return series_tables(with_video(read.json(paths, multiLine=True)).select("video_id", "doc"), s)
+    return series_tables(read.json(paths).select(F.try_variant_get("doc", "$.video_id", "string").alias("video_id"), "doc"), s)
 
 
 def current_emotions(points: DataFrame) -> DataFrame:

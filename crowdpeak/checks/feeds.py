@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from crowdpeak.checks import views as v
-from crowdpeak.checks.intervals import HIGHLIGHTS, highlights
+from crowdpeak.checks.intervals import HIGHLIGHTS, highlights, stage_1
 from crowdpeak.checks.registry import query
 from crowdpeak.checks.texts import strip_sql
 from crowdpeak.checks.views import CHATS, SCENES, SCREEN, with_sql
@@ -155,6 +155,25 @@ def payloads(spark, path):
         "highlights", lambda h: h["start_time"].cast("int").cast("string")), ",").alias("starts"))
 
 
+@query("src_6_candidate_payload", with_sql(*HIGHLIGHTS[:7], select="""
+SELECT s.video_id, s.duration_sec AS source_video_duration, s.calculated_threshold AS applied_threshold, count(c.start_time) AS total_candidates,
+  coalesce(string_agg(CAST(CAST(c.start_time AS INTEGER) AS VARCHAR) || '-' || CAST(CAST(c.end_time AS INTEGER) AS VARCHAR) || ':'
+    || c.chat_count || ':' || CAST(CAST(round(c.window_score * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY c.start_time), '') AS clips
+FROM stats s LEFT JOIN stage_1 c ON c.video_id = s.video_id GROUP BY ALL"""))
+def candidate_payload(spark, path):
+    found, stats = stage_1(spark, path), v.stats(spark, path)
+    meta = stats.select("video_id", F.col("duration_sec").alias("source_video_duration"), F.col("calculated_threshold").alias("applied_threshold")).join(
+        found.groupBy("video_id").agg(F.count("*").alias("total_candidates")), "video_id", "left").fillna(0, ["total_candidates"])
+    folder = fresh(spark, "candidate_payload")
+    tables.write_table(tables.payloads(found, meta, "candidate_clips"), folder, "json")
+    back = spark.read.json(folder, schema="video_id string, metadata struct<source_video_duration double, applied_threshold double, total_candidates long>, "
+                           "candidate_clips array<struct<start_time double, end_time double, chat_count long, window_score double>>")
+    whole = lambda c: c.cast("int").cast("string")
+    return back.select("video_id", "metadata.*", F.array_join(F.transform("candidate_clips", lambda c: F.concat(
+        whole(c["start_time"]), F.lit("-"), whole(c["end_time"]), F.lit(":"), c["chat_count"].cast("string"), F.lit(":"),
+        F.round(c["window_score"] * 100).cast("long").cast("string"))), ",").alias("clips"))
+
+
 @query("src_7_label_files", """
 SELECT chat_message, label FROM (SELECT text AS chat_message, CAST(quality AS VARCHAR) AS label FROM documents
   JOIN labels USING (doc_id) UNION ALL SELECT text, role FROM conversations)""")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from crowdpeak.checks import views as v
 from crowdpeak.checks.registry import query
 from crowdpeak.checks.views import CHATS, GRID, SPEECH, STATS, WINDOWS, with_sql
-from crowdpeak.checks.windows import FUSION_PARTS, fused
+from crowdpeak.checks.windows import FUSION_PARTS, LINE_WINDOWS, fused, rank_sql
+from crowdpeak.functions.emotion import speech_emotion
 from crowdpeak.functions.numbers import rounded
 from crowdpeak.operators import candidates as cand
 from crowdpeak.operators import buckets, grid, selection
@@ -201,23 +202,51 @@ def length_budget(spark, path):
 
 
 @query("top_6_empty_reason", with_sql(*HIGHLIGHTS, """all_videos AS (
-  SELECT video_id FROM stats UNION ALL
-  SELECT DISTINCT 'order-' || o_orderpriority FROM orders),
-high_bar AS (SELECT * FROM stage_1 WHERE window_score >= 120)""", recursive=True, select="""
+  SELECT video_id, total_chats FROM stats UNION ALL SELECT 'conv-' || conv_id, count(*) FROM conversations GROUP BY conv_id
+  UNION ALL SELECT DISTINCT 'order-' || o_orderpriority, 0 FROM orders)""", recursive=True, select="""
 SELECT a.video_id, coalesce(n, 0) AS total_candidates, coalesce(c, 0) AS total_highlights_count,
   round(coalesce(sec, 0) + 1e-9, 2) AS total_highlight_duration_sec, CASE WHEN n IS NOT NULL THEN 10 END AS top_k_limit,
   CASE WHEN n IS NOT NULL THEN 900.0::DOUBLE END AS max_duration_cap_sec,
-  CASE WHEN n IS NULL THEN CASE WHEN coalesce(s.total_chats, 0) = 0 THEN 'no_chats' ELSE 'no_candidates' END END
+  CASE WHEN n IS NULL THEN CASE WHEN a.total_chats = 0 THEN 'no_chats' ELSE 'no_candidates' END END
     AS empty_reason
-FROM all_videos a LEFT JOIN stats s USING (video_id)
-  LEFT JOIN (SELECT video_id, count(*) AS n FROM high_bar GROUP BY ALL) USING (video_id)
-  LEFT JOIN (SELECT video_id, count(*) AS c, sum(duration) AS sec FROM high_bar GROUP BY ALL) USING (video_id)"""))
+FROM all_videos a
+  LEFT JOIN (SELECT video_id, count(*) AS n FROM stage_1 GROUP BY ALL) USING (video_id)
+  LEFT JOIN (SELECT video_id, count(*) AS c, sum(duration) AS sec FROM highlights GROUP BY ALL) USING (video_id)"""))
 def empty_reason(spark, path):
-    stats = v.stats(spark, path)
+    # Order priorities are recordings without chat; conversations have chat and no candidate.
+    stats = v.stats(spark, path).select("video_id", "total_chats").unionByName(v.table(spark, path, "conversations").groupBy(
+        F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("video_id")).agg(F.count("*").alias("total_chats")))
     silent = v.table(spark, path, "orders").select(
         F.concat(F.lit("order-"), "o_orderpriority").alias("video_id")).distinct()
-    found = stage_1(spark, path).filter("window_score >= 120")
-    return selection.result_metadata(stats.select("video_id").union(silent), stats, found, found)
+    return selection.result_metadata(stats.select("video_id").union(silent), stats, stage_1(spark, path), highlights(spark, path))
+
+
+def _with_lines(sql: str) -> str:
+    """The fusion of FUSION with chat lines: their ranks join those of joy."""
+    for old, new in (
+            ("SELECT w.*, audio_level", "SELECT w.*, chat_freq, chat_conc, audio_level"),
+            ("JOIN screened s ON", "JOIN line_w l ON l.video_id = w.video_id AND l.k = w.k\n    JOIN screened s ON"),
+            ("AS tempo_rank\n", f"AS tempo_rank,\n    coalesce({rank_sql('chat_conc', True)}, 0.5::DOUBLE) AS conc_rank, {rank_sql('chat_freq')} AS freq_rank\n"),
+            ("AS voice_mix FROM", "AS voice_mix, 0.9::DOUBLE * joy_rank + 0.05::DOUBLE * conc_rank + 0.05::DOUBLE * freq_rank AS chat_mix FROM"),
+            ("AS audio_rank FROM", f"AS audio_rank, {rank_sql('chat_mix')} AS chat_rank FROM"),
+            ("0.05::DOUBLE) * joy_rank + 0.3", "0.05::DOUBLE) * chat_rank + 0.3"), ("0.05::DOUBLE) * joy_rank + 0.15", "0.05::DOUBLE) * chat_rank + 0.15")):
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+FULL_ANALYSIS = (*FUSION_PARTS[:-1], v.CHAT_SCENES, "scene_grid AS (SELECT * FROM grid)", v.NEW_LINES, LINE_WINDOWS, _with_lines(FUSION_PARTS[-1]),
+                 FUSED_CANDIDATES, ISLANDS, SPANS, v.RAW_SPEECH, SCORED, BUDGET)
+
+
+@query("plan_full_analysis", with_sql(*FULL_ANALYSIS, recursive=True, select="SELECT * FROM highlights"))
+def full_analysis(spark, path):
+    """All signals and the speech of the best candidates, to ranked highlights."""
+    chats, stats = v.chats(spark, path), v.stats(spark, path)
+    signals = analysis.Signals(voice=v.voice(spark, path), screen=v.screen(spark, path), scenes=v.chat_scenes(spark, path))
+    found = analysis.first_stage(chats, stats, signals)
+    speech = speech_emotion(v.raw_speech(spark, path)).drop("text", "probs")
+    return analysis.highlights(found, speech, stats)
 
 
 @query("join_4_windows_inside", with_sql(*STAGE_1, select="""

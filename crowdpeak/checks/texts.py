@@ -55,16 +55,15 @@ def _doc_lines(spark, path):
 
 
 @query("flt_1_legible_text", f"""
-SELECT doc_id, count(*) AS kept, CAST(sum(length(line)) AS BIGINT) AS chars FROM (
-  SELECT doc_id, line, (doc_id * 7 + line_no * 13) % 100 / 100.0::DOUBLE AS confidence FROM (
+SELECT doc_id, line_no, {strip_sql('line')} AS line FROM (
+  SELECT doc_id, line_no, line, (doc_id * 7 + line_no * 13) % 100 / 100.0::DOUBLE AS confidence FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
       generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents))
-WHERE confidence >= 0.5 AND length({strip_sql('line')}) > 0 AND length(translate({strip_sql('line')}, '+-=;_~`|', '')) > 0
-GROUP BY doc_id""")
+WHERE confidence >= 0.5 AND length({strip_sql('line')}) > 0 AND length(translate({strip_sql('line')}, '+-=;_~`|', '')) > 0""")
 def legible_text(spark, path):
     confidence = (F.col("doc_id") * 7 + F.col("line_no") * 13) % 100 / 100.0
-    kept = _doc_lines(spark, path).filter(text.is_legible(F.col("line"), confidence))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("line")).alias("chars"))
+    kept = _doc_lines(spark, path).withColumn("line", text.legible_text(F.col("line"), confidence))
+    return kept.filter("line IS NOT NULL").select("doc_id", "line_no", "line")
 
 
 @query("flt_2_token_validity", with_sql(TOKENS, select=f"""
@@ -211,15 +210,12 @@ def top_emotion(spark, path):
 
 
 @query("emo_5_softmax", """
-SELECT vec_id, round(list_max(s) + 1e-9, 6) AS largest, round(list_min(s) + 1e-9, 6) AS smallest,
-  round(list_sum(s) + 1e-9, 6) AS total
+SELECT vec_id, generate_subscripts(s, 1) - 1 AS i, round(unnest(s) + 1e-9, 6) AS p
 FROM (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS s FROM (
   SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings))""")
 def softmaxed(spark, path):
-    s = v.table(spark, path, "embeddings").select("vec_id", softmax(F.col("embedding")).alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
-    return s.select("vec_id", rounded(F.array_max("s"), 6).alias("largest"),
-                    rounded(F.array_min("s"), 6).alias("smallest"), rounded(total, 6).alias("total"))
+    s = v.table(spark, path, "embeddings").select("vec_id", F.posexplode(softmax(F.col("embedding"))).alias("i", "p"))
+    return s.withColumn("p", rounded(F.col("p"), 6))
 
 
 REPEAT_WORDS = f"""repeated AS (
@@ -244,18 +240,31 @@ def collapsed_repeats(spark, path):
         "conv_id", "turn", text.collapse_repeats(said).alias("collapsed"))
 
 
-@query("emo_7_speech_emotion", with_sql(VECTORS, select=f"""
+SAID = f"""lines AS (
+  SELECT doc_id, probs, unnest(string_split(chat_text || chr(10), chr(10))) AS body,
+    generate_subscripts(string_split(chat_text || chr(10), chr(10)), 1) - 1 AS line_no FROM vectors),
+said AS (
+  SELECT doc_id, line_no, flatten(list_transform({words_sql('body')}, lambda w: [w FOR i IN range(0, 1 + length(w) % 6)])) AS ws FROM lines),
+spoken AS (SELECT doc_id, line_no, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM said),
+bare AS (SELECT *, CASE WHEN trim(w, '.,!?~…·''"()[]{{}}<>-:;') = '' THEN w ELSE trim(w, '.,!?~…·''"()[]{{}}<>-:;') END AS key FROM spoken),
+word_runs AS (
+  SELECT doc_id, line_no, i, w, row_number() OVER (PARTITION BY doc_id, line_no, key, i - r ORDER BY i) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, key ORDER BY i) AS r FROM bare)),
+shown AS (SELECT doc_id, line_no, string_agg(w, ' ' ORDER BY i) AS body FROM word_runs WHERE n <= 3 GROUP BY ALL)"""
+
+
+@query("emo_7_speech_emotion", with_sql(VECTORS, SAID, select=f"""
 SELECT doc_id, line_no, CASE WHEN silent THEN '평상' ELSE {fv.EMOTIONS}[list_position(probs, list_max(probs))] END
     AS streamer_speech_emotion,
   CASE WHEN silent THEN 0.0::DOUBLE ELSE round(probs[1] * 100 + 1e-9, 2) END AS streamer_joy_score,
   CASE WHEN silent THEN '(음성 발화 없음)' ELSE body END AS streamer_speech_text
-FROM (SELECT doc_id, line_no, probs, body, length({strip_sql('body')}) = 0 AS silent FROM (
-  SELECT doc_id, probs, unnest(string_split(chat_text || chr(10), chr(10))) AS body,
-    generate_subscripts(string_split(chat_text || chr(10), chr(10)), 1) - 1 AS line_no FROM vectors))"""))
+FROM (SELECT l.doc_id, l.line_no, probs, s.body, s.body IS NULL AS silent FROM lines l LEFT JOIN shown s ON s.doc_id = l.doc_id AND s.line_no = l.line_no)"""))
 def speech_emotion(spark, path):
-    # A final empty line makes sure that silence occurs.
+    # A final empty line makes sure that silence occurs. Each word is said up to six times, with white space around the line.
     said = F.split(F.concat("chat_text", F.lit("\n")), "\n")
     rows = v.vectors(spark, path).select("doc_id", "probs", F.posexplode(said).alias("line_no", "text"))
+    again = F.flatten(F.transform(text.words(F.col("text")), lambda w: F.array_repeat(w, (F.length(w) % 6 + 1).cast("int"))))
+    rows = rows.withColumn("text", F.concat(F.lit(" \t"), F.array_join(again, "  "), F.lit(" ")))
     return emotion.speech_emotion(rows).drop("text", "probs")
 
 
@@ -296,6 +305,12 @@ def text_and_time(spark, path):
         text.age_text(F.col("ts").cast("timestamp"), now).alias("age"))
 
 
+@query("fn_job_id", """
+SELECT event_id, 'wbb' || strftime(ts, '_%Y%m%d_%H%M%S') AS job_id, 'job' || strftime(ts, '_%Y%m%d_%H%M%S') AS other FROM events""")
+def job_ids(spark, path):
+    return v.table(spark, path, "events").select("event_id", text.job_id(F.col("ts")).alias("job_id"), text.job_id(F.col("ts"), "job").alias("other"))
+
+
 @query("fn_shortened_text", """
 SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '…' ELSE text END AS shown FROM documents""")
 def shortened_text(spark, path):

@@ -97,10 +97,9 @@ def corpus(spark, path):
 SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS video_id, (CAST(epoch_us(ts) AS BIGINT) % 86400000000) // 600000000 AS time_ms,
   event_type AS chat_message FROM events""")
 def ingest_dedup(spark, path):
-    return v.table(spark, path, "events").select(
+    return ingest.unique_messages(v.table(spark, path, "events").select(
         F.date_format("ts", "yyyy-MM-dd").alias("video_id"),
-        F.floor(v.micros_of_day() / 600_000_000).alias("time_ms"), F.col("event_type").alias("chat_message")
-    ).dropDuplicates(["video_id", "time_ms", "chat_message"])
+        F.floor(v.micros_of_day() / 600_000_000).alias("time_ms"), F.col("event_type").alias("chat_message")))
 
 
 @query("ds_8_macro_f1", with_sql(LABELLED, CLEAN, """said AS (

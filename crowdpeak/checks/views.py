@@ -121,6 +121,49 @@ SCENES = """scenes AS (
   FROM conversations)"""
 
 
+def chat_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """Scenes of the recordings of `chats`: the events of each 5 seconds as lines, a few distinct ones repeated often."""
+    e = table(spark, path, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("video_id"), F.floor(micros_of_day() / 120e6).alias("i"), "event_id",
+        F.concat_ws(" ", "event_type", (F.col("user_id") % 7).cast("string")).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"])
+    return e.groupBy("video_id", (F.col("i") * 5.0).alias("t")).agg(lines.alias("lines"))
+
+
+CHAT_SCENES = """scenes AS (
+  SELECT video_id, i * 5.0::DOUBLE AS t, list(line ORDER BY event_id) AS lines FROM (
+    SELECT strftime(ts, '%Y-%m-%d') AS video_id, floor((CAST(epoch_us(ts) AS BIGINT) % 86400000000) / 120e6) AS i, event_id,
+      event_type || ' ' || user_id % 7 AS line FROM events) GROUP BY ALL)"""
+
+
+def raw_speech(spark: SparkSession, path: str) -> DataFrame:
+    """What `speech` holds before it is judged: the words of the events of 5 seconds, and probabilities from the number in their properties."""
+    e = table(spark, path, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("video_id"), F.floor(micros_of_day() / 120e6).alias("i"), "event_id",
+        F.get_json_object("props", "$.k").cast("double").alias("k"), "event_type")
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), " ")
+    rows = e.groupBy("video_id", (F.col("i") * 5.0).alias("start_time")).agg(words.alias("said"), F.max("k").alias("k"))
+    joy = F.col("k") / 100.0
+    return rows.select("video_id", "start_time", F.concat(F.lit("  "), F.when(F.col("k") % 9 != 0, F.col("said")).otherwise("")).alias("text"),
+                       F.array(joy, *[(1 - joy) * share / 21.0 for share in (1, 2, 3, 4, 5, 6)]).alias("probs"))
+
+
+RAW_SPEECH = """uttered AS (
+  SELECT video_id, start_time, string_agg(event_type, ' ' ORDER BY event_id) AS said, max(k) AS k FROM (
+    SELECT strftime(ts, '%Y-%m-%d') AS video_id, floor((CAST(epoch_us(ts) AS BIGINT) % 86400000000) / 120e6) * 5.0::DOUBLE AS start_time,
+      CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_type, event_id FROM events) GROUP BY ALL),
+uttered_words AS (SELECT video_id, start_time, unnest(string_split(said, ' ')) AS w, generate_subscripts(string_split(said, ' '), 1) AS i FROM uttered WHERE k % 9 <> 0),
+uttered_runs AS (
+  SELECT *, row_number() OVER (PARTITION BY video_id, start_time, w, i - r ORDER BY i) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY video_id, start_time, w ORDER BY i) AS r FROM uttered_words)),
+speech AS (
+  SELECT u.video_id, u.start_time, coalesce(body, '(음성 발화 없음)') AS streamer_speech_text,
+    CASE WHEN body IS NULL OR k / 100.0::DOUBLE < (1 - k / 100.0::DOUBLE) * 6 / 21.0::DOUBLE THEN '평상' ELSE '기쁨' END AS streamer_speech_emotion,
+    CASE WHEN body IS NULL THEN 0.0::DOUBLE ELSE round(k / 100.0::DOUBLE * 100 + 1e-9, 2) END AS streamer_joy_score
+  FROM uttered u LEFT JOIN (SELECT video_id, start_time, string_agg(w, ' ' ORDER BY i) AS body FROM uttered_runs WHERE n <= 3 GROUP BY ALL) s
+    ON s.video_id = u.video_id AND s.start_time = u.start_time)"""
+
+
 def scene_stats(spark: SparkSession, path: str) -> DataFrame:
     return scenes(spark, path).groupBy("video_id").agg((F.max("t") + 30.0).alias("duration_sec"))
 

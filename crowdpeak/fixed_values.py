@@ -98,4 +98,7 @@ QUIET_BELOW, INTENSE_ABOVE, FULL_CHAT = 0.3, 0.5, 20.0
 # Chat region used when too few boxes are seen: (ymin, xmin, ymax, xmax).
 DEFAULT_REGION = (0.15, 0.65, 0.95, 0.98)
 
+# First part of a job id, before the time it was handed in.
+JOB_PREFIX = "wbb"
+
 # --- End of fixed values --------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crowdpeak import fixed_values as fv
 from crowdpeak.functions.numbers import first_argmax, rounded
-from crowdpeak.functions.text import contains_any, strip
+from crowdpeak.functions.text import collapse_repeats, contains_any, strip
 
 JOY, EMBARRASSED, ANGER, SAD, DISGUST, FEAR, NEUTRAL = range(7)
 
@@ -142,14 +142,17 @@ def with_emotion_columns(df: DataFrame, probs: str = "probs") -> DataFrame:
 
 
 def speech_emotion(df: DataFrame, text: str = "text", probs: str = "probs") -> DataFrame:
-    """Emotion of what the streamer says; silence is neutral and without joy."""
-    silent = F.coalesce(F.length(strip(F.col(text))), F.lit(0)) == 0
+    """Emotion of what the streamer says; silence is neutral and without joy.
+
+    The text is shown without white space around it and with words said over and over cut to three."""
+    shown = collapse_repeats(strip(F.col(text)))
+    silent = F.coalesce(F.length("_shown"), F.lit(0)) == 0
     return (
-        df.withColumn("streamer_speech_emotion",
+        df.withColumn("_shown", shown).withColumn("streamer_speech_emotion",
                       F.when(silent, F.lit(fv.NEUTRAL)).otherwise(top_emotion(F.col(probs))))
         .withColumn("streamer_joy_score",
                     F.when(silent, F.lit(0.0)).otherwise(rounded(F.col(probs)[JOY] * 100)))
-        .withColumn("streamer_speech_text", F.when(silent, F.lit(fv.NO_SPEECH_TEXT)).otherwise(F.col(text)))
+        .withColumn("streamer_speech_text", F.when(silent, F.lit(fv.NO_SPEECH_TEXT)).otherwise(F.col("_shown"))).drop("_shown")
     )
 
 

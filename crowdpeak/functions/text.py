@@ -80,6 +80,11 @@ def is_legible(text: Column, confidence: Column, min_confidence: float = 0.5) ->
     )
 
 
+def legible_text(text: Column, confidence: Column, min_confidence: float = 0.5) -> Column:
+    """The recognised text without white space around it; null where it is not to be kept."""
+    return F.when(is_legible(text, confidence, min_confidence), strip(text))
+
+
 def collapse_repeats(text: Column, max_repeat: int = 3) -> Column:
     """Keep at most `max_repeat` equal words in a row; punctuation around a word is ignored.
 
@@ -138,6 +143,11 @@ def age_text(created: Column, now: Column) -> Column:
     )
 
 
+def job_id(time: Column, prefix: str = fv.JOB_PREFIX) -> Column:
+    """Id of a job from the time it was handed in, to the second."""
+    return F.concat(F.lit(prefix), F.date_format(time, "_yyyyMMdd_HHmmss"))
+
+
 def shortened(text: Column, limit: int = 100) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("…"))).otherwise(text)
 

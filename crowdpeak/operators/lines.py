@@ -43,11 +43,12 @@ def _block_match_flags(threshold: float):
     return known
 
 
-def new_lines(scenes: DataFrame, s: Settings = DEFAULT, exact: bool = True) -> DataFrame:
+def new_lines(scenes: DataFrame, s: Settings = DEFAULT, exact: bool = False) -> DataFrame:
     """`(video_id, t, line_no, line)` for every line that is not similar to any line of the scene before.
 
-    A line that is equal to an earlier one is dropped, and a scene without a predecessor is passed, on the engine
-    side; only the rest reaches Python, in Arrow batches. `exact=False` uses the edit distance and no Python at all.
+    Similarity is by edit distance, on the engine side. With `exact` it is the ratio of matching blocks: a line that is
+    equal to an earlier one is dropped, and a scene without a predecessor is passed, on the engine side, and only the rest
+    reaches Python, in Arrow batches.
     """
     rows = previous_scene(scenes, s).select(
         "video_id", "t", "prev_lines", F.posexplode("lines").alias("line_no", "line"))

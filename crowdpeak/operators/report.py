@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crowdpeak import fixed_values as fv
 from crowdpeak.functions.numbers import first_argmax, normal_cdf
-from crowdpeak.operators.buckets import points_in_any
+from crowdpeak.operators.buckets import points_in_any, windows_inside
 from crowdpeak.operators.grid import closed_window_sums, window_grid
 from crowdpeak.settings import Settings
 
@@ -32,10 +32,10 @@ def _highlight_moments(chats: DataFrame, highlights: DataFrame, joy: str, s: Set
     windows = grid.join(sums, ["video_id", "k"]).select(
         "video_id", "start_sec", "end_sec", value.alias("joy"), F.avg(value).over(whole).alias("mu"),
         F.stddev_pop(value).over(whole).alias("sd"))
-    inside = (F.col("start_sec") >= F.col("start_time")) & (F.col("end_sec") <= F.col("end_time"))
-    per = windows.join(highlights.select("video_id", "start_time", "end_time"), "video_id").groupBy(
-        "video_id", "start_time", "end_time").agg(
-        F.avg(F.when(inside, F.col("joy"))).alias("mean_joy"), F.first("mu").alias("mu"), F.first("sd").alias("sd"))
+    spans = highlights.select("video_id", "start_time", "end_time").distinct()
+    inside = windows_inside(windows, spans).groupBy("video_id", "start_time", "end_time").agg(F.avg("joy").alias("mean_joy"))
+    moments = windows.groupBy("video_id").agg(F.first("mu").alias("mu"), F.first("sd").alias("sd"))
+    per = spans.join(moments, "video_id").join(inside, ["video_id", "start_time", "end_time"], "left")
     return per.withColumn("z", F.when(F.col("sd") >= 1e-9, (F.col("mean_joy") - F.col("mu")) / F.col("sd")))
 
 
@@ -64,11 +64,10 @@ def reaction_score(chats: DataFrame, highlights: DataFrame, videos: DataFrame, j
     )
 
 
-def peak_points(chats: DataFrame, joy: str = "joy_pct", tie: str | None = None) -> DataFrame:
-    """Earliest chat with the highest joy of each recording."""
-    tie_key = [(-F.col(tie)).alias("c")] if tie else []
-    order = F.struct(F.col(joy).alias("a"), (-F.col("t")).alias("b"), *tie_key)
-    found = chats.groupBy("video_id").agg(F.max_by(F.struct("t", joy, "chat_text"), order).alias("_p"))
+def peak_points(chats: DataFrame, joy: str = "joy_pct", tie: str = "chat_text") -> DataFrame:
+    """Earliest chat with the highest joy of each recording; of several at that time the one with the smallest `tie`."""
+    order = F.struct(F.col(joy).isNull().alias("a"), (-F.col(joy)).alias("b"), F.col("t").alias("c"), F.col(tie).alias("d"))
+    found = chats.groupBy("video_id").agg(F.min_by(F.struct("t", joy, "chat_text"), order).alias("_p"))
     return found.select("video_id", F.col("_p.t").alias("peak_t"), F.col(f"_p.{joy}").alias("peak_joy"),
                         F.col("_p.chat_text").alias("peak_text"))
 

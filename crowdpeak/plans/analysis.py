@@ -30,7 +30,7 @@ def emotion_series(scored_chats: DataFrame, rules: ContextRules = ContextRules()
 
 
 def fused_windows(chats: DataFrame, videos: DataFrame, signals: Signals,
-                  exact_lines: bool = True, s: Settings = DEFAULT) -> DataFrame:
+                  exact_lines: bool = False, s: Settings = DEFAULT) -> DataFrame:
     """All windows with their signals, ranks, fusion score and threshold."""
     windows = grid.chat_scores(chats, grid.window_grid(videos, s), videos, s=s)
     if signals.scenes is not None:
@@ -43,7 +43,7 @@ def fused_windows(chats: DataFrame, videos: DataFrame, signals: Signals,
 
 
 def candidate_windows(chats: DataFrame, stats: DataFrame, signals: Signals = Signals(),
-                      exact_lines: bool = True, s: Settings = DEFAULT) -> DataFrame:
+                      exact_lines: bool = False, s: Settings = DEFAULT) -> DataFrame:
     """Windows above the threshold. Recordings with a voice track are judged by fusion, the others by chat alone.
 
     `stats` is the output of `grid.video_stats`. Rows after the end of a recording are in no window.
@@ -54,7 +54,7 @@ def candidate_windows(chats: DataFrame, stats: DataFrame, signals: Signals = Sig
 
 
 def first_stage(chats: DataFrame, stats: DataFrame, signals: Signals = Signals(),
-                exact_lines: bool = True, s: Settings = DEFAULT) -> DataFrame:
+                exact_lines: bool = False, s: Settings = DEFAULT) -> DataFrame:
     """Candidate intervals of every recording."""
     return cand.first_stage(candidate_windows(chats, stats, signals, exact_lines, s), s)
 
@@ -65,13 +65,13 @@ def highlights(candidates: DataFrame, speech: DataFrame, stats: DataFrame, s: Se
     return selection.select_highlights(selection.final_scores(heard, speech, s), stats, s)
 
 
-def video_report(chats: DataFrame, found: DataFrame, stats: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """One row per recording for the result page."""
+def video_report(chats: DataFrame, found: DataFrame, stats: DataFrame, s: Settings = DEFAULT, tie: str = "chat_text") -> DataFrame:
+    """One row per recording for the result page. `tie` decides between chats of the same time and joy."""
     videos = stats.select("video_id")
     score = report.reaction_score(chats, found, videos, s=s).select("video_id", "score")
     return (
         videos.join(score, "video_id", "left")
-        .join(report.peak_points(chats), "video_id", "left")
+        .join(report.peak_points(chats, tie=tie), "video_id", "left")
         .join(report.highlight_totals(chats, found, videos), "video_id", "left")
         .join(report.dominant_emotion(chats, found, videos), "video_id", "left")
         .withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -62,6 +62,11 @@ def xml_messages(responses: DataFrame, body: str = "body", start_sec: str = "sta
     return first.select("video_id", "time_ms", "chat_message", "row_no")
 
 
+def unique_messages(chats: DataFrame) -> DataFrame:
+    """Each (recording, time, message) once; copies are dropped in each task before they meet."""
+    return chats.dropDuplicates(["video_id", "time_ms", "chat_message"])
+
+
 def first_messages(chats: DataFrame, limit: int, s: Settings = DEFAULT, tie: str = "chat_message") -> DataFrame:
     """The first messages of each source by time."""
     return first_rows(chats, "video_id", ["time_ms", tie], limit, F.floor(F.col("time_ms") / MINUTE_MS).cast("long"))

@@ -97,8 +97,7 @@ def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity_cnn")
 def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, limits = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select("doc_id", "lang", "text"), model)
+    _, limits, scored = toxicity.train_and_score(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"),
                          toxicity.rejected(F.col("score"), F.col("lang"), limits).alias("rejected"))

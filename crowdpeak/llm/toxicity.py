@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdpeak.llm.store import settle
 from crowdpeak.llm.text import Memo, slices, split_all, utf8
 
 #: Hash rows, their length, filters of each width, widths, and the leading bytes that are features of a word.
@@ -206,17 +207,27 @@ def fold(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict[str, float]]:
-    """The model and the thresholds, from labelled rows of `docs` outside fold 2.
+    """The model and the thresholds, from labelled rows of `docs` outside fold 2; see train_and_score."""
+    return train_and_score(docs, labels, sample)[:2]
 
-    At most about `sample` of them, chosen by a hash of doc_id, go to the one task that fits, less one in ten; the
-    thresholds come from all the others. The driver sees the model and one threshold a language. Labels other than 0 and
-    1 and null ids do not count; without labelled rows the model is the untrained one."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != 2).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+
+def train_and_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict[str, float], DataFrame]:
+    """The model, the thresholds, and (doc_id, lang, score) of every row of `docs`.
+
+    Labelled rows outside fold 2 are learned from. At most about `sample` of them, chosen by a hash of doc_id, go to the one
+    task that fits, less one in ten; the thresholds come from all the others. Texts are not shuffled: the ids that are
+    fitted on are a table of at most about `sample` rows, which is broadcast, and every row is scored in its own task before
+    its score, without the text, meets its label. The driver sees those ids, the model and one threshold a language. Labels
+    other than 0 and 1 and null ids do not count; of several labels of an id the highest does; without labelled rows the
+    model is the untrained one."""
+    spark = docs.sparkSession
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
     fits = ((F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
             & (F.pmod(F.xxhash64(F.lit("kept"), "doc_id"), F.lit(10)) != 0))
+    chosen = known.where(fits)
     texts = docs.select("doc_id", "text", "lang")
-    rows = texts.join(known.where(fits), "doc_id").select("doc_id", "text", "toxic")
+    rows = texts.join(F.broadcast(spark.createDataFrame(chosen.collect(), chosen.schema)), "doc_id").select("doc_id", "text", "toxic")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -225,7 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
 
     got = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(learn, "model binary").collect()
     model = pickle.loads(got[0]["model"]) if got else Model()
-    return model, thresholds(score(texts.join(known.where(~fits), "doc_id").select("text", "lang", "toxic"), model).select("lang", "toxic", "score"))
+    scores = settle(score(texts, model).select("doc_id", "lang", "score"))
+    return model, thresholds(scores.join(known.where(~fits), "doc_id").select("lang", "toxic", "score")), scores
 
 
 def _learned(rows: pa.Table) -> Model:

@@ -172,3 +172,13 @@ def test_main_text_of_odd_pages(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, html string").withColumn("text", F.lit(0)), chain).collect()}
     assert got[1] == "A&B title\nFirst part, which goes on.\nSecond <part>, which ends."
     assert got[2] == got[3] == "" and got[5].count("\n") == 19_999
+
+
+def test_conflicting_labels_and_scores_of_every_row(spark):
+    docs = spark.createDataFrame([(i, "bad words here" if i % 2 else "good words there", "en") for i in range(60)] + [(None, "bad", None), (3, None, "de")],
+                                 "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 1), (None, 1), (5, 7)], "doc_id long, toxic int")
+    model, limits, scores = toxicity.train_and_score(docs, labels)
+    key = lambda df: sorted((str(r.doc_id), str(r.lang), r.score) for r in df.collect())
+    assert set(limits) >= {""}
+    assert key(scores) == key(toxicity.score(docs, model)) and scores.count() == 62

@@ -68,6 +68,8 @@ def _responses(places: np.ndarray, starts: np.ndarray, per_word: np.ndarray, bia
         for j in range(1, w):
             col += FILTERS
             y[:-j] += per_word[places[j:], col : col + FILTERS]
+        for j in range(1, w):
+            y[starts[1:] - j] = 0  # places of a gap from which the filter would see the next text
         col += FILTERS
         yield k, y + bias[k]
 

@@ -178,7 +178,10 @@ def test_conflicting_labels_and_scores_of_every_row(spark):
     docs = spark.createDataFrame([(i, "bad words here" if i % 2 else "good words there", "en") for i in range(60)] + [(None, "bad", None), (3, None, "de")],
                                  "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 1), (None, 1), (5, 7)], "doc_id long, toxic int")
-    model, limits, scores = toxicity.train_and_score(docs, labels)
     key = lambda df: sorted((str(r.doc_id), str(r.lang), r.score) for r in df.collect())
+    model, limits, scores = toxicity.train_and_score(docs, labels)
+    again = toxicity.train_and_score(docs.repartition(7), labels.repartition(5))
+    for a, b in zip(key(scores), key(again[2])):  # no text's score depends on the texts beside it
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6
     assert set(limits) >= {""}
     assert key(scores) == key(toxicity.score(docs, model)) and scores.count() == 62

@@ -21,35 +21,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdpeak.llm.graph import connected_components
-from crowdpeak.llm.store import settle
-from crowdpeak.llm.text import shingle_sets, slices, utf8, word_hashes
+from crowdpeak.llm.store import free_name, settle
+from crowdpeak.llm.text import WORD, shingle_sets, slices, utf8, word_hashes
 
 #: Lists are ordered by the summed length of all lists in their bucket; so many buckets there are, whatever the input.
 BUCKET_BITS = 16
-#: Shingles that one search block holds in the mean, and bits of the id filter at most.
+#: Shingles that one search block holds in the mean, and bits of the filter over rows at most.
 BLOCK_SHINGLES, FILTER_BITS = 400_000, 27
 #: Members that stand for a list, and candidates that each class is compared with, in each round before what is left is
 #: searched among whole components.
 STARS = (1, 3)
 
 
+def row_key(docs: DataFrame):
+    """128 bits that tell rows apart by id and text; never null. Rows alike in both have one key."""
+    return F.struct(*[F.xxhash64(F.lit(k), F.lit(k) + F.col("doc_id").isNull().cast("int"), "doc_id", "text").alias(f"k{k}") for k in (1, 2)])
+
+
 def first_pass(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, print, counts): for each row the size and a 128-bit fingerprint of its set, counts null;
-    and for each task a row of nulls with the number of shingles in each of 2 ** BUCKET_BITS buckets."""
+    """(doc_id, row, n_shingles, print, counts): for each row its key, the size and a 128-bit fingerprint of its set, counts
+    null; and for each task a row of nulls with the number of shingles in each of 2 ** BUCKET_BITS buckets."""
+    key = pa.struct([("k1", pa.int64()), ("k2", pa.int64())])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, total = word_hashes(), np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("counts", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("row", key), ("n_shingles", pa.int64()), ("print", pa.binary()), ("counts", pa.list_(pa.int64()))])
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(utf8(part.column(1)), memo, n)
                 total += np.bincount(np.concatenate(sets) >> (63 - BUCKET_BITS), minlength=len(total))
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()),
+                    part.column(0), part.column(2).cast(key), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()),
                     pa.nulls(len(sets), pa.list_(pa.int64()))], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, key), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                                           pa.array([total], pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_shingles long, print binary, counts array<long>")
+    return docs.select("doc_id", "text", row_key(docs).alias("row")).mapInArrow(
+        count, "doc_id long, row struct<k1:long,k2:long>, n_shingles long, print binary, counts array<long>")
 
 
 def fingerprint(s: np.ndarray) -> bytes | None:
@@ -154,19 +162,26 @@ def short_lists(docs: DataFrame, rank: np.ndarray, n: int, percent: int) -> Data
     return docs.select("text").mapInArrow(sets, "print binary, n long, short array<long>")
 
 
+def row_filter(wanted: DataFrame, size: int) -> np.ndarray:
+    """Packed bits, two set for each row key of `wanted` (row), made on the executors in pieces of 32,768 bits."""
+    place = F.explode(F.array(*[F.pmod(f"row.k{k}", F.lit(size)) + 1 for k in (1, 2)])).alias("place")
+    pieces = (wanted.select(place).groupBy(F.bitmap_bucket_number("place").alias("piece"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")))
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for piece, bits in pieces.collect():  # at most 2 ** FILTER_BITS bits in all
+        out[(piece - 1) * 4096 : piece * 4096] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, n: int) -> DataFrame:
-    """(print, all): whole ordered sets of at least the documents `wanted` (doc_id).
+    """(print, all): whole ordered sets of at least the rows whose key is in `wanted` (row).
 
-    A bit filter over the ids, of at most 2 ** FILTER_BITS bits, spares most other texts; it may let some through."""
+    A bit filter over the keys, of at most 2 ** FILTER_BITS bits, spares most other texts; it may let some through."""
     size = 1 << min(FILTER_BITS, max(16, (16 * wanted.count()).bit_length()))
-    bit = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(size)) for k in (1, 2)])).alias("bit")
-    bits = np.zeros(size, dtype=bool)
-    bits[[r[0] for r in wanted.where("doc_id is not null").select(bit).distinct().collect()] if size <= 1 << 20 else
-         np.fromiter((r[0] for r in wanted.where("doc_id is not null").select(bit).distinct().toLocalIterator()), dtype=np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = docs.sparkSession.sparkContext.broadcast(row_filter(wanted, size))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, known = word_hashes(), np.unpackbits(shared.value).astype(bool)
+        memo, known = word_hashes(), np.unpackbits(shared.value, bitorder="little").astype(bool)
         for batch in batches:
             one, two = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             for part in slices(batch.filter(pa.array(known[one] & known[two]))):
@@ -175,7 +190,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, n: int) ->
                 yield pa.record_batch({"print": pa.array([fingerprint(s) for s in some], pa.binary()),
                                        "all": pa.array([s.tobytes() for s in ordered(some, rank)], pa.binary())})
 
-    keyed = docs.where("doc_id is not null").select("text", *[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(size)).alias(f"b{k}") for k in (1, 2)])
+    keyed = docs.select("text", row_key(docs).alias("row")).select("text", *[F.pmod(f"row.k{k}", F.lit(size)).alias(f"b{k}") for k in (1, 2)])
     return keyed.mapInArrow(sets, "print binary, all binary")
 
 
@@ -195,7 +210,7 @@ def search(docs: DataFrame, index: DataFrame, queries: DataFrame, classes: DataF
     parts = index.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
     placed = (index.join(parts, "group").select("print", "rep", "group", "id", F.lit(False).alias("asks"), F.pmod(F.hash("id"), F.col("parts")).alias("part"))
               .union(queries.join(parts, "group").select("print", "rep", "group", "id", F.lit(True), F.explode(F.expr("sequence(0, parts - 1)")))))
-    sets = whole_sets(docs, placed.select(F.col("rep").alias("doc_id")).distinct(), rank, n).dropDuplicates(["print"])
+    sets = whole_sets(docs, placed.select(F.col("rep.row").alias("row")).distinct(), rank, n).dropDuplicates(["print"])
     dealt = (sets.join(placed, "print").select("group", "part", "asks", "id", "all")
              .repartition("group", "part").sortWithinPartitions("group", "part", "asks", "id"))
 
@@ -230,9 +245,33 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     One row per row of `docs`. component_id is the smallest doc_id that can be reached by links. Texts without words
     (null, empty, white space) have no shingles, link with nothing and are their own component. Equal sets are one
-    class, whatever their number, and meet as one. A null doc_id is no smallest id: its row has the component of its
-    partners, or null. Repeated ids count as rows. An empty table gives an empty table.
-    Classes of null ids only are found by equality, not by similarity.
+    class, whatever their number, and meet as one. Rows with a null doc_id link like all others; a null is no smallest
+    id: a component has the smallest id that is there, or null. Repeated ids count as rows. An empty table gives an empty
+    table."""
+    rows, own = _classes(docs, n, percent)
+    least = own.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"))
+    found = own.join(least, "component").select("print", "component_id")
+    return (rows.join(found, "print", "left")
+            .select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one row of each group of linked documents, that with the smallest doc_id (nulls last).
+
+    Rows are told apart by id and text, so that different texts under one id, and texts under none, are decided on one by
+    one. Of rows alike in both, any one stays. Texts without words are in no group and all stay. Extra columns stay."""
+    key, = free_name(docs, "row")
+    _, own = _classes(docs, n, percent)
+    chosen = own.groupBy("component").agg(F.min("rep").alias("rep")).select(
+        F.struct(*[F.coalesce(f"rep.row.{k}", F.lit(0).cast("long")).alias(k) for k in ("k1", "k2")]).alias(key))  # as the keys, without nulls
+    keyed, worded = docs.withColumn(key, row_key(docs)), F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = keyed.where(worded).join(chosen, key, "left_semi").dropDuplicates([key])
+    return kept.select(*docs.columns).union(docs.where(~worded))
+
+
+def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n_shingles, print) of each row, and (print, rep, component) of each class of equal sets. rep is the row
+    of the class with the smallest doc_id (nulls last), as (none, doc_id, row).
 
     In some rounds a few members of each short list stand for it, and each class is compared with the few with which
     it shares most lists (rows in proportion to postings, not to pairs). Where members of a list are then still in
@@ -240,8 +279,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     docs = docs.select("doc_id", "text")
     passed = settle(first_pass(docs, n))
     rank = renumbering(bucket_counts(passed))
-    rows = passed.where("counts is null").select("doc_id", "n_shingles", "print")
-    reps = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
+    rows = passed.where("counts is null").select("doc_id", "row", "n_shingles", "print")
+    reps = rows.where("print is not null").groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep"))
     short = short_lists(docs, rank, n, percent).groupBy("print").agg(F.first("n").alias("n"), F.first("short").alias("short"))
     classes = settle(short.withColumn("id", F.monotonically_increasing_id()))
     lists = Window.partitionBy("token")
@@ -274,10 +313,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     more = search(docs, index, queries, classes, rank, n, percent, one=True)
     component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     own = classes.join(component, classes["id"] == component["node"], "left").select("print", "rep", F.coalesce("component", "id").alias("component"))
-    least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = own.join(least, "component").select("print", "component_id")
-    return (rows.join(found, "print", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    return rows, own
 
 
 def _still_split(shared: DataFrame, component: DataFrame) -> DataFrame:

@@ -83,15 +83,19 @@ def shingle_sets(texts: list[bytes], memo: Memo, n: int = 5) -> list[np.ndarray]
     A text of one to n - 1 words has one shingle, all its words; a text without words has none."""
     words, at = split_all(texts)
     h = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-    runs = window_hashes(h, n)
+    runs = _63_bits(window_hashes(h, n))
     out = []
     for i in range(len(texts)):
         a, b = int(at[i]), int(at[i + 1])
         if b - a >= n:
-            found = np.unique(runs[a : b - n + 1])
+            found = runs[a : b - n + 1]
         elif b > a:  # a length below n goes into the hash, so that it can't meet a run of n
-            found = _mixed(window_hashes(h[a:b], b - a) + np.uint64(b - a))
+            found = _63_bits(_mixed(window_hashes(h[a:b], b - a) + np.uint64(b - a)))
         else:
-            found = np.zeros(0, dtype=np.uint64)
-        out.append(np.unique(found >> np.uint64(1)).astype(np.int64))
+            found = np.zeros(0, dtype=np.int64)
+        out.append(np.unique(found))
     return out
+
+
+def _63_bits(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(1)).astype(np.int64)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from crowdpeak.llm import embeddings, graph, jaccard
 
@@ -65,6 +66,32 @@ def test_jaccard_of_nothing_and_of_null_ids(spark):
     assert sorted((r.n_shingles, r.component_id or -1) for r in got) == [(0, -1), (2, 4), (2, 4), (2, 4)]
 
 
+def test_rows_without_id_bridge_groups_and_one_row_of_each_group_stays(spark):
+    words = [f"w{i}" for i in range(120)]
+    one, two, three = words, words[:-6] + [f"x{i}" for i in range(6)], [f"y{i}" for i in range(12)] + words[12:-6] + [f"x{i}" for i in range(6)]
+    other = [f"z{i}" for i in range(40)]
+    sets = [shingles(" ".join(t)) for t in (one, two, three)]
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert share(sets[0], sets[1]) >= 0.8 and share(sets[1], sets[2]) >= 0.8 > share(sets[0], sets[2])
+    rows = [(3, " ".join(one), "a"), (None, " ".join(two), "b"), (7, " ".join(three), "c"), (3, " ".join(other), "d"),
+            (None, " ".join(other[:20]), "e"), (None, " ".join(other[:20]), "e"), (5, None, "f"), (None, "", "g"), (3, " ".join(one), "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_components(table).collect()}
+    assert got == {(3, 116): 3, (None, 116): 3, (7, 116): 3, (3, 36): 3, (None, 16): None, (5, 0): 5, (None, 0): None}
+    kept = sorted(r.row for r in jaccard.one_of_each(table).collect())
+    assert kept == ["a", "d", "e", "f", "g"]
+    assert jaccard.one_of_each(table).columns == table.columns
+    assert jaccard.one_of_each(table.where("row = 'q'")).count() == 0
+
+
+def test_row_filter_holds_every_key(spark):
+    keys = spark.range(3000).select("id", F.lit("t").alias("text"), F.col("id").alias("doc_id"))
+    keys = keys.select(jaccard.row_key(keys).alias("row"))
+    bits = np.unpackbits(jaccard.row_filter(keys, 1 << 17), bitorder="little")
+    places = np.array([k % (1 << 17) for r in keys.collect() for k in r.row])
+    assert bits[places].all() and bits.sum() == len(np.unique(places))
+
+
 def test_divide_skip_counts():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 300, size=n)) for n in (5, 80, 120, 200, 200, 40)]

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from crowdpeak.llm.text import slices, split_all, utf8
 
@@ -24,8 +26,8 @@ MATCH, MISMATCH, GAP, LEAK = 2, -1, -1, 0.4
 #: Whatever the share, a run of so many words verbatim is a leak, and an alignment that scores as much and this share of
 #: what its own words could. Items below SHORT words must be there whole.
 PASSAGE, IDENTITY, SHORT = 13, 0.75, 8
-#: Alignments worked on at once.
-AT_ONCE = 512
+#: Words of passages aligned at once (one longer passage goes alone).
+CELLS = 1 << 18
 
 
 class Items:
@@ -120,6 +122,18 @@ def longest_runs(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[n
     return best, last - best
 
 
+def alike(windows: list, lengths: np.ndarray) -> Iterator[list]:
+    """The windows (text, item, start, stop) in batches of bounded size, in which neither items nor passages differ by more
+    than a factor of two in length, so that filling up the shorter ones costs no more than that."""
+    def size(x) -> tuple[int, int]:
+        return int(lengths[x[1]]).bit_length(), (x[3] - x[2]).bit_length()
+
+    for (_, bits), some in groupby(sorted(windows, key=size), size):
+        batch, many = list(some), max(1, CELLS >> bits)
+        for cut in range(0, len(batch), many):
+            yield batch[cut : cut + many]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """Items in blocks of at most about BLOCK_BYTES of text; one block is on the driver at a time."""
     held, size = [], 0
@@ -166,7 +180,8 @@ def _hits(items: Items, w: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> tu
     return tuple(np.concatenate(found, axis=1))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int = SEED_WORDS, seed_share: float = SEED_SHARE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int = SEED_WORDS, seed_share: float = SEED_SHARE,
+               carry: str | None = None) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): documents that hold a passage aligned with a test item.
 
     score is the alignment score over that of the item with itself; the words are counted from 0 in the document. A leak
@@ -175,10 +190,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, n: int
     One row for each row of `docs` and item, the best passage. Words are lower-cased (A-Z) and stripped of marks. The
     seeds of an item are the rarest of its n-grams, by rank within the item, so an item that a large part of the corpus
     holds keeps its seeds too, and the rarest in each short stretch of it, so that no PASSAGE words are without; the
-    seed of an item shorter than n words is all of it. Null and empty items have none and find nothing; null and empty texts hold nothing; a null doc_id is carried. Repeated documents and items give repeated
+    seed of an item shorter than n words is all of it. Null and empty items have none and find nothing; null and empty texts hold
+    nothing; a null doc_id is carried, and so is the column `carry` of `docs`, as `carried`. Of passages of a document
+    that score alike for an item, the first one counts. Repeated documents and items give repeated
     rows. Empty tables give an empty table. Extra columns are not looked at."""
     spark, out = docs.sparkSession, None
-    docs = docs.select("text", "doc_id")
+    docs = docs.select("text", "doc_id", *([F.col(carry).alias("carried")] if carry else []))
     for block in _blocks(benchmark):
         items = Items(block, n)
         shared = spark.sparkContext.broadcast(items)
@@ -226,10 +243,8 @@ def _aligned(docs: DataFrame, shared, seeds, leak: float) -> DataFrame:
                         last[3] = max(last[3], b)
                     else:
                         windows.append([d, t, a, b])
-                windows.sort(key=lambda x: x[3] - x[2])
                 best: dict[tuple[int, int], tuple] = {}
-                for cut in range(0, len(windows), AT_ONCE):
-                    some = windows[cut : cut + AT_ONCE]
+                for some in alike(windows, lengths):
                     scores, first, last_word = smith_waterman([items.words[t] for _, t, _, _ in some], [w[a:b] for _, _, a, b in some])
                     size = np.array([len(items.words[t]) for _, t, _, _ in some])
                     close = scores >= IDENTITY * MATCH * (last_word - first + 1)
@@ -244,10 +259,12 @@ def _aligned(docs: DataFrame, shared, seeds, leak: float) -> DataFrame:
                         if leaks:
                             best[d, t] = max(best.get((d, t), (0.0, 0, 0)), (share, -(a + f - int(at[d])), a + e - int(at[d])))
                 if best:
-                    ids = part.column(1).to_pylist()
-                    yield pa.record_batch({
-                        "doc_id": pa.array([ids[d] for d, _ in best], pa.int64()), "item_id": pa.array([items.ids[t] for _, t in best], pa.int64()),
-                        "score": pa.array([v[0] for v in best.values()], pa.float64()), "first_word": pa.array([-v[1] for v in best.values()], pa.int64()),
-                        "last_word": pa.array([v[2] for v in best.values()], pa.int64())})
+                    of = pa.array([d for d, _ in best], pa.int64())
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(1).take(of).cast(pa.int64()), pa.array([items.ids[t] for _, t in best], pa.int64()),
+                        pa.array([v[0] for v in best.values()], pa.float64()), pa.array([-v[1] for v in best.values()], pa.int64()),
+                        pa.array([v[2] for v in best.values()], pa.int64()), *[c.take(of) for c in part.columns[2:]]], names=schema.names)
 
-    return docs.select("text", "doc_id").mapInArrow(align, "doc_id long, item_id long, score double, first_word long, last_word long")
+    schema = StructType.fromDDL("doc_id long, item_id long, score double, first_word long, last_word long")
+    schema = StructType(schema.fields + docs.schema.fields[2:])
+    return docs.mapInArrow(align, schema)

@@ -108,6 +108,34 @@ def test_long_passages_of_long_items_and_short_items_whole(spark):
     assert (got[1, 1].first_word, got[1, 1].last_word, got[5, 2].score, got[6, 3].first_word) == (30, 129, 1.0, 30)
 
 
+def test_leaks_of_very_unequal_items_equal_those_of_each_item_alone(spark):
+    rng = random.Random(17)
+    fill = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    items = [fill(n) for n in (9, 16, 16, 60, 400, 3000)]
+    edit = lambda x: [w if rng.random() > 0.12 else "changed" for w in x]
+    docs = [(k, " ".join(fill(20) + edit(x) + fill(20)), f"tag{k}") for k, x in enumerate(items)]
+    docs += [(100, " ".join(w for x in items for w in edit(x)), "all"), (None, " ".join(items[0]), "none"), (7, None, "null"), (8, " ".join(fill(500)), "clean")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    rows = decontamination.find_leaks(table, benchmark, carry="score").collect()
+    alone = [tuple(r) for k in range(len(items)) for r in decontamination.find_leaks(table, benchmark.where(f"item_id = {k}"), carry="score").collect()]
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, alone))
+    assert {(r[0], r[1], r[5]) for r in rows} >= {(k, k, f"tag{k}") for k in range(6)} | {(100, k, "all") for k in range(6)} | {(None, 0, "none")}
+    assert not {r[0] for r in rows} & {7, 8}
+
+
+def test_batches_of_windows_are_alike_and_bounded():
+    rng = random.Random(18)
+    lengths = np.array([rng.choice([3, 16, 60, 400, 20_000]) for _ in range(40)])
+    windows = [[0, t, 5, 5 + rng.choice([4, 30, 200, 90_000])] for t in range(40) for _ in range(30)]
+    batches = list(decontamination.alike(windows, lengths))
+    assert sorted(w for b in batches for w in b) == sorted(windows)
+    for b in batches:
+        wide, tall = [w[3] - w[2] for w in b], [lengths[w[1]] for w in b]
+        assert max(wide) <= 2 * min(wide) and max(tall) <= 2 * min(tall)
+        assert len(b) == 1 or len(b) * max(wide) <= decontamination.CELLS
+
+
 def test_cross_entropy_difference_against_plain_counts(spark):
     texts = {1: "a b a b c", 2: "a b c c", 3: "d d d a", 4: None, 5: " ", 6: "a B a"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("score", F.lit("own"))

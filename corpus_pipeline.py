@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdpeak.llm import decontamination, jaccard, mixing, sharding, toxicity
+from crowdpeak.llm.store import free_name, settle
 
 #: SQL can't express a trained classifier; tests compare the stages with plain versions.
 ORACLE_SQL = None
@@ -23,17 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; rows without an id all stay."""
-    groups = jaccard.jaccard_components(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each group of near duplicates, that with the smallest doc_id (nulls last). Rows are told apart by id
+    and text, so a repeated or null id neither drops nor saves another text; texts without words all stay."""
+    return jaccard.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a passage aligned with an item of the benchmark."""
-    leaks = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Without the documents that hold a passage aligned with an item of the benchmark, whatever their id."""
+    key, = free_name(docs, "leak_key")
+    keyed = docs.withColumn(key, jaccard.row_key(docs))
+    leaks = decontamination.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=key)
+    return keyed.join(leaks.select(F.col("carried").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other. Between stages the rows are cut from their lineage in the shared folder."""
-    from crowdpeak.llm.store import settle
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

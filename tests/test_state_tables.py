@@ -78,3 +78,16 @@ def test_left_groups_of_a_million_edges(spark):
     assert sum(r.n for r in got) == n
     for a, b in zip(got, got[1:]):
         assert a.low == a.group_left and a.high - a.group_left <= 0.03 < b.group_left - a.group_left
+
+
+def test_bayes_shuffles_no_n_gram_of_a_text(spark):
+    rows = [(i, "abcd " * (i % 7) + "xyz" * (i % 3), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, chat_message string, label int")
+    model = bayes.train_bayes(df)
+    whole = bayes.bayes_scores(model, df, "doc_id")
+    small = bayes.bayes_scores(model, df, "doc_id", slice_chars=20)  # a slice per text or two: the same scores
+    pick = lambda d: sorted((r.doc_id, r.label, round(r.score, 9), r.prediction) for r in d.collect())
+    assert pick(whole) == pick(small) and len(pick(whole)) == 80
+    assert dict(model.grams.dtypes)["gram"] == "bigint"  # counted in whole numbers inside tasks, not exploded as text
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan

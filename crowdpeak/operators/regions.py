@@ -7,8 +7,11 @@ recording.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crowdpeak import fixed_values as fv
 from crowdpeak.functions.numbers import clamp, rounded
@@ -17,6 +20,8 @@ from crowdpeak.settings import Settings
 
 DEFAULT = Settings()
 GEOMETRY = ["xmin", "ymin", "xmax", "ymax"]
+#: Pairs of boxes that are looked at at once.
+PIECE = 1 << 20
 
 
 def sample_times(videos: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -55,57 +60,69 @@ def fixed_boxes(boxes: DataFrame, s: Settings = DEFAULT, frames: DataFrame | Non
     """Distinct `(video_id, text, box)` that are part of the screen layout: the same text at nearly the same place in
     at least half of the other frames. Text that scrolls does not stay.
 
-    Whether a box is fixed depends on its text and geometry only, so equal boxes of all frames are one row. Boxes that
-    overlap enough have similar heights and places, so each box meets only those of its own and the neighbouring
-    size-and-place cells, in an equi join.
+    Whether a box is fixed depends on its text and geometry only, so equal boxes of all frames are one. Boxes that overlap
+    enough have similar places, so each box meets only those of its text that are near it from top to bottom.
     """
     ratio = s.region_fixed_iou
     frames = _frames_read(boxes, frames, "_frames")
     enough = s.region_fixed_ratio * (F.col("_frames") - 1)
-    box = F.struct(*GEOMETRY)
-    seen = boxes.filter(F.length(F.coalesce("text", F.lit(""))) > 0).select(
-        "video_id", "text", box.alias("box"), "frame").distinct()
+    seen = boxes.filter(F.col("video_id").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0)).select(
+        "video_id", "text", "frame", *GEOMETRY)
     # A text that is in too few frames cannot be fixed anywhere. That leaves out nearly all chat before any pairing.
     steady = (
         seen.groupBy("video_id", "text").agg(F.countDistinct("frame").alias("_in")).join(frames, "video_id")
-        .filter((F.col("_frames") > 1) & (F.col("_in") - 1 >= enough)).select("video_id", "text")
+        .filter((F.col("_frames") > 1) & (F.col("_in") - 1 >= enough)).groupBy("video_id", "text").agg(F.min("_frames").alias("_frames"))
     )
-    # Equal boxes are one shape with the few frames it was seen in.
-    shapes = seen.join(steady, ["video_id", "text"], "left_semi").groupBy("video_id", "text", "box").agg(
-        F.collect_set("frame").alias("frames"))
-    # Heights and vertical places of two boxes that overlap by `ratio`: heights differ by at most 1 / ratio, centres by
-    # at most this share of a height. Class c holds heights in (2^(c-1), 2^c] and has cells 2^c high. A shape is offered
-    # in its own cell and asks in every cell where a partner can be, so a pair meets exactly once. The slack keeps pairs
+    # The boxes of a text meet once, and all that is made of pairs of them stays inside their group.
+    kept = seen.filter("ymin IS NOT NULL AND ymax IS NOT NULL").join(steady, ["video_id", "text"])
+    schema = T.StructType([*(kept.schema[c] for c in ("video_id", "text", *GEOMETRY)), T.StructField("same_frames", T.LongType())])
+    return kept.groupBy("video_id", "text").applyInArrow(_fixed_in(ratio, s.region_fixed_ratio), schema)
+
+
+def _fixed_in(ratio: float, enough: float):
+    """The fixed boxes among those of one text."""
+    # Centres of two boxes that overlap by `ratio` differ by at most this share of either height. The slack keeps pairs
     # whose overlap is exactly at the limit.
     share = max(1.0 - ratio, 0.5 / ratio - 0.5)
-    height = F.greatest(F.col("box.ymax") - F.col("box.ymin"), F.lit(1e-6))
-    centre = (F.col("box.ymax") + F.col("box.ymin")) / 2
-    size = F.pow(F.lit(2.0), F.col("class"))
-    asking = (
-        shapes.select("video_id", "text", "box", F.explode(F.sequence(
-            F.ceil(F.log2(height * ratio) - 1e-9).cast("int"),
-            F.ceil(F.log2(height / ratio) + 1e-9).cast("int"))).alias("class"))
-        .withColumn("cell", F.explode(F.sequence(
-            F.floor((centre - height * share - 1e-9) / size).cast("long"),
-            F.floor((centre + height * share + 1e-9) / size).cast("long"))))
-    )
-    offered = (
-        shapes.withColumn("class", F.ceil(F.log2(height)).cast("int"))
-        .withColumn("cell", F.floor(centre / size).cast("long"))
-        .select("video_id", "text", F.col("box").alias("other"), "frames", "class", "cell")
-    )
-    matches = asking.join(offered, ["video_id", "text", "class", "cell"]).filter(
-        (F.col("box") == F.col("other")) | (iou("box", "other") >= ratio))
-    # A box is in its own frame, so the number of *other* frames is one less than that of all frames it is seen in.
-    counted = (
-        matches.select("video_id", "text", "box", F.explode("frames").alias("frame")).distinct()
-        .groupBy("video_id", "text", "box").agg((F.count("*") - 1).alias("same_frames"))
-    )
-    return (
-        counted.join(frames, "video_id")
-        .filter((F.col("_frames") > 1) & (F.col("same_frames") >= enough))
-        .select("video_id", "text", "box.*", "same_frames")
-    )
+
+    def fixed(boxes: pa.Table) -> pa.Table:
+        found = np.stack([boxes.column(c).to_numpy() for c in GEOMETRY])
+        centre = (found[3] + found[1]) / 2
+        known = np.where(np.isnan(found), -np.inf, found)  # a box without a left or right edge equals only itself
+        order = np.lexsort((*known, centre))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (known[:, order[1:]] != known[:, order[:-1]]).any(axis=0)
+        shape = np.empty(len(order), dtype=np.int64)
+        shape[order] = np.cumsum(first) - 1
+        rows = order[first]  # one row for each distinct box, from the top down
+        xmin, ymin, xmax, ymax = found[:, rows]
+        centre, reach, area = centre[rows], np.maximum(ymax - ymin, 1e-6) * share + 1e-9, (xmax - xmin) * (ymax - ymin)
+        frame = boxes.column("frame").combine_chunks().dictionary_encode().indices
+        read = np.flatnonzero(frame.is_valid().to_numpy(zero_copy_only=False))
+        frame, of = frame.drop_null().to_numpy(), shape[read]
+        in_frames = np.zeros(len(rows), dtype=np.int64)
+        # Pairs and (box, frame) marks are made in pieces, so that a text with very many boxes needs no more memory.
+        n_frames, high = int(frame.max()) + 1 if len(frame) else 0, max(1, PIECE // len(rows))
+        wide = max(1, min(n_frames, high))
+        for left in range(0, n_frames, wide):
+            marks = np.zeros((len(rows), wide), dtype=np.float32)
+            mine = (frame >= left) & (frame < left + wide)
+            marks[of[mine], frame[mine] - left] = 1
+            for a in range(0, len(rows), high):
+                b = min(a + high, len(rows))
+                low, top = np.searchsorted(centre, (centre[a:b] - reach[a:b]).min()), np.searchsorted(centre, (centre[a:b] + reach[a:b]).max(), "right")
+                width, height = (np.maximum(0.0, np.minimum(to[a:b, None], to[None, low:top]) - np.maximum(at[a:b, None], at[None, low:top]))
+                                 for at, to in ((xmin, xmax), (ymin, ymax)))
+                inter = width * height
+                union = area[a:b, None] + area[None, low:top] - inter
+                near = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0) >= ratio
+                near |= np.arange(a, b)[:, None] == np.arange(low, top)[None, :]
+                in_frames[a:b] += (near.astype(np.float32) @ marks[low:top] > 0).sum(axis=1)
+        # A box is in its own frame, so the number of *other* frames is one less than that of all frames it is seen in.
+        chosen = np.flatnonzero((in_frames > 0) & (in_frames - 1 >= enough * (boxes.column("_frames")[0].as_py() - 1)))
+        out = boxes.select(["video_id", "text", *GEOMETRY]).take(pa.array(rows[chosen]))
+        return out.append_column("same_frames", pa.array(in_frames[chosen] - 1, pa.int64()))
+    return fixed
 
 
 def moving_boxes(boxes: DataFrame, s: Settings = DEFAULT, frames: DataFrame | None = None) -> DataFrame:

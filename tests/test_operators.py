@@ -251,3 +251,31 @@ def test_recordings_without_boxes_get_the_default_region(spark):
         rows = regions.chat_regions(boxes, videos=videos, early=early).collect()
         assert sorted(r.video_id for r in rows) == ["a", "none"]
         assert {r.method for r in rows} == {"vote_default"} and len({tuple(r)[1:] for r in rows}) == 1
+
+
+def test_fixed_boxes_meet_once_by_text(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [("a", f, 10 * f + i, rng.randrange(4) / 10, rng.randrange(6) / 10, None, None, "hud") for f in range(5) for i in range(10)]
+    rows = [(*r[:5], None if r[2] % 17 == 0 else r[3] + 0.2, r[4] + 0.1, r[7]) for r in rows] + [(None, 1, 1, 0.0, 0.0, 1.0, 1.0, "hud"), ("a", None, 2, 0.0, 0.0, 0.2, 0.1, "hud")]
+    boxes = spark.createDataFrame(rows, BOX)
+    fixed = regions.fixed_boxes(boxes)
+    plan = fixed._jdf.queryExecution().executedPlan().toString()
+    assert "class" not in plan  # boxes are shuffled once and not once for each cell they ask in
+    got = {tuple(r) for r in fixed.collect()}
+    monkeypatch.setattr(regions, "PIECE", 7)  # pairs in pieces of a row each: the same
+    assert {tuple(r) for r in regions.fixed_boxes(boxes).collect()} == got and got
+
+    def overlap(a, b):
+        if a == b:
+            return 1.0
+        if None in a + b:
+            return 0.0
+        inter = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+        return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+
+    want = set()
+    for shape in {r[3:7] for r in rows if r[0]}:
+        frames = {r[1] for r in rows if r[0] and r[1] is not None and overlap(shape, r[3:7]) >= 0.5}
+        if len(frames) - 1 >= 2:
+            want.add(("a", "hud", *shape, len(frames) - 1))
+    assert got == want

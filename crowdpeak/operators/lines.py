@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crowdpeak.functions.numbers import bound
+from crowdpeak.functions.grams import counted, gram_codes, text_slices
 from crowdpeak.operators.buckets import slot_of, with_previous
 from crowdpeak.settings import Settings
 
 DEFAULT = Settings()
+#: Windows of a recording that are summed up in one group. Their slots reach a few slots back into the block before.
+BLOCK = 32
 
 
 def previous_scene(scenes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -80,48 +84,47 @@ def _before_end(placed: DataFrame, videos: DataFrame) -> DataFrame:
     return placed.join(slots, ["video_id", "j"]).filter(F.col("t") <= F.col("_end")).drop("_end")
 
 
-def _grams(codes: Column, sizes: tuple[int, ...]) -> Column:
-    """All n-grams of an array of code points, each packed into one whole number: 21 bits per character."""
-    def of_size(n: int) -> Column:
-        def pack(code: Column, i: Column) -> Column:
-            value = code
-            for ahead in range(1, n):
-                value = value * (1 << 21) + F.get(codes, i + ahead)
-            return value
-
-        count = F.size(codes) - (n - 1)
-        return F.when(count >= 1, F.transform(F.slice(codes, F.lit(1), count), pack)).otherwise(
-            F.array().cast("array<bigint>"))
-
-    if max(sizes) > 3:
-        raise ValueError("n-grams of more than three characters do not fit into a whole number")
-    return F.concat(*[of_size(n) for n in sizes])
-
-
-def _length_of_counts(sorted_grams: Column) -> Column:
-    """Length of the count vector of a sorted array: the c-th copy of a value adds c^2 - (c-1)^2 = 2c - 1."""
-    start = F.struct(F.lit(-1).cast("bigint").alias("gram"), F.lit(0).alias("run"), F.lit(0.0).alias("total"))
-
-    def step(acc: Column, gram: Column) -> Column:
-        run = F.when(acc["gram"] == gram, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(gram.alias("gram"), run.alias("run"), (acc["total"] + run * 2 - 1).alias("total"))
-
-    return F.sqrt(F.aggregate(sorted_grams, start, step)["total"])
-
-
-def line_vectors(lines: DataFrame, s: Settings = DEFAULT, text: str = "line") -> DataFrame:
-    """Add `grams`, the character n-grams of each line without spaces, and `weight`, what one occurrence adds to a
-    vector of length one. A line that is too short for an n-gram has no grams and no vector."""
-    body = F.regexp_replace(F.lower(F.replace(F.col(text), F.lit(" "), F.lit(""))), r"(?U)\s\s+", " ")
-    chars = F.regexp_extract_all(body, F.lit("(?s)."), F.lit(0))
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("bigint"))
-
-    def vector(all_codes: Column) -> Column:
-        return bound(F.sort_array(_grams(all_codes, s.line_ngrams)), lambda grams: F.struct(
-            grams.alias("grams"), (1 / F.when(F.size(grams) > 0, _length_of_counts(grams))).alias("weight")))
-
-    return lines.withColumn("_v", bound(codes, vector)).select(
-        *[c for c in lines.columns if c != text], "_v.grams", "_v.weight")
+def _window_sums(sizes: tuple[int, ...]):
+    """Sums of the windows of a block, from the distinct lines of its slots."""
+    def sums(block: pa.Table) -> pa.Table:
+        video, slots = block.column("video_id").slice(0, 1).combine_chunks(), block.column("j").to_numpy()
+        firsts, many = block.column("first").to_numpy(), block.column("_n").to_numpy()
+        begin = block.column("block")[0].as_py() * BLOCK
+        # Lines of one slot and edge are one part: they are in the same windows.
+        parts, of = np.unique(np.stack([slots, firsts]), axis=1, return_inverse=True)
+        of = of.ravel()
+        vectors = np.zeros(parts.shape[1])
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        order = np.argsort(of, kind="stable")
+        texts = block.column("_body").take(pa.array(order)).to_pylist()
+        for start, some in text_slices(texts):
+            rows = order[start : start + len(some)]
+            owners, grams = gram_codes(some, sizes)
+            owner, gram, n = counted(owners, grams)
+            length = np.sqrt(np.bincount(owner, weights=n.astype(np.float64) ** 2, minlength=len(some)))
+            weight = n / length[owner] * many[rows][owner]
+            np.add.at(vectors, of[rows], np.where(length > 0, many[rows], 0))
+            part = of[rows][owner]
+            for p in np.unique(part):
+                mine = part == p
+                found, place = np.unique(gram[mine], return_inverse=True)
+                held.setdefault(int(p), []).append((found, np.bincount(place, weights=weight[mine])))
+        lines = np.bincount(of, weights=many, minlength=parts.shape[1])
+        rows = []
+        for k in range(begin, begin + BLOCK):
+            inside = np.flatnonzero((parts[0] >= k) & (parts[1] <= k))
+            if not len(inside):
+                continue
+            both = [x for p in inside for x in held.get(int(p), [])]
+            square = 0.0
+            if both:
+                _, place = np.unique(np.concatenate([g for g, _ in both]), return_inverse=True)
+                square = float((np.bincount(place, weights=np.concatenate([w for _, w in both])) ** 2).sum())
+            rows.append((k, int(lines[inside].sum()), float(vectors[inside].sum()), square))
+        return pa.table({"video_id": video.take(pa.array(np.zeros(len(rows), dtype=np.int64))), "k": pa.array([r[0] for r in rows], pa.int64()),
+                         "chat_freq": pa.array([r[1] for r in rows], pa.int64()), "_vectors": pa.array([r[2] for r in rows], pa.float64()),
+                         "_square": pa.array([r[3] for r in rows], pa.float64())})
+    return sums
 
 
 def line_scores(lines: DataFrame, windows: DataFrame, scenes: DataFrame | None = None,
@@ -129,28 +132,22 @@ def line_scores(lines: DataFrame, windows: DataFrame, scenes: DataFrame | None =
     """Number of new lines (`chat_freq`) and their mean pairwise cosine (`chat_conc`) for each window.
 
     With unit vectors, the sum over all pairs is (|sum of vectors|^2 - number of vectors) / 2, so no pair of lines is
-    ever formed: every n-gram adds its weight to its slot, slots to their windows, and the sums are squared. `has_lines`
-    marks recordings in `scenes`.
+    ever formed: every n-gram adds its weight to its slot, slots to their windows, and the sums are squared. That is done
+    where the lines of a block of windows meet, so lines are shuffled and their n-grams are not. A line without spaces that
+    is too short for an n-gram counts but has no vector. `has_lines` marks recordings in `scenes`.
     """
     placed = _slots(lines.select("video_id", "t", "line"), s)
     if clip_to is not None:
         placed = _before_end(placed, clip_to)
-    # Two marks travel with the n-grams of a line, so that one pass also counts lines and vectors.
-    line_mark, vector_mark = F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint")
-    vectors = line_vectors(placed.select("video_id", "j", "first", "line"), s)
-    marked = vectors.withColumn("grams", F.concat(
-        F.when(F.col("weight").isNull(), F.array(line_mark)).otherwise(F.array(line_mark, vector_mark)), "grams"))
-    gram = F.col("gram")
-    sums = (
-        marked.select("video_id", "j", "first", "weight", F.explode("grams").alias("gram"))
-        .groupBy("video_id", "j", "first", "gram").agg(F.sum(F.when(gram < 0, 1.0).otherwise(F.col("weight"))).alias("_w"))
-        .select("video_id", F.explode(F.sequence("first", "j")).alias("k"), "gram", "_w").filter("k >= 0")
-        .groupBy("video_id", "k", "gram").agg(F.sum("_w").alias("_w"))
-        .groupBy("video_id", "k").agg(
-            F.sum(F.when(gram == line_mark, F.col("_w"))).cast("bigint").alias("chat_freq"),
-            F.sum(F.when(gram == vector_mark, F.col("_w"))).alias("_vectors"),
-            F.sum(F.when(gram >= 0, F.col("_w") * F.col("_w"))).alias("_square"))
-    )
+    body = F.regexp_replace(F.lower(F.replace(F.col("line"), F.lit(" "), F.lit(""))), r"(?U)\s\s+", " ")
+    # Equal lines of a slot are one row; the windows of a recording meet in blocks, with the few slots before each block.
+    counts = placed.select("video_id", "j", "first", body.alias("_body")).filter(
+        "video_id IS NOT NULL AND j >= 0 AND _body IS NOT NULL").groupBy("video_id", "j", "first", "_body").agg(F.count("*").alias("_n"))
+    blocks = counts.withColumn("block", F.explode(F.sequence(
+        F.floor(F.greatest("first", F.lit(0)) / BLOCK), F.floor(F.col("j") / BLOCK))))
+    schema = T.StructType([placed.schema["video_id"], *(T.StructField(n, t) for n, t in (
+        ("k", T.LongType()), ("chat_freq", T.LongType()), ("_vectors", T.DoubleType()), ("_square", T.DoubleType())))])
+    sums = blocks.groupBy("video_id", "block").applyInArrow(_window_sums(s.line_ngrams), schema)
     m = F.col("chat_freq")
     conc = (F.coalesce("_square", F.lit(0.0)) - F.coalesce("_vectors", F.lit(0.0))) / (m * (m - 1))
     out = (

@@ -5,6 +5,8 @@ import math
 import random
 
 import pytest
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from crowdpeak.operators import candidates as cand
@@ -206,3 +208,29 @@ def test_rows_after_the_end_are_in_no_window(spark):
     keep = ["k", "chat_freq", "chat_conc"]
     pairs = list(zip(sorted(cut.select(*keep).collect()), sorted(plain.select(*keep).collect()), strict=True))
     assert pairs and all(x[:2] == y[:2] and math.isclose(x.chat_conc, y.chat_conc, rel_tol=1e-12) for x, y in pairs)
+
+
+def test_line_scores_over_blocks_of_windows_with_repeated_lines(spark):
+    rng = random.Random(5)
+    texts = ["wow what a play", "lol", "ㅋㅋ ㅋㅋ ㅋ", "a", "", "𝄞𝄞 wow"]
+    rows = [(v, rng.choice([5.0, 1.0]) * rng.randrange(0, 80), rng.choice(texts)) for v in "ab" for _ in range(150)] + [(None, 3.0, "lol")]
+    fresh = spark.createDataFrame(rows, "video_id string, t double, line string")
+    out = lines.line_scores(fresh, grid.window_grid(video(spark, ("a", 430.0), ("b", 200.0), ("c", 60.0))))
+    assert "explode(grams" not in out._jdf.queryExecution().executedPlan().toString()  # lines are shuffled, n-grams are not
+
+    def vector(line):
+        body = line.replace(" ", "")
+        counts = Counter(body[i:i + n] for n in (2, 3) for i in range(len(body) - n + 1))
+        return {g: c / math.sqrt(sum(x * x for x in counts.values())) for g, c in counts.items()}
+
+    got = out.collect()
+    assert max(r.k for r in got if r.video_id == "a") > 2 * lines.BLOCK
+    for r in got:
+        inside = [vector(line) for v, t, line in rows if v == r.video_id and r.start_sec <= t <= r.end_sec]
+        assert r.chat_freq == len(inside)
+        total = Counter()
+        for x in inside:
+            total.update(x)
+        m = len(inside)
+        want = (sum(w * w for w in total.values()) - sum(bool(x) for x in inside)) / (m * (m - 1)) if m >= 3 else None
+        assert r.chat_conc is None if want is None else math.isclose(r.chat_conc, want, abs_tol=1e-9)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdpeak.checks import views as v
@@ -83,6 +89,30 @@ def older_series(spark, path):
     return _series(spark, path)[1].drop("point")
 
 
+def write_one_each(docs: DataFrame, folder: str) -> None:
+    """A file `<video_id>.json` for each recording of `docs(video_id, value)`; a null id names no recording.
+
+    Spark's writers start programs of the system for each file they make and move all files in the end, so tasks write
+    these small files themselves. A task that runs again writes the same files again."""
+    place = re.sub("^file:/+", "/", folder)
+    filesystem, base = fs.FileSystem.from_uri(place)
+    filesystem.create_dir(base, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into, root = fs.FileSystem.from_uri(place)
+        values = ((name, value) for batch in batches for name, value in zip(*(c.to_pylist() for c in batch.columns)))
+        for name, same in itertools.groupby(values, key=lambda x: x[0]):
+            with into.open_output_stream(f"{root}/{name}.json") as out:
+                for _, value in same:
+                    out.write(f"{value}\n\n".encode())
+            yield pa.record_batch({"files": pa.array([1], pa.int64())})
+
+    # The number of parts is given, so that Spark does not join small ones into one task that makes all files.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs.filter("video_id IS NOT NULL").repartition(parts, "video_id").sortWithinPartitions("video_id").mapInArrow(
+        write, "files long").agg(F.sum("files")).collect()
+
+
 @query("src_2_both_forms", """
 SELECT kind, video_id, t, chat_text, joy_pct, anxiety_pct, calculated_threshold, total_chats FROM (
   SELECT CAST(conv_id * 8 + turn AS VARCHAR) AS video_id, turn * 5.0::DOUBLE + i AS t, line AS chat_text,
@@ -94,7 +124,7 @@ def both_forms(spark, path):
     # The same documents once a file each, over several lines, and once a line each. A key without a column survives.
     docs, folder = _series_docs(spark, path), fresh(spark, "series_files")
     body = F.to_json(F.struct(*[c for c in docs.columns if c != "video_id"]), {"pretty": "true"})
-    docs.select("video_id", body.alias("value")).repartition("video_id").write.partitionBy("video_id").option("lineSep", "\n\n").text(folder)
+    write_one_each(docs.select("video_id", body.alias("value")), folder)
     lines = fresh(spark, "series_lines")
     tables.write_table(docs, lines, "json")
     out = None

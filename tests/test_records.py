@@ -47,3 +47,20 @@ def test_one_scan_and_one_exchange_of_lines(spark, tmp_path):
     made.collect()
     plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("FileScan text") == 1 or "ReusedExchange" in plan
+
+
+def test_a_file_each_is_written_by_many_tasks(spark, tmp_path):
+    import os
+
+    from crowdpeak.checks.feeds import write_one_each
+
+    docs = spark.createDataFrame([(str(i), f'{{"a":\n {i}}}') for i in range(300)] + [("7", '{"a":\n 7}'), (None, "{}")], "video_id string, value string")
+    folder = str(tmp_path / "files")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one each", "files")
+    write_one_each(docs, folder)
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("one each") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) in tasks
+    assert sorted(os.listdir(folder)) == sorted(f"{i}.json" for i in range(300))
+    assert (tmp_path / "files" / "7.json").read_text() == '{"a":\n 7}\n\n' * 2
+    assert spark.read.json(folder, multiLine=True).agg({"a": "count"}).first()[0] == 300

@@ -92,8 +92,8 @@ def older_series(spark, path):
 def write_one_each(docs: DataFrame, folder: str) -> None:
     """A file `<video_id>.json` for each recording of `docs(video_id, value)`; a null id names no recording.
 
-    Spark's writers start programs of the system for each file they make and move all files in the end, so tasks write
-    these small files themselves. A task that runs again writes the same files again."""
+    Tasks write these small files themselves, through a file system that pyarrow knows. A task that runs again writes the
+    same files again."""
     place = re.sub("^file:/+", "/", folder)
     filesystem, base = fs.FileSystem.from_uri(place)
     filesystem.create_dir(base, recursive=True)

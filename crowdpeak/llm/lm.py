@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdpeak.llm.store import settle
@@ -88,15 +88,14 @@ class Slice:
         self.keys = np.array([(xxhash.xxh3_64_intdigest(w) >> 2) + UNKNOWN for w in self.words], dtype=np.int64)
         self.n, self.t = (np.bincount(x, minlength=len(self.words)) for x in (self.ids, self.ids[self.hit]))
 
-    def resolve(self, key: np.ndarray, n: np.ndarray, t: np.ndarray) -> None:
-        """Takes the counts of the words that other slices hold too; words of one document become kinds."""
+    def resolve(self, n: np.ndarray, t: np.ndarray) -> None:
+        """Takes the counts of the words in all slices; words of one document become kinds."""
         first, last = np.zeros((2, len(self.words)), dtype=np.int64)
         last[self.ids], first[self.ids[::-1]] = self.of, self.of[::-1]
-        known = first != last
-        at, there = _find(self.keys, key)
-        known[at] = True
-        self.only_here = int(known.sum()) - len(at)
-        self.n[at], self.t[at] = n[there], t[there]
+        elsewhere = n != self.n
+        known = (first != last) | elsewhere
+        self.only_here = int(known.sum() - elsewhere.sum())
+        self.n, self.t = n, t
         unit = UNKNOWN + np.arange(len(self.words))
         for j in np.flatnonzero(~known):
             unit[j] = _kind(self.words[j])
@@ -119,11 +118,8 @@ class Slice:
                 np.concatenate((self.pair_n, self.kinds_n[1:], [len(self.ids), self.only_here])),
                 np.concatenate((self.pair_t, self.kinds_t[1:], [int(self.hit.sum()), 0])))
 
-    def losses(self, key: np.ndarray, n: np.ndarray, t: np.ndarray, elsewhere: int, sizes: tuple[int, int]) -> list[np.ndarray]:
-        """Mean loss of each text in nats, under the target and under the background; `key`, `n`, `t` are sums of all slices."""
-        mine, all_n, all_t = self.sums()
-        at, there = _find(mine, key)
-        all_n[at], all_t[at] = n[there], t[there]
+    def losses(self, all_n: np.ndarray, all_t: np.ndarray, elsewhere: int, sizes: tuple[int, int]) -> list[np.ndarray]:
+        """Mean loss of each text in nats, under the target and under the background, from the sums of all slices."""
         pairs, words = len(self.pair_keys), UNKNOWN + elsewhere + int(all_n[-1])
         out = []
         for count, ones, total in ((all_t, self.t, sizes[1]), (all_n, self.n, sizes[0])):
@@ -135,16 +131,6 @@ class Slice:
         return out
 
 
-def _find(mine: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in `mine` and in `given` of the keys that both hold."""
-    by = np.argsort(given, kind="stable")
-    k = np.searchsorted(given, mine, sorter=by)
-    at = np.flatnonzero(k < len(given))
-    there = by[k[at]]
-    same = given[there] == mine[at]
-    return at[same], there[same]
-
-
 def _sliced(docs: DataFrame, most_bytes: int) -> DataFrame:
     """A row (slice, rows) for each slice of consecutive rows, compressed; a text longer than `most_bytes` is a slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,26 +164,56 @@ def _read(rows: bytes) -> tuple[pa.Table, Slice]:
     return table, Slice([b for part in table.column("text").chunks for b in utf8(part)], table.column("target").to_numpy())
 
 
-def _columns(sums: pa.Table) -> list[np.ndarray]:
-    return [sums.column(c).to_numpy() for c in ("key", "n", "t")]
+def _edges(parts: int) -> np.ndarray:
+    """Where each of `parts` equal ranges of keys begins, but the first, which also has the keys of kinds and sums."""
+    return np.array([(1 << 62) * k // parts for k in range(1, parts)], dtype=np.int64)
+
+
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Whole numbers of one length in few bytes: the steps of ascending keys and small counts have mostly empty high bytes."""
+    planes = np.stack(columns).astype("<i8").view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
 
+def _unsqueezed(held: bytes, columns: int) -> np.ndarray:
+    planes = pa.decompress(held[8:], int.from_bytes(held[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)).view("<i8")[:, :, 0]
 
-def _pack(sums: pa.Table) -> pa.Table:
-    """A slice's sums as one compressed row, and how many of its keys are new in it."""
-    sink = pa.BufferOutputStream()
-    kept = sums.select(["key", "n", "t"]).sort_by("key")
-    with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(kept)
-    return pa.table({"slice": sums.column("slice").slice(0, 1), "words": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                     "firsts": pa.array([int(np.sum(sums.column("slice").to_numpy() == sums.column("first").to_numpy()))], pa.int64())})
 
+def _asked(number: int, key: np.ndarray, n: np.ndarray, t: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(slice, part, sums) for each range of keys in which the slice counts any."""
+    order = np.argsort(key, kind="stable")
+    cuts = np.concatenate(([0], np.searchsorted(key[order], edges), [len(key)]))
+    parts = np.flatnonzero(np.diff(cuts))
+    for some in np.array_split(parts, max(1, len(parts) // 256)):
+        mine = [order[cuts[k] : cuts[k + 1]] for k in some]
+        sums = [_squeezed(np.diff(key[x], prepend=np.int64(0)), n[x], t[x]) for x in mine]
+        yield pa.record_batch({"slice": pa.array(np.full(len(some), number)), "part": pa.array(some), "sums": pa.array(sums, pa.binary())})
 
-def _elsewhere(sums: DataFrame) -> DataFrame:
-    """The sums over all slices, for each slice and key that other slices count too (one row a slice and key)."""
-    all_of = Window.partitionBy("key")
-    summed = sums.select("slice", "key", F.col("n").alias("own_n"), F.col("t").alias("own_t"), F.sum("n").over(all_of).alias("n"), F.sum("t").over(all_of).alias("t"),
-                         F.min("slice").over(all_of).alias("first"))
-    return summed.where("n <> own_n or t <> own_t").select("slice", "key", "n", "t", "first")
+
+def _answered(asked: pa.Table) -> pa.Table:
+    """(slice, part, sums, shared): for each slice the sums over all slices of its keys of one range, in their order; and,
+    once for the range, how many of its keys several slices count."""
+    held = [_unsqueezed(x.as_py(), 3) for x in asked.column("sums")]
+    key, inverse = np.unique(np.concatenate([np.cumsum(x[0]) for x in held]), return_inverse=True)
+    n, t = np.zeros((2, len(key)), dtype=np.int64)
+    for c, out in ((1, n), (2, t)):
+        np.add.at(out, inverse, np.concatenate([x[c] for x in held]))
+    cuts = np.concatenate(([0], np.cumsum([len(x[0]) for x in held])))
+    shared = np.zeros(len(held), dtype=np.int64)
+    shared[0] = np.count_nonzero(np.bincount(inverse) > 1)
+    sums = [_squeezed(n[x], t[x]) for x in (inverse[a:b] for a, b in zip(cuts, cuts[1:]))]
+    return pa.table({"slice": asked.column("slice"), "part": asked.column("part"), "sums": pa.array(sums, pa.binary()), "shared": pa.array(shared)})
+
+
+def _whole(key: np.ndarray, part: pa.Array | pa.ChunkedArray, sums: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums over all slices of the keys of one slice, in the order of `key`."""
+    held = [_unsqueezed(sums[int(k)].as_py(), 2) for k in np.argsort(part.to_numpy(), kind="stable")]
+    n, t = np.zeros((2, len(key)), dtype=np.int64)
+    order = np.argsort(key, kind="stable")
+    for c, out in enumerate((n, t)):
+        out[order] = np.concatenate([x[c] for x in held]) if held else []
+    return n, t
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -209,38 +225,44 @@ def score_documents(docs: DataFrame, labels: DataFrame, slice_bytes: int = SLICE
     a slice of rows gets those of its own words and bigrams. Null and empty texts and those of white space have no
     tokens and three zeros. Repeated rows count as often as they are there; a null doc_id is never in the target; labels
     repeated for an id count once, 1 if any is. An empty table gives an empty table."""
-    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    # Labels grow with the documents, so this join is planned at every size as it must be at a large one.
+    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True)).hint("merge")
     marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
     rows = settle(_sliced(marked, slice_bytes))
     n_docs, n_target = marked.agg(F.count("*"), F.count_if("target")).first()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # As many ranges of keys as slices: the task of a range holds about what a slice sends, however many slices there are.
+    edges = _edges(max(1, rows.count()))
+    asked, answered = "slice long, part long, sums binary", "slice long, part long, sums binary, shared long"
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, held in zip(batch.column(0), batch.column(1)):
                 found = _read(held.as_py())[1]
-                yield pa.record_batch({"slice": pa.array(np.full(len(found.keys), number.as_py())), "key": found.keys, "n": found.n, "t": found.t})
+                yield from _asked(number.as_py(), found.keys, found.n, found.t, edges)
 
-    words = _elsewhere(rows.mapInArrow(count, "slice long, key long, n long, t long"))
-    words = settle(words.groupBy("slice").applyInArrow(_pack, "slice long, words binary, firsts long"))
-    shared_words = words.agg(F.coalesce(F.sum("firsts"), F.lit(0))).first()[0]
-    both = rows.join(words.select("slice", "words"), "slice", "left")
+    answers = settle(rows.mapInArrow(words, asked).groupBy("part").applyInArrow(_answered, answered))
+    shared_words = answers.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0]
+    both = rows.join(answers.groupBy("slice").agg(F.collect_list("part").alias("part"), F.collect_list("sums").alias("words")), "slice", "left")
 
-    def resolved(held: bytes, words: bytes | None) -> tuple[pa.Table, Slice]:
+    def resolved(held: bytes, part: pa.Scalar, words: pa.Scalar) -> tuple[pa.Table, Slice]:
         table, found = _read(held)
-        none = np.zeros(0, dtype=np.int64)
-        found.resolve(*(_columns(pa.ipc.open_stream(words).read_all()) if words else (none, none, none)))
+        if words.is_valid:
+            found.resolve(*_whole(found.keys, part.values, words.values))
+        else:
+            found.resolve(found.n, found.t)
         return table, found
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, held, words in zip(*batch.columns):
-                key, n, t = resolved(held.as_py(), words.as_py())[1].sums()
-                yield pa.record_batch({"slice": pa.array(np.full(len(key), number.as_py())), "key": key, "n": n, "t": t})
+            for number, held, part, words in zip(*batch.columns):
+                yield from _asked(number.as_py(), *resolved(held.as_py(), part, words)[1].sums(), edges)
 
     def scored(mine: pa.Table, given: pa.Table) -> pa.Table:
-        table, found = resolved(mine.column("rows")[0].as_py(), mine.column("words")[0].as_py())
-        target, background = found.losses(*_columns(given), shared_words, (n_docs, n_target))
+        table, found = resolved(mine.column("rows")[0].as_py(), mine.column("part")[0], mine.column("words")[0])
+        target, background = found.losses(*_whole(found.sums()[0], given.column("part"), given.column("sums")), shared_words, (n_docs, n_target))
         return pa.table({"doc_id": table.column("doc_id"), "n_tokens": found.lengths, "target_loss": target, "background_loss": background, "score": target - background})
 
-    given = _elsewhere(both.select("slice", "rows", "words").mapInArrow(pairs, "slice long, key long, n long, t long")).drop("first")
+    both = both.select("slice", "rows", "part", "words")
+    given = both.mapInArrow(pairs, asked).groupBy("part").applyInArrow(_answered, answered).select("slice", "part", "sums")
     return both.groupBy("slice").cogroup(given.groupBy("slice")).applyInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

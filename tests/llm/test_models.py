@@ -4,6 +4,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from crowdpeak.llm import decontamination, html_text, language, lm, toxicity
@@ -184,6 +186,28 @@ def test_cross_entropy_difference_counts_every_word_and_bigram(spark):
         assert np.allclose((got[i].target_loss, got[i].background_loss), (loss(texts[i], t, t2, 1200), loss(texts[i], n, n2, 6000)))
 
 
+def test_slices_send_few_bytes_a_key_and_get_exact_sums():
+    """Disk of op3: a key with its counts and the answer take fewer bytes than the key as a number, and no row of their own."""
+    rng = np.random.default_rng(1)
+    common = rng.integers(lm.UNKNOWN, 1 << 62, 20_000)
+    sent, want = [], Counter()
+    for number in range(3):
+        key = np.concatenate((rng.permutation(common)[:15_000], rng.integers(lm.UNKNOWN, 1 << 62, 10_000), [1, lm.TOKENS, lm.ONLY_HERE]))
+        n = rng.integers(1, 4, len(key))
+        sent.append((number, key, n, n // 2))
+        want.update(dict(zip(key.tolist(), n.tolist())))
+    edges = lm._edges(3)
+    asked = pa.Table.from_batches([b for x in sent for b in lm._asked(*x, edges)])
+    answers = pa.concat_tables([lm._answered(asked.filter(pc.equal(asked["part"], k))) for k in range(3)])
+    keys = sum(len(x[1]) for x in sent)
+    assert sum(len(b.as_py()) for b in asked["sums"]) < 7.5 * keys and sum(len(b.as_py()) for b in answers["sums"]) < 1.5 * keys
+    assert asked.num_rows == 9 and pc.sum(answers["shared"]).as_py() == sum(c > 1 for c in Counter(k for x in sent for k in x[1].tolist()).values())
+    for number, key, n, t in sent:
+        mine = answers.filter(pc.equal(answers["slice"], number))
+        got, _ = lm._whole(key, mine["part"], mine["sums"])
+        assert got.tolist() == [want[k] for k in key.tolist()]
+
+
 def test_main_text_of_odd_pages(spark):
     long = [f"Sentence number {i} of a page, which has some words and ends here." for i in range(40)]
     rows = []

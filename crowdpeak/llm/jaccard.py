@@ -284,8 +284,8 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     short = short_lists(docs, rank, n, percent).groupBy("print").agg(F.first("n").alias("n"), F.first("short").alias("short"))
     classes = settle(short.withColumn("id", F.monotonically_increasing_id()))
     lists = Window.partitionBy("token")
-    shared = settle(classes.select("id", F.explode("short").alias("token"))
-                    .withColumn("size", F.count("*").over(lists)).where("size > 1").select("token", "id"))
+    shared = settle(classes.select("id", "n", F.posexplode("short").alias("at", "token"))
+                    .withColumn("size", F.count("*").over(lists)).where("size > 1").select("token", "id", "n", "at"))
     classes = settle(classes.drop("short").join(reps, "print"))
     placed, component = shared.withColumn("component", F.col("id")).withColumn("members", F.lit(1)), None
     for turn, centers in enumerate(STARS):
@@ -305,10 +305,7 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
         component = connected_components(links)
         placed = settle(_still_split(shared, component))
     # what is left: a document of a smaller component is searched among the members of each larger one on its lists
-    larger = placed.select("token", F.col("component").alias("group"), F.struct("members", "component").alias("head")).distinct()
-    asked = (placed.join(larger, "token").where(F.struct("members", "component") < F.col("head"))
-             .groupBy("group", "id").agg(F.count("*").alias("c")))
-    queries = settle(_within_reach(asked, placed, classes, percent))
+    queries = settle(_within_reach(_asked(placed, percent), placed, classes, percent))
     index = placed.select(F.col("component").alias("group"), "id").distinct().join(queries.select("group").distinct(), "group", "left_semi")
     more = search(docs, index, queries, classes, rank, n, percent, one=True)
     component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
@@ -317,14 +314,33 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
 
 
 def _still_split(shared: DataFrame, component: DataFrame) -> DataFrame:
-    """(token, id, component, members) of the lists whose members are in several components."""
+    """(token, id, n, at, component, members) of the lists whose members are in several components."""
     sized = component.join(component.groupBy("component").agg(F.count("*").cast("int").alias("members")), "component")
     placed = (shared.join(sized.withColumnRenamed("node", "id"), "id", "left")
-              .select("token", "id", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members")))
+              .select("token", "id", "n", "at", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members")))
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     return placed.join(split, "token", "left_semi")
 
 
+def _asked(placed: DataFrame, percent: int) -> DataFrame:
+    """(group, id, c): sets `id` of smaller components that may reach the similarity with a member of a larger one, `group`,
+    and c, the short lists on which they meet.
+
+    Of the lists that two similar sets share, the first in the order of all lists comes before place n - O + 1 in either
+    set, where n is its size and O the overlap that the two sizes ask for. So sets meet on early lists only, which are
+    the less common ones."""
+    overlap = F.ceil(percent * (F.col("n") + F.col("other")) / (100 + percent) - 1e-9)
+    mine = placed.select("token", "id", "n", "at", F.struct("members", "component").alias("mine"))
+    groups = placed.groupBy("token", F.struct("members", "component").alias("head"), F.col("n").alias("other")).agg(F.min("at").alias("first"))
+    pairs = (mine.join(groups, "token").where(F.col("mine") < F.col("head"))
+             .where(f"100 * least(n, other) >= {percent} * greatest(n, other)")
+             .where((F.col("at") <= F.col("n") - overlap) & (F.col("first") <= F.col("other") - overlap))
+             .select(F.col("head.component").alias("group"), "id").distinct())
+    lists = placed.select("token", F.col("component").alias("group")).distinct()
+    return (pairs.join(placed.select("token", "id"), "id").join(lists, ["token", "group"], "left_semi")
+            .groupBy("group", "id").agg(F.count("*").alias("c")))
+
+
 def _within_reach(asked: DataFrame, placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(group, id) of the rows (group, id, c) whose set may reach the similarity with a member of the component `group`.
 

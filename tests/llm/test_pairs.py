@@ -121,3 +121,11 @@ def test_vectors_against_brute_force(spark):
     assert all(by[1000 + k].n_links == 0 and by[1000 + k].component_id == 1000 + k and by[1000 + k].kept for k in range(6))
     assert by[1006].n_links == 1 and by[2000].component_id == 1006 and not by[2000].kept
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_sets_that_meet_only_late_on_a_common_list_are_not_paired(spark):
+    """Pipeline, near duplicates: a list that 80 sets hold in a late place makes no rows; the one similar pair on it stays."""
+    rows = [(999, k, 20, 4, k, 1) for k in range(80)] + [(500 + at, k, 20, at, k, 1) for k in (100, 101) for at in range(4)]
+    rows += [(999, k, 20, 4, k, 1) for k in (100, 101)]
+    placed = spark.createDataFrame(rows, "token long, id long, n long, at int, component long, members int")
+    assert [tuple(r) for r in jaccard._asked(placed, 80).select("group", "id", "c").collect()] == [(101, 100, 5)]

@@ -146,10 +146,13 @@ def left_groups(boxes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         return F.when(opens, F.struct(x.alias("left"), F.concat(acc["lefts"], F.array(x)).alias("lefts"))).otherwise(acc)
 
     # The fold keeps only first edges, at most one per gap of the screen's width, so its cost grows with the distinct edges.
-    lefts = boxes.groupBy("video_id").agg(F.array_sort(F.collect_set("xmin")).alias("_xs")).select(
-        "video_id", F.aggregate("_xs", start, step)["lefts"].alias("_lefts"))
-    return boxes.join(lefts, "video_id").withColumn(
-        "group_left", F.array_max(F.filter("_lefts", lambda left: left <= F.col("xmin")))).drop("_lefts").filter("group_left IS NOT NULL")
+    lefts = boxes.filter("xmin IS NOT NULL").select("video_id", "xmin").distinct().groupBy("video_id").agg(
+        F.array_sort(F.collect_list("xmin")).alias("_xs")).withColumn("_lefts", F.aggregate("_xs", start, step)["lefts"])
+    edges = lefts.select("video_id", F.explode("_xs").alias("xmin"), "_lefts").select(
+        "video_id", "xmin", F.array_max(F.filter("_lefts", lambda left: left <= F.col("xmin"))).alias("group_left"))
+    # Boxes meet their edge, not their recording, so a recording is spread over tasks; distinct edges are hashed, so that
+    # the boxes, which are far more, are not sorted.
+    return boxes.join(edges.hint("shuffle_hash"), ["video_id", "xmin"]).select(*boxes.columns, "group_left")
 
 
 def _rows_of(centres: Column, height: Column, s: Settings) -> Column:
@@ -173,11 +176,9 @@ def count_rows(boxes: DataFrame, keys: list[str], height: str, s: Settings = DEF
 
 def refined_groups(grouped: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Boxes of the largest groups that look like chat: usual height, and part of the largest block of their frame."""
-    # Equal heights are counted first, which shrinks a group before its median is taken.
-    heights = grouped.groupBy("video_id", "group_left", (F.col("ymax") - F.col("ymin")).alias("_height")).agg(
-        F.count("*").alias("_n"))
-    sizes = heights.groupBy("video_id", "group_left").agg(
-        F.sum("_n").alias("_size"), F.percentile("_height", F.lit(0.5), F.col("_n")).alias("median_height"))
+    # The state of a median holds each distinct height once, so the boxes go into it straight from their join.
+    sizes = grouped.select("video_id", "group_left", (F.col("ymax") - F.col("ymin")).alias("_height")).groupBy(
+        "video_id", "group_left").agg(F.count("*").alias("_size"), F.percentile("_height", F.lit(0.5)).alias("median_height"))
     # Groups are at least one gap apart, so a recording has at most 1 / gap of them.
     order = Window.partitionBy("video_id").orderBy(F.col("_size").desc(), "group_left")
     largest = sizes.withColumn("group_order", F.row_number().over(order)).filter(

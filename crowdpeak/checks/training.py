@@ -10,6 +10,7 @@ from crowdpeak.checks.texts import strip_sql
 from crowdpeak.checks.views import CLEAN, LABELLED, with_sql
 from crowdpeak.functions.numbers import rounded
 from crowdpeak.operators import bayes, dataset
+from crowdpeak.session import cut_lineage
 from crowdpeak.settings import Settings
 from crowdpeak.sources import ingest
 
@@ -129,7 +130,8 @@ def label_statistics(spark, path):
 def classifier(spark, path):
     """What SQL can state of a trained model: every document has probabilities and a label of the training part."""
     split = dataset.stratified_split(_clean(spark, path), "doc_id")
-    training = split.filter(~F.col("is_test"))
+    # Read for the n-grams and for the labels; kept, so that the split is made once.
+    training = cut_lineage(split.filter(~F.col("is_test")).select("label", "chat_message"))
     out = dataset.classify(dataset.train_classifier(training), v.table(spark, path, "documents").select(
         "doc_id", F.col("text").alias("chat_message")))
     known = training.select(F.col("label").alias("prediction")).distinct().withColumn("known_label", F.lit(True))

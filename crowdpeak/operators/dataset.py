@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdpeak.functions.text import strip
+from crowdpeak.session import cut_lineage
 from crowdpeak.settings import Settings
 
 DEFAULT = Settings()
@@ -130,22 +131,23 @@ def macro_f1(predictions: DataFrame, label: str = "label", prediction: str = "pr
 
 
 def train_classifier(labelled: DataFrame, text: str = "chat_message", label: str = "label", features: int = 1 << 14):
-    """Character 2-3-gram TF-IDF and multinomial logistic regression; returns the fitted pipeline model."""
-    from pyspark.ml import Pipeline
+    """Character 2-3-gram TF-IDF and multinomial logistic regression; returns the fitted pipeline model.
+
+    The n-grams are counted once: the vectors are kept for the passes of the weights and of the regression."""
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
-
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_chars", gaps=False, pattern=r"(?s).", toLowercase=True,
-                       minTokenLength=1),
-        NGram(n=2, inputCol="_chars", outputCol="_two"), NGram(n=3, inputCol="_chars", outputCol="_three"),
-        SQLTransformer(statement="SELECT *, concat(_two, _three) AS _grams FROM __THIS__"),
-        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features),
+    from pyspark.ml.feature import IDF
+
+    from crowdpeak.functions.gram_features import GramCounts
+
+    counts = GramCounts(inputCol=text, outputCol="_tf", numFeatures=features)
+    counted = cut_lineage(counts.transform(labelled.select(label, text)).drop(text))
+    fitted = Pipeline(stages=[
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol=label, probabilityCol="_probability", maxIter=20,
                            regParam=0.01),
-    ]
-    return Pipeline(stages=stages).fit(labelled)
+    ]).fit(counted)
+    return PipelineModel([counts, *fitted.stages])
 
 
 def classify(model, df: DataFrame) -> DataFrame:

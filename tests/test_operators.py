@@ -299,3 +299,34 @@ def test_fixed_boxes_meet_once_by_text(spark, monkeypatch):
         if len(frames) - 1 >= 2:
             want.add(("a", "hud", *shape, len(frames) - 1))
     assert got == want
+
+
+def test_gram_counts_are_those_of_spark_ml(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer
+
+    from crowdpeak.functions.gram_features import GramCounts
+
+    rng = random.Random(11)
+    letters = "abcXYZ 09\n\tÄßéİ漢字ひらがな😀𝄞"
+    rows = [(i, "".join(rng.choices(letters, k=rng.choice([0, 1, 2, 3, 40, 300])))) for i in range(120)]
+    df = spark.createDataFrame(rows, "i int, chat_message string")
+    plain = Pipeline(stages=[
+        RegexTokenizer(inputCol="chat_message", outputCol="_chars", gaps=False, pattern=r"(?s).", toLowercase=True, minTokenLength=1),
+        NGram(n=2, inputCol="_chars", outputCol="_two"), NGram(n=3, inputCol="_chars", outputCol="_three"),
+        SQLTransformer(statement="SELECT *, concat(_two, _three) AS _grams FROM __THIS__"),
+        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=1 << 14)]).fit(df).transform(df)
+    counted = GramCounts(inputCol="chat_message", outputCol="_tf", numFeatures=1 << 14)
+    assert {r.i: r._tf for r in counted.transform(df).collect()} == {r.i: r._tf for r in plain.collect()}
+    assert counted.transform(spark.createDataFrame([(None,)], "chat_message string")).first()._tf.numNonzeros() == 0
+
+
+def test_classifier_counts_n_grams_in_arrow_batches(spark):
+    rows = [(i, ("good " if i % 2 else "bad ") * (1 + i % 5), i % 2) for i in range(60)] + [(60, None, 0), (61, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, chat_message string, label int")
+    out = dataset.classify(dataset.train_classifier(df.filter("doc_id < 40")), df)
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == list(range(62)) and all(abs(sum(r.probs) - 1) < 1e-6 for r in got)
+    assert all(r.prediction == r.label for r in got if r.doc_id < 60)
+    # No list of n-grams as text is made of a text: that took 2.3 seconds for each megabyte.
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()

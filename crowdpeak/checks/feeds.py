@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,28 +90,34 @@ def older_series(spark, path):
     return _series(spark, path)[1].drop("point")
 
 
-def write_one_each(docs: DataFrame, folder: str) -> None:
+def write_one_each(docs: DataFrame, folder: str, most: int | None = None) -> list[tuple[str, int]]:
     """A file `<video_id>.json` for each recording of `docs(video_id, value)`; a null id names no recording.
 
     Tasks write these small files themselves, through a file system that pyarrow knows. A task that runs again writes the
-    same files again."""
+    same files again. They lie in `folder`, or with `most` in folders in it that hold at most so many files each. Returned
+    are the folders and how many files were put there."""
     place = re.sub("^file:/+", "/", folder)
     filesystem, base = fs.FileSystem.from_uri(place)
     filesystem.create_dir(base, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into, root = fs.FileSystem.from_uri(place)
+        task, part = TaskContext.get().partitionId(), ""
         values = ((name, value) for batch in batches for name, value in zip(*(c.to_pylist() for c in batch.columns)))
-        for name, same in itertools.groupby(values, key=lambda x: x[0]):
-            with into.open_output_stream(f"{root}/{name}.json") as out:
+        for i, (name, same) in enumerate(itertools.groupby(values, key=lambda x: x[0])):
+            if most and i % most == 0:
+                part = f"/{task:05d}-{i // most:05d}"
+                into.create_dir(root + part)
+            with into.open_output_stream(f"{root}{part}/{name}.json") as out:
                 for _, value in same:
                     out.write(f"{value}\n\n".encode())
-            yield pa.record_batch({"files": pa.array([1], pa.int64())})
+            yield pa.record_batch({"part": pa.array([part]), "files": pa.array([1], pa.int64())})
 
     # The number of parts is given, so that Spark does not join small ones into one task that makes all files.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs.filter("video_id IS NOT NULL").repartition(parts, "video_id").sortWithinPartitions("video_id").mapInArrow(
-        write, "files long").agg(F.sum("files")).collect()
+    made = docs.filter("video_id IS NOT NULL").repartition(parts, "video_id").sortWithinPartitions("video_id").mapInArrow(
+        write, "part string, files long").groupBy("part").agg(F.sum("files").alias("files")).collect()
+    return sorted((folder + r.part, r.files) for r in made) or [(folder, 0)]
 
 
 @query("src_2_both_forms", """
@@ -124,11 +131,11 @@ def both_forms(spark, path):
     # The same documents once a file each, over several lines, and once a line each. A key without a column survives.
     docs, folder = _series_docs(spark, path), fresh(spark, "series_files")
     body = F.to_json(F.struct(*[c for c in docs.columns if c != "video_id"]), {"pretty": "true"})
-    write_one_each(docs.select("video_id", body.alias("value")), folder)
+    files = tables.in_rounds(write_one_each(docs.select("video_id", body.alias("value")), folder, most=500))
     lines = fresh(spark, "series_lines")
     tables.write_table(docs, lines, "json")
     out = None
-    for kind, (stats, points) in {"file": tables.read_series_json(spark, folder), "line": tables.read_series_json(spark, lines, one_per_file=False)}.items():
+    for kind, (stats, points) in {"file": tables.read_series_json(spark, files), "line": tables.read_series_json(spark, lines, one_per_file=False)}.items():
         one = points.withColumn("anxiety_pct", F.try_variant_get("point", "$.anxiety_pct", "double")).join(stats, "video_id").select(
             F.lit(kind).alias("kind"), "video_id", "t", "chat_text", "joy_pct", "anxiety_pct", "calculated_threshold", "total_chats")
         out = one if out is None else out.unionByName(one)

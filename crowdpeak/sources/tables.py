@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crowdpeak import fixed_values as fv
 from crowdpeak.functions.text import seconds_or_zero
+from crowdpeak.session import shared_folder
 from crowdpeak.settings import Settings
 from crowdpeak.sources.records import cell, cell_or, csv_records
 
@@ -68,12 +71,45 @@ def series_tables(raw: DataFrame, s: Settings = DEFAULT) -> tuple[DataFrame, Dat
     return stats, current_emotions(points)
 
 
-def read_series_json(spark: SparkSession, paths: str | list[str], one_per_file: bool = True, s: Settings = DEFAULT):
-    """Stats and points of series documents: one indented document per file, or one `video_id` document per line."""
+def in_rounds(folders: list[tuple[str, int]], most: int = 20_000) -> list[list[str]]:
+    """Folders, given with their number of files, in lists that hold at most `most` files (or one folder)."""
+    out, held = [], 0
+    for folder, files in folders:
+        if not out or held + files > most:
+            out, held = [*out, []], 0
+        out[-1].append(folder)
+        held += files
+    return out
+
+
+def read_series_json(spark: SparkSession, paths: str | list[str] | list[list[str]], one_per_file: bool = True, s: Settings = DEFAULT):
+    """Stats and points of series documents: one indented document per file, or one `video_id` document per line.
+
+    The driver holds every file of a read in memory. So very many files of one document are given as lists of paths
+    (`in_rounds`): these are read one list after the other, by a task for each path, and their documents are kept in the
+    shared folder.
+    """
     read = spark.read.option("singleVariantColumn", "doc")
-    if one_per_file:
-        return series_tables(with_video(read.json(paths, multiLine=True)).select("video_id", "doc"), s)
-    return series_tables(read.json(paths).select(F.try_variant_get("doc", "$.video_id", "string").alias("video_id"), "doc"), s)
+    if not one_per_file:
+        return series_tables(read.json(paths).select(F.try_variant_get("doc", "$.video_id", "string").alias("video_id"), "doc"), s)
+
+    def whole(some: str | list[str]) -> DataFrame:
+        return with_video(read.json(some, multiLine=True)).select("video_id", "doc")
+
+    if isinstance(paths, str) or isinstance(paths[0], str):
+        return series_tables(whole(paths), s)
+    kept = f"{shared_folder(spark)}/crowdpeak_series_docs_{uuid.uuid4().hex}"
+    # Otherwise Spark holds up to 250 MB of file names on the driver after the reads.
+    key = "spark.sql.hive.manageFilesourcePartitions"
+    before = spark.conf.get(key)
+    for some in paths:
+        spark.conf.set(key, "false")
+        try:
+            docs = whole(some)
+        finally:
+            spark.conf.set(key, before)
+        docs.coalesce(len(some)).write.mode("append").parquet(kept)
+    return series_tables(spark.read.schema("video_id string, doc variant").parquet(kept), s)
 
 
 def current_emotions(points: DataFrame) -> DataFrame:
